@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 _YMD = r"\d{4}-\d{1,2}-\d{1,2}"
 _HM = r"\d{1,2}:\d{1,2}"
 
@@ -38,13 +40,16 @@ def parse_date(text: Column) -> Column:
 
     Zone offsets belong to no format; such a string falls through to its date at midnight.
     """
+
+    def first_match(tidy: Column) -> Column:
+        attempts = [F.when(tidy.rlike(shape), F.try_to_timestamp(tidy, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
+        number = lambda i: F.regexp_extract(tidy, _ANY_DATE, i).try_cast("int")
+        inside = F.try_make_timestamp(number(1), number(2), number(3), F.lit(0), F.lit(0), F.lit(0))
+        return F.coalesce(*attempts, inside)
+
     # Runs of white space count as one space; letters such as T and Z are read in either case.
     tidy = F.upper(F.regexp_replace(text, r"(?U)\s+", " "))
-    attempts = [F.when(tidy.rlike(shape), F.try_to_timestamp(tidy, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
-    number = lambda i: F.regexp_extract(text, _ANY_DATE, i).try_cast("int")
-    inside = F.try_make_timestamp(number(1), number(2), number(3), F.lit(0), F.lit(0), F.lit(0))
-    parsed = F.coalesce(*attempts, inside)
-    return F.when(F.year(parsed) >= 1, parsed)
+    return let(let(tidy, first_match), lambda parsed: F.when(F.year(parsed) >= 1, parsed))
 
 
 def cutoff(as_of: dt.datetime, days: int) -> dt.datetime:
@@ -63,7 +68,7 @@ def timestamp_literal(moment: dt.datetime) -> Column:
 
 def iso_render(ts: Column) -> Column:
     """ISO 8601 text as Python's ``isoformat`` gives it: microseconds only when there are any."""
-    micros = F.unix_micros(ts) % 1_000_000
+    micros = F.unix_micros(ts.cast("timestamp")) % 1_000_000
     return F.concat(
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
         F.when(micros != 0, F.date_format(ts, ".SSSSSS")).otherwise(F.lit("")),

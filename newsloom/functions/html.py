@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -41,6 +42,7 @@ BLOCK_TAGS = (
 )
 
 _CUT = "\u0001"
+_ENTITIES = json.dumps({"apos": "'", **{n: chr(c) for n, c in sorted(name2codepoint.items()) if n != "amp"}})
 
 
 def remove_elements(html: Column, tags: list[str]) -> Column:
@@ -62,11 +64,8 @@ def remove_code(html: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references; the ampersand comes last so that nothing is decoded twice."""
-    table = F.create_map(
-        *[F.lit(x) for name, code in sorted(name2codepoint.items()) if name != "amp" for x in (name, chr(code))],
-        F.lit("apos"),
-        F.lit("'"),
-    )
+    # One foldable expression instead of a literal per entity keeps plans small.
+    table = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
     def named(text: Column) -> Column:
         names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
@@ -124,12 +123,15 @@ def declared_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2})""", 1))
 
 
+def _raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute as it is written in the source of one tag, without its quotes; empty if absent."""
+    written = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^"'\s>][^\s>]*)""", 1)
+    return F.regexp_replace(written, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in the source of one tag, quoted or not; empty if absent."""
-    quoted = F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1)
-    single = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*'([^']*)'""", 1)
-    bare = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*([^"'\s>][^\s>]*)""", 1)
-    return decode_entities(F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), bare))
+    """Value of an attribute in the source of one tag; empty if absent."""
+    return decode_entities(_raw_attribute(tag, name))
 
 
 def tags(html: Column, name: str) -> Column:
@@ -137,54 +139,62 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(remove_code(html), F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
 
 
+def _attributes(html: Column, tag: str, *names: str) -> Column:
+    """One struct of raw attribute values per opening tag of a kind."""
+    return F.transform(tags(html, tag), lambda t: F.struct(*[_raw_attribute(t, n).alias(n) for n in names]))
+
+
+def _decoded(values: Column) -> Column:
+    return F.transform(F.filter(values, lambda v: v != ""), decode_entities)
+
+
 def links(html: Column) -> Column:
     """Targets of all anchors in page order."""
-    return F.filter(F.transform(tags(html, "a"), lambda tag: attribute(tag, "href")), lambda href: href != "")
+    return _decoded(F.transform(tags(html, "a"), lambda t: _raw_attribute(t, "href")))
 
 
 def images(html: Column) -> Column:
     """Sources of all images in page order."""
-    return F.filter(F.transform(tags(html, "img"), lambda tag: attribute(tag, "src")), lambda src: src != "")
+    return _decoded(F.transform(tags(html, "img"), lambda t: _raw_attribute(t, "src")))
 
 
 def large_images(html: Column, min_side: int = 100) -> Column:
     """Sources of the images declared larger than ``min_side`` in both directions."""
+    pixels = lambda v: F.coalesce(F.regexp_extract(v, r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0))
     big = F.filter(
-        tags(html, "img"),
-        lambda tag: (_pixels(tag, "width") > min_side)
-        & (_pixels(tag, "height") > min_side)
-        & (attribute(tag, "src") != ""),
+        _attributes(html, "img", "src", "width", "height"),
+        lambda img: (pixels(img["width"]) > min_side) & (pixels(img["height"]) > min_side),
     )
-    return F.transform(big, lambda tag: attribute(tag, "src"))
-
-
-def _pixels(tag: Column, name: str) -> Column:
-    return F.coalesce(F.regexp_extract(attribute(tag, name), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0))
+    return _decoded(F.transform(big, lambda img: img["src"]))
 
 
 def _first_where(found: Column, key: str, value: str, take: str) -> Column:
-    """Attribute ``take`` of the first tag whose attribute ``key`` is ``value``; null if absent or empty."""
-    matching = F.filter(found, lambda tag: F.lower(attribute(tag, key)) == value)
-    return F.nullif(attribute(F.try_element_at(matching, F.lit(1)), take), F.lit(""))
+    """Attribute ``take`` of the first entry whose ``key`` is ``value``; null if absent or empty."""
+    hits = F.filter(found, lambda entry: F.lower(entry[key]) == value)
+    return F.nullif(F.try_element_at(hits, F.lit(1))[take], F.lit(""))
 
 
 def publication_date(html: Column) -> Column:
     """Date from the known meta elements in order, else from the first ``time`` element that has one, else null."""
-    metas = tags(html, "meta")
-    times = F.filter(F.transform(tags(html, "time"), lambda tag: attribute(tag, "datetime")), lambda at: at != "")
-    return F.coalesce(
-        *[_first_where(metas, key, value, "content") for key, value in DATE_METAS],
-        F.try_element_at(times, F.lit(1)),
+    in_metas = let(
+        _attributes(html, "meta", "property", "name", "content"),
+        lambda metas: F.coalesce(*[_first_where(metas, key, value, "content") for key, value in DATE_METAS]),
     )
+    times = F.filter(F.transform(tags(html, "time"), lambda t: _raw_attribute(t, "datetime")), lambda at: at != "")
+    return decode_entities(F.coalesce(in_metas, F.try_element_at(times, F.lit(1))))
 
 
 def logo(html: Column) -> Column:
     """Icon link or preview image of the page, as written; null if none."""
-    found, metas = tags(html, "link"), tags(html, "meta")
-    return F.coalesce(
-        *[_first_where(found, "rel", rel, "href") for rel in LOGO_RELS],
-        *[_first_where(metas, key, value, "content") for key, value in LOGO_METAS],
+    in_links = let(
+        _attributes(html, "link", "rel", "href"),
+        lambda found: F.coalesce(*[_first_where(found, "rel", rel, "href") for rel in LOGO_RELS]),
+    )
+    in_metas = let(
+        _attributes(html, "meta", "property", "name", "content"),
+        lambda metas: F.coalesce(*[_first_where(metas, key, value, "content") for key, value in LOGO_METAS]),
     )
+    return decode_entities(F.coalesce(in_links, in_metas))
 
 
 def _opening_pattern(selector: str) -> str:

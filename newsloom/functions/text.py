@@ -11,8 +11,8 @@ SENTENCE_BREAK = r"[.!?\n]+"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 # Accented letters and what they fold to.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def strip(text: Column) -> Column:
@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics, for matching."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
 def preview(content: Column, length: int = 300) -> Column:

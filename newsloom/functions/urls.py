@@ -44,16 +44,19 @@ def _tidy(url: Column) -> Column:
 
 
 def split_url(url: Column) -> Column:
-    """Struct of scheme (lower case), netloc, path and query; parts that are absent are empty."""
-    return let(
-        _tidy(url),
-        lambda clean: F.struct(
-            F.lower(F.regexp_extract(clean, _SPLIT, 1)).alias("scheme"),
-            F.regexp_extract(clean, _SPLIT, 2).alias("netloc"),
-            F.regexp_extract(clean, _SPLIT, 3).alias("path"),
-            F.regexp_extract(clean, _SPLIT, 4).alias("query"),
-        ),
-    )
+    """Struct of the URL as given (``raw``), scheme (lower case), netloc, path and query; absent parts are empty."""
+
+    def parts(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text["clean"], _SPLIT, i)
+        return F.struct(
+            text["raw"].alias("raw"),
+            F.lower(part(1)).alias("scheme"),
+            part(2).alias("netloc"),
+            part(3).alias("path"),
+            part(4).alias("query"),
+        )
+
+    return let(let(url, lambda raw: F.struct(raw.alias("raw"), _tidy(raw).alias("clean"))), parts)
 
 
 def _netloc(url: Column) -> Column:
@@ -124,7 +127,7 @@ def normalize_url(url: Column) -> Column:
     return let(
         split_url(url),
         lambda p: F.when(p["netloc"] == "", F.lit(None))
-        .when(_unbalanced_brackets(p["netloc"]), url)
+        .when(_unbalanced_brackets(p["netloc"]), p["raw"])
         .otherwise(_canonical(p["scheme"], p["netloc"], p["path"], p["query"])),
     )
 
@@ -164,12 +167,14 @@ def _join_path(base_path: Column, ref_path: Column) -> Column:
     )
 
 
-def _resolve(ref: Column, link: Column, page: Column) -> Column:
-    joined = _canonical(
-        page["scheme"],
-        page["netloc"],
-        F.when(link["path"] == "", page["path"]).otherwise(_join_path(page["path"], link["path"])),
-        F.when((link["path"] == "") & (link["query"] == ""), page["query"]).otherwise(link["query"]),
+def _target(link: Column, page: Column) -> Column:
+    """The parts a link leads to, seen from its page."""
+    no_path = link["path"] == ""
+    on_page = F.struct(
+        page["scheme"].alias("scheme"),
+        page["netloc"].alias("netloc"),
+        F.when(no_path, page["path"]).otherwise(_join_path(page["path"], link["path"])).alias("path"),
+        F.when(no_path & (link["query"] == ""), page["query"]).otherwise(link["query"]).alias("query"),
     )
     unusable = (
         (page["netloc"] == "")
@@ -177,15 +182,13 @@ def _resolve(ref: Column, link: Column, page: Column) -> Column:
         | ~page["scheme"].isin(RELATIVE_SCHEMES)
         | _unbalanced_brackets(page["netloc"])
     )
-    own_host = F.when(_unbalanced_brackets(link["netloc"]), ref).otherwise(
-        _canonical(link["scheme"], link["netloc"], link["path"], link["query"])
-    )
-    return (
-        F.when(ref == "", F.lit(None))
-        .when(link["netloc"] != "", own_host)
-        .when(unusable, F.lit(None))
-        .otherwise(joined)
-    )
+    own = F.struct(*[link[name].alias(name) for name in ("scheme", "netloc", "path", "query")])
+    return F.when(link["raw"] == "", F.lit(None)).when(link["netloc"] != "", own).when(~unusable, on_page)
+
+
+def _resolve(link: Column, page: Column) -> Column:
+    canonical = let(_target(link, page), lambda t: _canonical(t["scheme"], t["netloc"], t["path"], t["query"]))
+    return F.when(_unbalanced_brackets(link["netloc"]), link["raw"]).otherwise(canonical)
 
 
 def resolve_url(ref: Column, base: Column) -> Column:
@@ -193,14 +196,17 @@ def resolve_url(ref: Column, base: Column) -> Column:
 
     A link with its own host is only canonicalised, so ``//host/x`` stays without a scheme.
     """
-    return let(split_url(base), lambda page: let(split_url(ref), lambda link: _resolve(ref, link, page)))
+    return let(
+        F.struct(split_url(ref).alias("link"), split_url(base).alias("page")),
+        lambda both: _resolve(both["link"], both["page"]),
+    )
 
 
 def resolve_urls(refs: Column, base: Column) -> Column:
     """Resolve a list of links: unusable ones dropped, duplicates removed, first-seen order kept."""
     resolved = let(
         split_url(base),
-        lambda page: F.transform(refs, lambda ref: let(split_url(ref), lambda link: _resolve(ref, link, page))),
+        lambda page: F.transform(F.transform(refs, split_url), lambda link: _resolve(link, page)),
     )
     return F.array_distinct(F.filter(resolved, lambda url: url.isNotNull()))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import html, urls
+from newsloom.functions.binding import let
 from newsloom.functions.dates import is_recent
 from newsloom.functions.text import strip
 
@@ -38,10 +39,14 @@ def selected_text(source: Column) -> Column:
     return html.rendered_text(html.main_block(source))
 
 
+def main_images(source: Column) -> Column:
+    return html.images(html.main_block(source))
+
+
 #: Tried in this order.
 STRATEGIES = [
     Strategy("paragraph_density", density_text, html.images, date=html.publication_date, declares_language=True),
-    Strategy("tag_strip", stripped_text, lambda source: html.images(html.main_block(source))),
+    Strategy("tag_strip", stripped_text, main_images),
     Strategy("selector", selected_text, html.large_images, date=html.publication_date, logo=html.logo),
 ]
 
@@ -52,30 +57,48 @@ def extract(pages: DataFrame, strategies: list[Strategy] = STRATEGIES) -> DataFr
     A later strategy is only evaluated for the pages on which the earlier ones failed. All of it is a projection.
     """
     source = F.col("html")
-    none = F.lit(None).cast("string")
 
     def candidate(strategy: Strategy) -> Column:
         made = F.array(F.struct(F.lit(strategy.name).alias("strategy"), strategy.content(source).alias("content")))
         return F.try_element_at(F.filter(made, lambda c: c["content"] != ""), F.lit(1))
 
-    def by_strategy(pick: Callable[[Strategy], Column]) -> Column:
-        chosen = F.when(F.col("strategy") == strategies[0].name, pick(strategies[0]))
-        for strategy in strategies[1:]:
-            chosen = chosen.when(F.col("strategy") == strategy.name, pick(strategy))
+    def by_strategy(found: Column, pick: Callable[[Strategy], Callable[[Column], Column] | None]) -> Column:
+        """What ``pick`` chooses for the winning strategy; strategies that share a function share a branch."""
+        branches: dict[Callable[[Column], Column], list[str]] = {}
+        for strategy in strategies:
+            if pick(strategy):
+                branches.setdefault(pick(strategy), []).append(strategy.name)
+        chosen = F.lit(None)
+        for function, names in branches.items():
+            chosen = F.when(found.isin(names), function(source)).otherwise(chosen)
         return chosen
 
+    def read(found: Column) -> Column:
+        strategy = found["strategy"]
+        return F.struct(
+            strategy.alias("strategy"),
+            found["content"].alias("content"),
+            by_strategy(strategy, lambda s: s.date).alias("publication_date"),
+        )
+
+    # Generated, not projected: later filters on content or date must not be pushed down as second copies of these
+    # expressions, which would read every page twice.
+    found = F.inline_outer(F.array(let(F.coalesce(*[candidate(s) for s in strategies]), read)))
+    declares = [s.name for s in strategies if s.declares_language]
     declared = F.nullif(html.declared_language(source), F.lit(""))
     return (
-        pages.withColumn("_found", F.coalesce(*[candidate(s) for s in strategies]))
-        .withColumn("strategy", F.col("_found.strategy"))
-        .withColumn("content", F.col("_found.content"))
-        .withColumn("title", html.title(source))
-        .withColumn("language", by_strategy(lambda s: declared if s.declares_language else none))
-        .withColumn("publication_date", by_strategy(lambda s: s.date(source) if s.date else none))
-        .withColumn("image_urls", urls.resolve_urls(by_strategy(lambda s: s.images(source)), F.col("url")))
-        .withColumn("logo_url", by_strategy(lambda s: s.logo(source) if s.logo else none))
-        .withColumn("source_domain", urls.source_domain(F.col("url")))
-        .drop("_found", "html")
+        pages.select("*", found)
+        .select(
+            *[c for c in pages.columns if c != "html"],
+            "strategy",
+            "content",
+            html.title(source).alias("title"),
+            F.when(F.col("strategy").isin(declares), declared).alias("language"),
+            "publication_date",
+            urls.resolve_urls(by_strategy(F.col("strategy"), lambda s: s.images), F.col("url")).alias("image_urls"),
+            by_strategy(F.col("strategy"), lambda s: s.logo).alias("logo_url"),
+            urls.source_domain(F.col("url")).alias("source_domain"),
+        )
     )
 
 

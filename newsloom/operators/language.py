@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 DEFAULT_LANGUAGE = "en"
 #: Log probabilities are whole millionths: their sums are exact, so no tie depends on how the data was split.
 SCALE = 1_000_000
+#: ISO 639-1 has fewer codes than this. With ``per_language`` it bounds the size of the broadcast model.
+MAX_LANGUAGES = 200
 
 
 def letter_words(text: Column) -> Column:
@@ -22,8 +24,12 @@ def grams(word: Column) -> Column:
     letters = F.regexp_extract_all(word, F.lit("(?s)(.)"), F.lit(1))
     padded = F.regexp_extract_all(F.concat(F.lit("_"), word, F.lit("_")), F.lit("(?s)(.)"), F.lit(1))
     n = F.size(padded)
-    pairs = F.slice(F.zip_with(padded, F.slice(padded, 2, n), F.concat), 1, n - 1)
-    triples = F.slice(F.zip_with(pairs, F.slice(padded, 3, n), F.concat), 1, n - 2)
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.concat(a, b)
+
+    pairs = F.slice(F.zip_with(padded, F.slice(padded, 2, n), joined), 1, n - 1)
+    triples = F.slice(F.zip_with(pairs, F.slice(padded, 3, n), joined), 1, n - 2)
     return F.concat(letters, pairs, triples)
 
 
@@ -42,7 +48,9 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     ``per_language`` rows per language whatever the size of the corpus.
     """
     labelled = docs.filter(F.col(language).isNotNull())
-    languages = sorted(r[0] for r in labelled.select(language).distinct().collect())
+    languages = sorted(r[0] for r in labelled.select(language).distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"More than {MAX_LANGUAGES} language labels: the model would not stay small")
     counts = (
         labelled.select(F.col(language).alias("lang"), F.explode(letter_words(F.col(text))).alias("word"))
         .groupBy("lang", "word")
@@ -75,19 +83,16 @@ def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFr
 
     Each task sums the scores of its texts before anything is shuffled: one small row per text moves.
     """
-    hits = (
-        docs.select(key, F.explode(letter_words(F.col(text))).alias("word"))
-        .select(key, F.explode(grams(F.col("word"))).alias("gram"))
-        .join(F.broadcast(model.table), "gram")
+    scores = (
+        docs.select(key, F.explode_outer(letter_words(F.col(text))).alias("word"))
+        .select(key, F.explode_outer(grams(F.col("word"))).alias("gram"))
+        .join(F.broadcast(model.table), "gram", "left")
         .groupBy(key)
         .agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in model.languages])
     )
-    ranked = F.array_sort(
-        F.array(*[F.struct((-F.col(f"`{lang}`")).alias("cost"), F.lit(lang).alias("lang")) for lang in model.languages])
-    )
-    best = hits.select(key, ranked[0]["lang"].alias("language"))
-    return (
-        docs.select(key)
-        .join(best, key, "left")
-        .select(key, F.coalesce("language", F.lit(DEFAULT_LANGUAGE)).alias("language"))
-    )
+    known = [
+        F.when(F.col(f"`{lang}`").isNotNull(), F.struct((-F.col(f"`{lang}`")).alias("cost"), F.lit(lang).alias("lang")))
+        for lang in model.languages
+    ]
+    best = F.try_element_at(F.array_sort(F.array_compact(F.array(*known))), F.lit(1))
+    return scores.select(key, F.coalesce(best["lang"], F.lit(DEFAULT_LANGUAGE)).alias("language"))

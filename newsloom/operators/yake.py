@@ -44,10 +44,10 @@ def positions(docs: DataFrame, key: str, text: str) -> DataFrame:
         "n_sentences",
         "sentence",
         ((F.col("part_no") == 0) & (F.col("at") == 0)).alias("first"),
-        F.col("w")["0"].alias("token"),
-        F.lower(F.col("w")["0"]).alias("word"),
-        F.lower(F.col("w")["before"]).alias("before"),
-        F.lower(F.col("w")["after"]).alias("after"),
+        F.col("w.token").alias("token"),
+        F.lower("w.token").alias("word"),
+        F.lower("w.before").alias("before"),
+        F.lower("w.after").alias("after"),
     )
 
 

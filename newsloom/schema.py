@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STRINGS = T.ArrayType(T.StringType(), False)
+_STRINGS = T.ArrayType(T.StringType())
 
 #: The stored article, one row per ``_id``.
 ARTICLE = T.StructType(
@@ -49,8 +49,8 @@ POSTING = T.StructType(
 )
 
 
-def as_articles(df: DataFrame) -> DataFrame:
-    """Project any article-like frame to the fixed article columns, filling what is missing."""
+def as_articles(df: DataFrame, *extra: str) -> DataFrame:
+    """Project any article-like frame to the fixed article columns (and ``extra``), filling what is missing."""
     columns = []
     for field in ARTICLE.fields:
         if field.name not in df.columns:
@@ -58,9 +58,9 @@ def as_articles(df: DataFrame) -> DataFrame:
         else:
             value = F.col(field.name)
         if isinstance(field.dataType, T.ArrayType):
-            value = F.coalesce(value.cast("array<string>"), F.array().cast("array<string>"))
+            value = F.coalesce(value, F.array().cast("array<string>"))
         columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *extra)
 
 
 def response_articles(df: DataFrame) -> DataFrame:

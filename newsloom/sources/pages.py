@@ -36,8 +36,8 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
     ``max_by`` aggregates on the map side, so a URL fetched a million times sends one row per task.
     """
     return (
-        pages.select(urls.normalize_url(F.col("url")).alias("url"), "page_id", "html")
-        .filter(F.col("url").isNotNull())
+        pages.filter(urls.is_valid_url(F.col("url")))
+        .select(urls.normalize_url(F.col("url")).alias("url"), "page_id", "html")
         .groupBy("url")
         .agg(F.max("page_id").alias("page_id"), F.max_by("html", "page_id").alias("html"))
     )
@@ -45,9 +45,8 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
 
 def requested_keys(requested: DataFrame) -> DataFrame:
     """Canonical form of each requested URL, once."""
-    return (
-        requested.select(urls.normalize_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull()).distinct()
-    )
+    valid = requested.filter(urls.is_valid_url(F.col("url")))
+    return valid.select(urls.normalize_url(F.col("url")).alias("url")).distinct()
 
 
 def lookup(requested: DataFrame, pages: DataFrame) -> DataFrame:
