@@ -49,7 +49,7 @@ def parse_date(text: Column) -> Column:
 
     # Runs of white space count as one space; letters such as T and Z are read in either case.
     tidy = F.upper(F.regexp_replace(text, r"(?U)\s+", " "))
-    return let(let(tidy, first_match), lambda parsed: F.when(F.year(parsed) >= 1, parsed))
+    return let(let(tidy, first_match, "timestamp"), lambda parsed: F.when(F.year(parsed) >= 1, parsed), "timestamp")
 
 
 def cutoff(as_of: dt.datetime, days: int) -> dt.datetime:

@@ -67,30 +67,17 @@ def decode_entities(text: Column) -> Column:
     # One foldable expression instead of a literal per entity keeps plans small.
     table = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
-    def named(text: Column) -> Column:
-        names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-        return F.aggregate(
-            names,
-            text,
-            lambda out, name: F.coalesce(
-                F.replace(out, F.concat(F.lit("&"), name, F.lit(";")), F.try_element_at(table, name)), out
-            ),
-        )
+    def put(out: Column, ref: Column) -> Column:
+        char = F.when(ref.startswith("#"), _character(F.substring(ref, 2, 8))).otherwise(F.try_element_at(table, ref))
+        return F.coalesce(F.replace(out, F.concat(F.lit("&"), ref, F.lit(";")), char), out)
 
-    def numeric(text: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
-        return F.aggregate(
-            F.filter(codes, lambda code: ~code.isin("38", "x26", "X26")),
-            text,
-            lambda out, code: F.replace(out, F.concat(F.lit("&#"), code, F.lit(";")), _character(code)),
-        )
+    def decoded(raw: Column) -> Column:
+        refs = F.regexp_extract_all(raw, F.lit("&([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"), F.lit(1))
+        kept = F.filter(F.array_distinct(refs), lambda ref: ~ref.isin("amp", "#38", "#x26", "#X26"))
+        full = F.regexp_replace(F.aggregate(kept, raw, put), "&(?:amp|#38|#[xX]26);", "&")
+        return F.when(raw.contains("&"), full).otherwise(raw)
 
-    return let(
-        text,
-        lambda raw: F.when(
-            raw.contains("&"), F.regexp_replace(let(named(raw), numeric), "&(?:amp|#38|#[xX]26);", "&")
-        ).otherwise(raw),
-    )
+    return let(text, decoded)
 
 
 def _character(code: Column) -> Column:
@@ -207,23 +194,24 @@ def _opening_pattern(selector: str) -> str:
     return rf"(?is)<({selector})\b[^>]*>"
 
 
-def element_inner(html: Column, selector: str) -> Column:
-    """Inner source of the first element matching a simple selector; null if there is none.
+def element_inner(html: Column, pattern: Column) -> Column:
+    """Inner source of the first element whose opening tag matches; null if there is none.
 
-    Elements of the same name may nest: the source after the opening tag is cut at every tag of that name and the
-    depth is followed until it returns to zero. An element that is never closed reaches to the end of the page.
+    The first group of ``pattern`` is the element's name. Elements of the same name may nest: the source after the
+    opening tag is cut at every tag of that name and the depth is followed until it returns to zero. An element that is
+    never closed reaches to the end of the page.
     """
-    pattern = _opening_pattern(selector)
 
-    def inner(found: Column) -> Column:
-        pieces = F.split(found["rest"], F.concat(F.lit("(?i)(?=</?"), found["name"], F.lit("\\b)")))
-        return let(pieces, lambda cut: F.array_join(F.slice(cut, 1, _pieces_inside(cut, found["name"])), ""))
+    def inner(hit: Column) -> Column:
+        pieces = F.split(hit["rest"], F.concat(F.lit("(?i)(?=</?"), hit["name"], F.lit("\\b)")))
+        cut = let(pieces, lambda p: F.array_join(F.slice(p, 1, _pieces_inside(p, hit["name"])), ""))
+        return F.when(hit["rest"].isNotNull(), cut)
 
     found = F.struct(
-        F.lower(F.regexp_extract(html, pattern, 1)).alias("name"),
+        F.lower(F.call_function("regexp_extract", html, pattern, F.lit(1))).alias("name"),
         F.try_element_at(F.split(html, pattern, 2), F.lit(2)).alias("rest"),
     )
-    return let(found, lambda hit: F.when(hit["rest"].isNotNull(), inner(hit)))
+    return let(found.cast("struct<name:string,rest:string>"), inner)
 
 
 def _pieces_inside(pieces: Column, name: Column) -> Column:
@@ -246,10 +234,17 @@ def _pieces_inside(pieces: Column, name: Column) -> Column:
 
 def main_block(html: Column) -> Column:
     """Source of the article element found by the first selector that matches, else of the body."""
-    return let(
-        remove_code(html),
-        lambda page: F.coalesce(*[element_inner(page, selector) for selector in CONTENT_SELECTORS], body(page)),
-    )
+    patterns = F.array(*[F.lit(_opening_pattern(selector)) for selector in CONTENT_SELECTORS])
+
+    def search(page: Column) -> Column:
+        found = F.aggregate(
+            patterns,
+            F.lit(None).cast("string"),
+            lambda hit, pattern: F.when(hit.isNotNull(), hit).otherwise(element_inner(page, pattern)),
+        )
+        return F.coalesce(found, body(page))
+
+    return let(remove_code(html), search)
 
 
 def body(html: Column) -> Column:
@@ -259,21 +254,24 @@ def body(html: Column) -> Column:
 
 
 def text_blocks(html: Column, min_chars: int = 25, max_link_share: float = 0.5) -> Column:
-    """Running text of a page: blocks that are long enough, are no heading and consist mostly of unlinked text."""
+    """Running text of a page: blocks that are long enough, are no heading and consist mostly of unlinked text.
+
+    Character references stay as written, so that they can be decoded once for all blocks.
+    """
     bare = let(remove_code(clean_html(html)), body)
     marked = F.regexp_replace(bare, rf"(?is)(</?(?:{BLOCK_TAGS})\b[^>]*>)", f"{_CUT}$1")
     scored = F.transform(
         F.split(marked, _CUT),
         lambda block: F.struct(
-            _squeeze(block).alias("text"),
-            _squeeze(
+            _one_line(block).alias("text"),
+            _one_line(
                 F.array_join(F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), " ")
             ).alias("linked"),
             block.rlike(r"(?is)^<h[1-6]\b").alias("heading"),
         ),
     )
     kept = F.filter(
-        scored,
+        scored.cast("array<struct<text:string,linked:string,heading:boolean>>"),
         lambda block: ~block["heading"]
         & (F.length(block["text"]) >= min_chars)
         & (F.length(block["linked"]) <= F.length(block["text"]) * max_link_share),
@@ -281,7 +279,7 @@ def text_blocks(html: Column, min_chars: int = 25, max_link_share: float = 0.5)
     return F.transform(kept, lambda block: block["text"])
 
 
-def _squeeze(block: Column) -> Column:
-    """Text of one block on one line."""
+def _one_line(block: Column) -> Column:
+    """Text of one block on one line, references as written."""
     bare = F.regexp_replace(F.regexp_replace(block, r"(?is)<br\b[^>]*>", " "), "(?s)<[^>]*>", "")
-    return strip(F.regexp_replace(decode_entities(bare), "[ \t\r\n]+", " "))
+    return strip(F.regexp_replace(bare, "[ \t\r\n]+", " "))

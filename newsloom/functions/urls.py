@@ -35,6 +35,7 @@ RELATIVE_SCHEMES = [
     "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
 ]
 
+_PARTS = "struct<raw:string,scheme:string,netloc:string,path:string,query:string>"
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -56,7 +57,8 @@ def split_url(url: Column) -> Column:
             part(4).alias("query"),
         )
 
-    return let(let(url, lambda raw: F.struct(raw.alias("raw"), _tidy(raw).alias("clean"))), parts)
+    both = let(url, lambda raw: F.struct(raw.alias("raw"), _tidy(raw).alias("clean")), "struct<raw:string,clean:string>")
+    return let(both, parts, _PARTS)
 
 
 def _netloc(url: Column) -> Column:
@@ -85,7 +87,7 @@ def _clean_query(query: Column) -> Column:
         ),
         lambda pair: ~pair["key"].isin(TRACKING_PARAMS),
     )
-    return let(pairs, _encode_pairs)
+    return let(pairs.cast("array<struct<key:string,value:string>>"), _encode_pairs)
 
 
 def _encode_pairs(pairs: Column) -> Column:
@@ -157,8 +159,9 @@ def _join_path(base_path: Column, ref_path: Column) -> Column:
     ref_segments = F.split(ref_path, "/")
     segments = F.when(ref_path.startswith("/"), ref_segments).otherwise(
         let(
-            F.concat(let(F.split(base_path, "/"), base_dir), ref_segments),
+            F.concat(let(F.split(base_path, "/"), base_dir, "array<string>"), ref_segments),
             without_inner_blanks,
+            "array<string>",
         )
     )
     return let(
@@ -183,7 +186,8 @@ def _target(link: Column, page: Column) -> Column:
         | _unbalanced_brackets(page["netloc"])
     )
     own = F.struct(*[link[name].alias(name) for name in ("scheme", "netloc", "path", "query")])
-    return F.when(link["raw"] == "", F.lit(None)).when(link["netloc"] != "", own).when(~unusable, on_page)
+    chosen = F.when(link["raw"] == "", F.lit(None)).when(link["netloc"] != "", own).when(~unusable, on_page)
+    return chosen.cast("struct<scheme:string,netloc:string,path:string,query:string>")
 
 
 def _resolve(link: Column, page: Column) -> Column:
@@ -196,10 +200,8 @@ def resolve_url(ref: Column, base: Column) -> Column:
 
     A link with its own host is only canonicalised, so ``//host/x`` stays without a scheme.
     """
-    return let(
-        F.struct(split_url(ref).alias("link"), split_url(base).alias("page")),
-        lambda both: _resolve(both["link"], both["page"]),
-    )
+    both = F.struct(split_url(ref).alias("link"), split_url(base).alias("page"))
+    return let(both.cast(f"struct<link:{_PARTS},page:{_PARTS}>"), lambda b: _resolve(b["link"], b["page"]))
 
 
 def resolve_urls(refs: Column, base: Column) -> Column:
@@ -207,6 +209,7 @@ def resolve_urls(refs: Column, base: Column) -> Column:
     resolved = let(
         split_url(base),
         lambda page: F.transform(F.transform(refs, split_url), lambda link: _resolve(link, page)),
+        "array<string>",
     )
     return F.array_distinct(F.filter(resolved, lambda url: url.isNotNull()))
 

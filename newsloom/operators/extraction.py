@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import html, urls
-from newsloom.functions.binding import let
 from newsloom.functions.dates import is_recent
 from newsloom.functions.text import strip
 
@@ -28,7 +27,7 @@ class Strategy:
 
 
 def density_text(source: Column) -> Column:
-    return F.array_join(html.text_blocks(source), "\n\n")
+    return html.decode_entities(F.array_join(html.text_blocks(source), "\n\n"))
 
 
 def stripped_text(source: Column) -> Column:
@@ -73,21 +72,16 @@ def extract(pages: DataFrame, strategies: list[Strategy] = STRATEGIES) -> DataFr
             chosen = F.when(found.isin(names), function(source)).otherwise(chosen)
         return chosen
 
-    def read(found: Column) -> Column:
-        strategy = found["strategy"]
-        return F.struct(
-            strategy.alias("strategy"),
-            found["content"].alias("content"),
-            by_strategy(strategy, lambda s: s.date).alias("publication_date"),
-        )
-
     # Generated, not projected: later filters on content or date must not be pushed down as second copies of these
     # expressions, which would read every page twice.
-    found = F.inline_outer(F.array(let(F.coalesce(*[candidate(s) for s in strategies]), read)))
+    chosen = F.coalesce(*[candidate(s) for s in strategies]).cast("struct<strategy:string,content:string>")
+    found = F.inline_outer(F.array(chosen))
+    date = F.explode_outer(F.array(by_strategy(F.col("strategy"), lambda s: s.date).cast("string")))
     declares = [s.name for s in strategies if s.declares_language]
     declared = F.nullif(html.declared_language(source), F.lit(""))
     return (
         pages.select("*", found)
+        .select("*", date.alias("publication_date"))
         .select(
             *[c for c in pages.columns if c != "html"],
             "strategy",

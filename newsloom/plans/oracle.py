@@ -79,7 +79,7 @@ def rendered(x: str) -> str:
 
 def squeeze(x: str) -> str:
     bare = sub(sub(x, r"(?is)<br\b[^>]*>", "' '"), "(?s)<[^>]*>")
-    return strip(sub(decode(bare), r"[ \t\r\n]+", "' '"))
+    return strip(sub(bare, r"[ \t\r\n]+", "' '"))
 
 
 def density(x: str) -> str:
@@ -89,7 +89,7 @@ def density(x: str) -> str:
         f"list_filter(string_split({marked}, chr(1)), lambda b: NOT regexp_matches(b, '(?is)^<h[1-6]\\b') "
         f"AND length({squeeze('b')}) >= 25 AND length({squeeze(linked)}) <= length({squeeze('b')}) * 0.5)"
     )
-    return f"array_to_string(list_transform({kept}, lambda b: {squeeze('b')}), {NL} || {NL})"
+    return decode(f"array_to_string(list_transform({kept}, lambda b: {squeeze('b')}), {NL} || {NL})")
 
 
 def title(x: str) -> str:

@@ -24,7 +24,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
     return (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Recording the Python line of every column costs a call to the JVM each; plans here have many columns.
+        builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("NEWSLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()

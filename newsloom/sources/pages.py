@@ -91,6 +91,7 @@ def fan_out(
             .otherwise(F.array(urls.normalize_url(F.col("url"))))
             .alias("targets"),
         ),
+        "struct<is_listing:boolean,targets:array<string>>",
     )
     return pages.withColumn("_fan", targets).select(
         *[c for c in pages.columns if c not in ("html", "url")],
