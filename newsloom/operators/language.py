@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import materialise
+
 DEFAULT_LANGUAGE = "en"
 #: Log probabilities are whole millionths: their sums are exact, so no tie depends on how the data was split.
 SCALE = 1_000_000
@@ -19,18 +21,15 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-def grams(word: Column) -> Column:
-    """Character 1- to 3-grams of a word, its ends marked by ``_`` in the longer ones."""
-    letters = F.regexp_extract_all(word, F.lit("(?s)(.)"), F.lit(1))
-    padded = F.regexp_extract_all(F.concat(F.lit("_"), word, F.lit("_")), F.lit("(?s)(.)"), F.lit(1))
-    n = F.size(padded)
-
-    def joined(a: Column, b: Column) -> Column:
-        return F.concat(a, b)
+def grams(text: Column) -> Column:
+    """Character 1- to 3-grams of the words of a text; ``_`` marks a word's ends in the longer ones.
 
-    pairs = F.slice(F.zip_with(padded, F.slice(padded, 2, n), joined), 1, n - 1)
-    triples = F.slice(F.zip_with(pairs, F.slice(padded, 3, n), joined), 1, n - 2)
-    return F.concat(letters, pairs, triples)
+    Look-ahead finds overlapping matches, so each length is one pass of a compiled pattern. Between two words stand two
+    marks, and no gram may hold both.
+    """
+    marked = F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "__"), F.lit("_"))
+    found = [r"([^_])", r"(?=((?!__)..))", r"(?=((?!.?__)...))"]
+    return F.concat(*[F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)) for pattern in found])
 
 
 @dataclass(frozen=True)
@@ -59,6 +58,7 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
+    counts = materialise(counts, "gram-counts")
     wide = counts.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
     # The most frequent grams per language, found by top-k per language over the counts.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
@@ -75,7 +75,8 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
         .alias(lang)
         for lang in languages
     ]
-    return LanguageModel(languages, kept.join(F.broadcast(totals)).select("gram", *logs))
+    table = kept.join(F.broadcast(totals)).select("gram", *logs)  # totals: one row
+    return LanguageModel(languages, materialise(table, "language-model"))
 
 
 def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
@@ -84,8 +85,7 @@ def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFr
     Each task sums the scores of its texts before anything is shuffled: one small row per text moves.
     """
     scores = (
-        docs.select(key, F.explode_outer(letter_words(F.col(text))).alias("word"))
-        .select(key, F.explode_outer(grams(F.col("word"))).alias("gram"))
+        docs.select(key, F.explode_outer(grams(F.col(text))).alias("gram"))
         .join(F.broadcast(model.table), "gram", "left")
         .groupBy(key)
         .agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in model.languages])

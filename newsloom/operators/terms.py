@@ -17,8 +17,15 @@ STOP = stop_tokens()
 
 
 def spread(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts that have content, as (key, text), hash-partitioned by key."""
-    return docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text") != "").repartition(F.col(key))
+    """Texts that have content, as (key, text), hash-partitioned by key.
+
+    The number of partitions is the session's shuffle width, given explicitly: adaptive execution would merge
+    partitions by the size of the texts, which says little about the many rows that are cut from them.
+    """
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text") != "").repartition(width, F.col(key))
+    )
 
 
 def is_stop(word: Column) -> Column:

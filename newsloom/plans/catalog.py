@@ -18,7 +18,7 @@ from newsloom.schema import response_articles, slim_articles
 from newsloom.session import shared_dir
 from newsloom.sources import pages as page_source
 from newsloom.sources import store
-from newsloom.sources.pages import read_table
+from newsloom.sources.pages import read_table, read_texts
 from newsloom.streaming.ingest import ingest, read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,7 +283,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents")
+    docs = read_texts(spark, sf, "documents")
     return language.detect(docs, "doc_id", "text", language.train(docs))
 
 
@@ -318,13 +318,13 @@ def summary_extractive(spark: SparkSession, sf: str) -> DataFrame:
 
 def _classifier(spark: SparkSession, sf: str):
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return classifier.train(read_table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return classifier.train(read_texts(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
 
 
 @query
 def fake_news_score(spark: SparkSession, sf: str) -> DataFrame:
     """No table labels genuine and fake news; the toxicity label stands in."""
-    return classifier.score(read_table(spark, sf, "documents"), "doc_id", "text", _classifier(spark, sf))
+    return classifier.score(read_texts(spark, sf, "documents"), "doc_id", "text", _classifier(spark, sf))
 
 
 # --- whole jobs -------------------------------------------------------------------------------------------------------

@@ -18,6 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to read: spread over the cores if it lies in fewer files than there are cores."""
+    table = read_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def urls_from_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per URL of a newline-separated text column."""
     return df.select(F.explode(urls.url_lines(F.col(text))).alias("url"))
