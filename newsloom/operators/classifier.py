@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ THRESHOLD = 0.7
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16) -> PipelineModel:
-    """Fit hashed TF-IDF and a logistic regression; both classes weigh the same in total.
+    """Fit length-normalised hashed TF-IDF and a logistic regression; both classes weigh the same in total.
 
     What travels between driver and tasks is one vector of ``features`` numbers, whatever the number of texts.
     """
@@ -28,8 +28,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", feature
     stages = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="features", minDocFreq=2),
-        LogisticRegression(labelCol=label, weightCol="weight", maxIter=30, regParam=0.05),
+        IDF(inputCol="counts", outputCol="weighted", minDocFreq=2),
+        Normalizer(inputCol="weighted", outputCol="features"),
+        LogisticRegression(labelCol=label, weightCol="weight", maxIter=30, regParam=0.001),
     ]
     return Pipeline(stages=stages).fit(weighted.select(text, F.col(label).cast("double").alias(label), "weight"))
 
