@@ -21,10 +21,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", feature
 
     What travels between driver and tasks is one vector of ``features`` numbers, whatever the number of texts.
     """
-    balance = labelled.select(F.avg(F.col(label)).alias("share"))
-    weighted = labelled.join(F.broadcast(balance)).withColumn(  # one row
-        "weight", F.when(F.col(label) == 1, 1 - F.col("share")).otherwise(F.col("share"))
-    )
+    share = labelled.select(F.avg(F.col(label))).scalar()
+    weighted = labelled.withColumn("weight", F.when(F.col(label) == 1, 1 - share).otherwise(share))
     stages = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),

@@ -64,19 +64,15 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     chosen = counts.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("gram").distinct()
     kept = wide.join(chosen, "gram")
-    totals = kept.agg(
-        *[F.sum(F.col(f"`{lang}`")).alias(f"total_{lang}") for lang in languages], F.count(F.lit(1)).alias("vocabulary")
-    )
+    # One row of totals, at most one number per language.
+    totals = kept.agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in languages], F.count(F.lit(1)).alias("_size")).first()
     logs = [
-        F.round(
-            F.log((F.col(f"`{lang}`") + alpha) / (F.col(f"total_{lang}") + alpha * F.col("vocabulary"))) * SCALE
-        )
+        F.round(F.log((F.col(f"`{lang}`") + alpha) / (totals[lang] + alpha * totals["_size"])) * SCALE)
         .cast("long")
         .alias(lang)
         for lang in languages
     ]
-    table = kept.join(F.broadcast(totals)).select("gram", *logs)  # totals: one row
-    return LanguageModel(languages, materialise(table, "language-model"))
+    return LanguageModel(languages, materialise(kept.select("gram", *logs), "language-model"))
 
 
 def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.terms import bigrams, content_terms, spread, top_per_key
@@ -20,15 +20,13 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(
-    counts: DataFrame, n_docs: DataFrame, min_df: int = 2, max_df: float = 0.85, max_features: int = 200
+    counts: DataFrame, n_docs: Column, min_df: int = 2, max_df: float = 0.85, max_features: int = 200
 ) -> DataFrame:
     """The ``max_features`` most frequent terms whose document frequency is neither too low nor too high."""
     return (
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf"))
-        .filter(F.col("df") >= min_df)
-        .join(F.broadcast(n_docs))  # one row: the number of texts
-        .filter(F.col("df") <= max_df * F.col("n_docs"))
+        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
         .orderBy(F.col("corpus_tf").desc(), "term")
         .limit(max_features)
     )
@@ -48,9 +46,9 @@ def tfidf(
     The vocabulary has at most ``max_features`` rows by definition, which is what makes its broadcast safe.
     """
     counts = term_counts(docs, key, text)
-    n_docs = docs.select(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocabulary(counts, n_docs, min_df, max_df, max_features).select(
-        "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")
+        "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     )
     weighted = counts.join(F.broadcast(vocab), "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import SENTENCE_BREAK, WORD
-from newsloom.operators.terms import fragments, is_stop, spread, top_per_key
+from newsloom.operators.terms import is_stop, spread, top_per_key
 
 DEDUP_LIMIT = 0.9
 POOL = 20
@@ -17,55 +17,76 @@ def _usable(word: Column) -> Column:
     return ~is_stop(word) & (F.length(word) >= 3) & word.rlike(r"\p{L}")
 
 
-def _neighbours(part: Column) -> Column:
-    """Each word of a fragment with the words before and after it."""
-    n = F.size(part)
-    blank = F.array(F.lit(None).cast("string"))
-    before = F.concat(blank, F.slice(part, 1, n - 1))
-    after = F.concat(F.slice(part, 2, n), blank)
-    return F.arrays_zip(part.alias("token"), before.alias("before"), after.alias("after"))
-
-
 def positions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per word: (key, n_sentences, sentence, first, token, word, before, after).
+    """One row per word: (key, n_sentences, sentence, first, token, word, after).
 
-    ``first`` marks the first word of its sentence. Sentences without a word are not counted.
+    ``first`` marks the first word of its sentence; ``after`` is the next word if no punctuation stands between.
+    Sentences without a word are not counted. Punctuation becomes a word of its own (``|``), so that neighbours are
+    found by zipping the words with themselves one place on.
     """
     split = F.filter(F.split(F.col("text"), SENTENCE_BREAK), lambda s: s.rlike(WORD))
+    start = F.regexp_replace("body", r"^[^\p{L}\p{N}]+", "")
+    cut = F.split(F.regexp_replace(start, r"[^\p{L}\p{N} ]+", " | "), " +")
     rows = (
         spread(docs, key, text)
         .select(key, split.alias("sentences"))
         .select(key, F.size("sentences").alias("n_sentences"), F.posexplode("sentences").alias("sentence", "body"))
-        .select(key, "n_sentences", "sentence", F.posexplode(fragments(F.col("body"))).alias("part_no", "part"))
-        .select(key, "n_sentences", "sentence", "part_no", F.posexplode(_neighbours(F.col("part"))).alias("at", "w"))
+        .select(key, "n_sentences", "sentence", cut.alias("token"))
+        .select(key, "n_sentences", "sentence", "token", F.slice("token", 2, F.size("token")).alias("after"))
+        .select(key, "n_sentences", "sentence", F.posexplode(F.arrays_zip("token", "after")).alias("at", "w"))
+        .filter(~F.col("w.token").isin("|", ""))
     )
+    after = F.when(~F.col("w.after").isin("|", ""), F.lower("w.after"))
     return rows.select(
         key,
         "n_sentences",
         "sentence",
-        ((F.col("part_no") == 0) & (F.col("at") == 0)).alias("first"),
+        (F.col("at") == 0).alias("first"),
         F.col("w.token").alias("token"),
         F.lower("w.token").alias("word"),
-        F.lower("w.before").alias("before"),
-        F.lower("w.after").alias("after"),
+        after.alias("after"),
     )
 
 
-def word_scores(rows: DataFrame, key: str) -> DataFrame:
-    """(key, word, word_score): casing, position, frequency, neighbourhood and spread of each word of a text."""
+def pair_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, word, after, n): how often two words follow each other in a text."""
+    return rows.filter(F.col("after").isNotNull()).groupBy(key, "word", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_stats(rows: DataFrame, key: str) -> DataFrame:
+    """One row of plain counts per word of a text. Two levels of hash aggregation take the place of sets."""
     acronym = F.col("token").rlike(r"^\p{Lu}{2,}$")
     capital = F.col("token").rlike(r"^\p{Lu}") & ~F.col("first")
-    stats = rows.groupBy(key, "word").agg(
-        F.max("n_sentences").alias("n_sentences"),
+    in_sentence = rows.groupBy(key, "n_sentences", "word", "sentence").agg(
         F.count(F.lit(1)).alias("tf"),
         F.count(F.when(acronym, 1)).alias("tf_acronym"),
         F.count(F.when(capital, 1)).alias("tf_capital"),
-        F.array_sort(F.collect_set("sentence")).alias("in_sentences"),
-        F.count("before").alias("n_before"),
-        F.size(F.collect_set("before")).alias("d_before"),
-        F.count("after").alias("n_after"),
-        F.size(F.collect_set("after")).alias("d_after"),
     )
+    of_word = in_sentence.groupBy(key, "word").agg(
+        F.max("n_sentences").alias("n_sentences"),
+        *[F.sum(c).alias(c) for c in ("tf", "tf_acronym", "tf_capital")],
+        F.count(F.lit(1)).alias("places"),
+        F.array_sort(F.collect_list("sentence")).alias("found_in"),
+    )
+    lower, upper = ((F.col("places") + 1) / 2).cast("int"), ((F.col("places") + 2) / 2).cast("int")
+    median = (F.element_at("found_in", lower) + F.element_at("found_in", upper)) / 2
+    of_word = of_word.withColumn("median", median).drop("found_in")
+    one, none = F.lit(1), F.lit(0)
+    after_word = F.struct("word", F.col("n").alias("n_after"), one.alias("d_after"), F.lit(0).cast("long").alias("n_before"), none.alias("d_before"))
+    before_word = F.struct(F.col("after").alias("word"), F.lit(0).cast("long").alias("n_after"), none.alias("d_after"), F.col("n").alias("n_before"), one.alias("d_before"))
+    neighbours = (
+        pair_counts(rows, key)
+        .select(key, F.inline(F.array(after_word, before_word)))
+        .groupBy(key, "word")
+        .agg(*[F.sum(c).alias(c) for c in ("n_after", "d_after", "n_before", "d_before")])
+    )
+    both = of_word.unionByName(neighbours, allowMissingColumns=True)
+    return both.groupBy(key, "word").agg(*[F.max(c).alias(c) for c in both.columns if c not in (key, "word")])
+
+
+def word_scores(rows: DataFrame, key: str) -> DataFrame:
+    """(key, word, tf, word_score): casing, position, frequency, neighbourhood and spread of each word of a text."""
+    stats = word_stats(rows, key)
     doc = Window.partitionBy(key)
     tf = F.col("tf")
     counted = F.when(_usable(F.col("word")), tf)
@@ -79,11 +100,6 @@ def word_scores(rows: DataFrame, key: str) -> DataFrame:
     spread_tf = F.sqrt(
         F.greatest((F.col("sum_tf2") - F.col("sum_tf") * F.col("sum_tf") / F.col("n_words")) / F.col("n_words"), F.lit(0.0))
     )
-    places = F.size("in_sentences")
-    median = (
-        F.element_at("in_sentences", ((places + 1) / 2).cast("int"))
-        + F.element_at("in_sentences", ((places + 2) / 2).cast("int"))
-    ) / 2
     share = tf / F.col("max_tf")
     diversity = F.coalesce(F.try_divide("d_before", "n_before"), F.lit(0.0)) + F.coalesce(
         F.try_divide("d_after", "n_after"), F.lit(0.0)
@@ -91,13 +107,14 @@ def word_scores(rows: DataFrame, key: str) -> DataFrame:
     return (
         with_doc.filter(_usable(F.col("word")))
         .withColumn("w_case", F.greatest("tf_acronym", "tf_capital") / (1 + F.log(tf)))
-        .withColumn("w_pos", F.log(F.log(3 + median)))
+        .withColumn("w_pos", F.log(F.log(3 + F.col("median"))))
         .withColumn("w_freq", tf / (mean + spread_tf))
         .withColumn("w_rel", 1 + diversity * share)
-        .withColumn("w_diff", places / F.col("n_sentences"))
+        .withColumn("w_diff", F.col("places") / F.col("n_sentences"))
         .select(
             key,
             "word",
+            "tf",
             (
                 F.col("w_pos")
                 * F.col("w_rel")
@@ -111,39 +128,28 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every one- and two-word candidate of each text: (key, keyword, tf, score)."""
     rows = positions(docs, key, text)
     scores = word_scores(rows, key)
-    single = F.when(_usable(F.col("word")), F.struct(F.col("word").alias("left"), F.lit(None).cast("string").alias("right")))
-    double = F.when(
-        _usable(F.col("word")) & F.col("after").isNotNull() & _usable(F.col("after")),
-        F.struct(F.col("word").alias("left"), F.col("after").alias("right")),
-    )
-    found = (
-        rows.select(key, F.explode(F.array_compact(F.array(single, double))).alias("c"))
-        .groupBy(key, F.col("c.left").alias("left"), F.col("c.right").alias("right"))
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    sides = found.select(
+    pairs = pair_counts(rows, key).filter(_usable(F.col("word")) & _usable(F.col("after")))
+    sides = pairs.select(
         key,
-        "left",
-        "right",
-        "tf",
-        F.posexplode(F.array_compact(F.array("left", "right"))).alias("side", "word"),
+        F.col("word").alias("left"),
+        F.col("after").alias("right"),
+        F.col("n").alias("tf"),
+        F.posexplode(F.array("word", "after")).alias("side", "word"),
     )
     # A window over (key, word) hands each side its word's score. A join would ask for a second shuffle by both.
-    none = F.lit(None)
-    both = sides.withColumn("word_score", none.cast("double")).unionByName(
+    # The rows that bring the scores are the one-word candidates themselves.
+    both = sides.withColumn("word_score", F.lit(None).cast("double")).unionByName(
         scores.select(
             key,
-            none.cast("string").alias("left"),
-            none.cast("string").alias("right"),
-            none.cast("long").alias("tf"),
-            none.cast("int").alias("side"),
+            F.col("word").alias("left"),
+            F.lit(None).cast("string").alias("right"),
+            "tf",
+            F.lit(0).alias("side"),
             "word",
             "word_score",
         )
     )
-    scored = both.withColumn("s", F.max("word_score").over(Window.partitionBy(key, "word"))).filter(
-        F.col("tf").isNotNull()
-    )
+    scored = both.withColumn("s", F.max("word_score").over(Window.partitionBy(key, "word")))
     first, second = F.max(F.when(F.col("side") == 0, F.col("s"))), F.max(F.when(F.col("side") == 1, F.col("s")))
     return (
         scored.groupBy(key, "left", "right", "tf")
