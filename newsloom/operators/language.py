@@ -60,7 +60,7 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     )
     counts = materialise(counts, "gram-counts")
     wide = counts.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
-    # The most frequent grams per language, found by top-k per language over the counts.
+    # The most frequent grams per language. Spark cuts every task's rows to the best per language before the shuffle.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     chosen = counts.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("gram").distinct()
     kept = wide.join(chosen, "gram")

@@ -11,10 +11,12 @@ from newsloom.functions.urls import display_domain
 SALTS = 16
 
 # What an error message starts with, by the stage that failed.
-SCRAPE_ERROR = "Error: "
-RESULT_ERROR = "Unexpected result: "
-ENRICH_ERROR = "Error during enrichment: "
-STORE_ERROR = "Error storing in MongoDB: "
+ERROR_PREFIX = {
+    "scrape": "Error: ",
+    "result": "Unexpected result: ",
+    "enrich": "Error during enrichment: ",
+    "store": "Error storing in MongoDB: ",
+}
 
 
 def previews(articles: DataFrame) -> DataFrame:
@@ -46,29 +48,24 @@ def domain_members(articles: DataFrame, columns: list[str]) -> DataFrame:
     return keyed.join(counts, ["domain", "_salt"]).select("domain", *columns, "n_articles")
 
 
-def error_rows(df: DataFrame, url: Column, message: Column, stage: str) -> DataFrame:
+def error_rows(df: DataFrame, url: Column, detail: Column, stage: str = "scrape") -> DataFrame:
     """Rows of the error table; the message of the failure travels, a stack trace does not."""
     return df.select(
-        url.alias("url"), message.alias("error"), F.lit(None).cast("string").alias("traceback"), F.lit(stage).alias("stage")
+        url.alias("url"),
+        F.concat(F.lit(ERROR_PREFIX[stage]), detail).alias("error"),
+        F.lit(None).cast("string").alias("traceback"),
+        F.lit(stage).alias("stage"),
     )
 
 
 def invalid_url_errors(requested: DataFrame, is_valid: Column) -> DataFrame:
-    return error_rows(
-        requested.filter(~is_valid),
-        F.col("url"),
-        F.concat(F.lit(SCRAPE_ERROR + "Invalid URL: "), F.coalesce(F.col("url"), F.lit("None"))),
-        "scrape",
-    )
+    detail = F.concat(F.lit("Invalid URL: "), F.coalesce(F.col("url"), F.lit("None")))
+    return error_rows(requested.filter(~is_valid), F.col("url"), detail)
 
 
 def missing_page_errors(looked_up: DataFrame) -> DataFrame:
-    return error_rows(
-        looked_up.filter(F.col("html").isNull()),
-        F.col("url"),
-        F.concat(F.lit(SCRAPE_ERROR + "No page for URL: "), F.col("url")),
-        "scrape",
-    )
+    detail = F.concat(F.lit("No page for URL: "), F.col("url"))
+    return error_rows(looked_up.filter(F.col("html").isNull()), F.col("url"), detail)
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:

@@ -167,3 +167,11 @@ def test_cutoff_uses_the_given_moment(spark):
 def test_ids_are_md5_of_the_url(spark):
     df = spark.createDataFrame([("http://a",)], "url string").select(article_id(F.col("url")).alias("i"))
     assert df.first()["i"] == hashlib.md5(b"http://a").hexdigest()
+
+
+def test_error_messages_name_their_stage(spark):
+    df = spark.createDataFrame([("u",)], "url string")
+    got = {
+        stage: reporting.error_rows(df, F.col("url"), F.lit("why"), stage).first()["error"] for stage in reporting.ERROR_PREFIX
+    }
+    assert got == {stage: prefix + "why" for stage, prefix in reporting.ERROR_PREFIX.items()}
