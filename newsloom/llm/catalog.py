@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import packing
+from newsloom.llm import fingerprints, kneser_ney, neardup, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,29 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", kneser_ney.held_out(F.col("doc_id")).alias("held_out"), "text")
+    model = kneser_ney.fit(docs.where("not held_out"))
+    return kneser_ney.score(docs, model)
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.apply_policy(quality.ledger(table(spark, sf, "documents")), quality.STANDARD)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "failed",
+    )
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf, "documents"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.classes(table(spark, sf, "documents"))

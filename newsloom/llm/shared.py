@@ -50,7 +50,9 @@ def put(address: str, data: bytes) -> None:
 
 
 def mapped(address: str, dtype: type) -> np.ndarray:
-    """A file of the shared folder as a memory-mapped array. Only the pages that are looked at are read.
+    """A file of the shared folder as a memory-mapped array; empty where no task had anything to write.
+
+    Only the pages that are looked at are read.
 
     From a store without a mount the file is read into memory instead; callers open one shard at a time.
     """
@@ -59,8 +61,10 @@ def mapped(address: str, dtype: type) -> np.ndarray:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(address)
+        if store.get_file_info(inner).type == fs.FileType.NotFound:
+            return np.zeros(0, dtype=dtype)
         with store.open_input_file(inner) as source:
             return np.frombuffer(source.read(), dtype=dtype)
-    if os.path.getsize(path) == 0:
+    if not os.path.exists(path) or os.path.getsize(path) == 0:
         return np.zeros(0, dtype=dtype)
     return np.memmap(path, dtype=dtype, mode="r")
