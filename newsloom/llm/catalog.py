@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import fingerprints, kneser_ney, neardup, packing, quality
+from newsloom.llm import (
+    chat,
+    fingerprints,
+    kneser_ney,
+    language_id,
+    main_text,
+    neardup,
+    packing,
+    quality,
+    url_filter,
+    viterbi,
+)
+from newsloom.llm.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), url_filter.fit(url_filter.labelled_seed(spark)))
+
+
 @query
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -33,6 +50,17 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    # The address travels with the page's id, which need not be unique.
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    texts = main_text.extract(keyed, main_text.fit(pages), "page")
+    return texts.select(
+        "page.page_id", "page.url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars")
+    )
+
+
 @query
 def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", kneser_ney.held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -49,6 +77,41 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    decoded = viterbi.decode(viterbi.encode(docs, path), path)
+    return decoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip")
+    )
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    nasty = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", nasty), (-1, 1, "assistant", nasty)], rows.schema)
+    chain = chat.as_chain(rows.unionByName(extra), "conv_id", "turn").withColumnRenamed("_conversation", "conv_id")
+    paths = chat.chosen_paths(written(chain, "chain"))
+    return chat.digests(chat.format_paths(paths, ["tree", "path", "conv_id"]), "conv_id")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    model = language_id.fit_text(table(spark, sf, "documents"))
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    keyed = pages.select(
+        F.struct("page_id", "url", F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z-]+)", 1).alias("declared")).alias("page"), "html"
+    )
+    texts = main_text.extract(keyed, main_text.Weights(), "page")
+    return language_id.identify(
+        texts, model, [F.col("page.page_id").alias("page_id")], F.col("main_text"), F.col("page.declared"), F.col("page.url"),
+        url_filter.host(F.col("page.url")),
+    )
+
+
 @query
 def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf, "documents"))

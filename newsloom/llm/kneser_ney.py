@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
             return as_batch(list(blocks((keys >> np.uint64(48)).astype(np.int64) % width, keys, n)))
 
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 24):
+            for a, b in batches_of(batch.column(0), 1 << 23):
                 held.append(add_up(with_end(words(batch.column(0).slice(a, b - a)))[0]))
             if sum(len(k) for k, _ in held) > BUFFER:
                 yield out()
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, held, n = _files(model), [], 0
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 24):
+            for a, b in batches_of(batch.column(0), 1 << 23):
                 tokens_, first = with_end(words(batch.column(0).slice(a, b - a)))
                 held.append(_pair_keys(_word_ids(files, tokens_)[0], first))
                 n += len(tokens_)
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            for a, b in batches_of(texts, 1 << 23):
+            for a, b in batches_of(texts, 1 << 22):
                 hashes, first = with_end(words(texts.slice(a, b - a)))
                 logs, counts = log_probabilities(model, hashes, first)
                 base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.distinct + 1)))

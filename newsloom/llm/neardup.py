@@ -57,7 +57,7 @@ def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
             return as_batch(list(blocks((keys * np.uint64(shards)) >> np.uint64(32), keys, counts)))
 
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 24):
+            for a, b in batches_of(batch.column(0), 1 << 23):
                 s = shingles(words(batch.column(0).slice(a, b - a)), SIZE)
                 once = np.unique((s.rows.astype(np.uint64) << np.uint64(32)) | (s.hashes & _KEY))
                 held.append(once & _KEY)
@@ -169,7 +169,7 @@ def signatures(docs: DataFrame, frequent: object, id_column: str, text_column: s
                 none = np.ones(part.num_rows, dtype=bool)
                 none[present] = False
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(total), *[pa.array(k, pa.int64(), mask=none) for k in keys]],
+                    [part.column(0), part.column(1), pa.array(total, pa.float64()), *[pa.array(k, pa.int64(), mask=none) for k in keys]],
                     ["id", "digest", "weight", *names],
                 )
 
