@@ -49,7 +49,8 @@ def test_differencing_deals_evenly():
     window = packing.differencing(sizes, 20)
     sums = np.bincount(window, weights=sizes, minlength=20)
     assert sums.sum() == sizes.sum() and sums.max() - sums.min() <= 40
-    assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2).tolist() in ([0, 1, 1, 0, 1], [1, 0, 0, 1, 0], [0, 1, 1, 0, 0], [1, 0, 0, 1, 1])
+    five = np.array([8, 7, 6, 5, 4])  # the classic example, for which differencing leaves 2
+    assert sorted(np.bincount(packing.differencing(five, 2), weights=five).tolist()) == [14, 16]
     assert packing.differencing(np.array([5]), 3).tolist()[0] in (0, 1, 2)
 
 
