@@ -15,6 +15,8 @@ from newsloom.functions.text import strip
 NOISE_TAGS = ["script", "style", "iframe", "nav", "footer", "header", "aside"]
 # Elements that hold code, not text.
 CODE_TAGS = ["script", "style", "template", "noscript"]
+# Elements whose contents are not read as markup.
+FLAT_TAGS = [*CODE_TAGS, "iframe"]
 # Places to look for the article body, most specific first.
 CONTENT_SELECTORS = [
     "article",
@@ -35,31 +37,76 @@ DATE_METAS = [
 # Link relations and meta elements holding a site logo, in order.
 LOGO_RELS = ["icon", "shortcut icon", "apple-touch-icon"]
 LOGO_METAS = [("property", "og:image"), ("name", "twitter:image")]
+# Three-letter codes of languages and their two-letter ones.
+SHORT_CODES = {
+    "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl",
+    "dut": "nl", "rus": "ru", "zho": "zh", "chi": "zh", "jpn": "ja", "kor": "ko", "ara": "ar", "pol": "pl", "tur": "tr",
+}
 # Elements that start a new block of text.
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head"
     "|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 )
 
+#: What follows the name in an opening tag: nothing, or attributes, in whose quoted values ``>`` ends nothing.
+REST = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>"""
+
+#: Any tag; what only looks like one ends at the next ``>``.
+TAG = r"""(?s)</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>"""
+
 _CUT = "\u0001"
 _ENTITIES = json.dumps({"apos": "'", **{n: chr(c) for n, c in sorted(name2codepoint.items()) if n != "amp"}})
 
 
 def remove_elements(html: Column, tags: list[str]) -> Column:
-    """Drop elements with their contents. One pass per name, as a shared pattern would need a back-reference."""
+    """Drop elements with their contents. One pass per name, as a shared pattern would need a back-reference.
+
+    Code elements hold no markup and end at their first closing tag. Of others, which may nest, the depth is followed.
+    """
     for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+        flat = rf"(?is)<{tag}{REST}.*?</{tag}\s*>"
+        html = F.regexp_replace(html, flat, "") if tag in FLAT_TAGS else _without_nested(html, tag)
     return html
 
 
+def _without_nested(html: Column, tag: str) -> Column:
+    """The page without the elements of a name. An element that is never closed is left as it is."""
+
+    def cut(pieces: Column) -> Column:
+        opens, closes = F.lit(rf"(?is)^<{tag}{REST}"), F.lit(rf"(?is)^</{tag}\s*>")
+
+        def step(at: Column, piece: Column) -> Column:
+            opened, closed = F.rlike(piece, opens), F.rlike(piece, closes)
+            depth = at["depth"] + F.when(opened, 1).when(closed & (at["depth"] > 0), -1).otherwise(0)
+            ended = closed & (at["depth"] == 1)
+            kept = F.when(ended, F.regexp_replace(piece, closes, F.lit(""))).when(depth == 0, piece)
+            return F.struct(
+                depth.alias("depth"),
+                # What an element holds is put back if its end never comes.
+                F.when(depth == 0, F.concat(at["out"], F.array(F.coalesce(kept, F.lit(""))))).otherwise(at["out"]).alias("out"),
+                F.when(depth == 0, F.array().cast("array<string>")).otherwise(F.concat(at["held"], F.array(piece))).alias("held"),
+            )
+
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"))
+        walk = F.aggregate(pieces, start, step)
+        return let(walk, lambda w: F.array_join(F.concat(w["out"], w["held"]), ""))
+
+    pieces = F.split(html, rf"(?i)(?=</?{tag}[\s/>])")
+    return F.when(F.rlike(html, F.lit(rf"(?i)<{tag}[\s/>]")), let(pieces, cut)).otherwise(html)
+
+
 def clean_html(html: Column) -> Column:
     """The page without scripts, styles, frames and page furniture."""
     return remove_elements(html, NOISE_TAGS)
 
 
+def remove_comments(html: Column) -> Column:
+    return F.regexp_replace(html, "(?s)<!--.*?-->", "")
+
+
 def remove_code(html: Column) -> Column:
     """The page without comments and without elements whose contents are code."""
-    return remove_elements(F.regexp_replace(html, "(?s)<!--.*?-->", ""), CODE_TAGS)
+    return remove_elements(remove_comments(html), CODE_TAGS)
 
 
 def decode_entities(text: Column) -> Column:
@@ -91,23 +138,28 @@ def _character(code: Column) -> Column:
 
 def text_nodes(html: Column) -> Column:
     """Text between tags, nodes separated by blank lines, references decoded. Comments and code are left out."""
-    return decode_entities(F.regexp_replace(remove_code(html), "(?s)<[^>]*>", "\n\n"))
+    return decode_entities(F.regexp_replace(remove_code(html), TAG, "\n\n"))
 
 
 def rendered_text(html: Column) -> Column:
     """Text as a reader sees it: blocks and line breaks start a line, inline elements leave no gap."""
-    broken = F.regexp_replace(remove_code(html), rf"(?is)</?(?:{BLOCK_TAGS}|br)\b[^>]*>", "\n")
-    bare = F.regexp_replace(F.regexp_replace(broken, "(?s)<[^>]*>", ""), "[ \t\r]+", " ")
+    broken = F.regexp_replace(remove_code(html), rf"(?is)</?(?:{BLOCK_TAGS}|br){REST}", "\n")
+    bare = F.regexp_replace(F.regexp_replace(broken, TAG, ""), "[ \t\r]+", " ")
     return strip(F.regexp_replace(decode_entities(bare), " ?\n[ \n]*", "\n"))
 
 
 def title(html: Column) -> Column:
-    return strip(decode_entities(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)))
+    return strip(decode_entities(F.regexp_extract(remove_comments(html), rf"(?is)<title{REST}(.*?)</title>", 1)))
 
 
 def declared_language(html: Column) -> Column:
-    """Two-letter language the page declares for itself, empty if none."""
-    return F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2})""", 1))
+    """Language the page declares for itself, by the primary part of its code; empty if none.
+
+    Three-letter codes of languages that have one of two letters are given as those.
+    """
+    found = F.lower(F.regexp_extract(remove_comments(html), r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])""", 1))
+    short = F.create_map(*[F.lit(x) for pair in SHORT_CODES.items() for x in pair])
+    return F.coalesce(F.try_element_at(short, found), found)
 
 
 def _raw_attribute(tag: Column, name: str) -> Column:
@@ -123,7 +175,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def tags(html: Column, name: str) -> Column:
     """Source of every opening tag of a kind, in page order. Tags written inside comments or scripts do not count."""
-    return F.regexp_extract_all(remove_code(html), F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
+    return F.regexp_extract_all(remove_code(html), F.lit(rf"(?is)(<{name}{REST})"), F.lit(1))
 
 
 def _attributes(html: Column, tag: str, *names: str) -> Column:
@@ -162,13 +214,30 @@ def _first_where(found: Column, key: str, value: str, take: str) -> Column:
 
 
 def publication_date(html: Column) -> Column:
-    """Date from the known meta elements in order, else from the first ``time`` element that has one, else null."""
+    """Publication date as the page gives it, null if it gives none.
+
+    In this order: the known meta elements, the first ``time`` element that has one, ``datePublished`` in JSON-LD, and
+    an element of that ``itemprop``.
+    """
     in_metas = let(
         _attributes(html, "meta", "property", "name", "content"),
         lambda metas: F.coalesce(*[_first_where(metas, key, value, "content") for key, value in DATE_METAS]),
     )
     times = F.filter(F.transform(tags(html, "time"), lambda t: _raw_attribute(t, "datetime")), lambda at: at != "")
-    return decode_entities(F.coalesce(in_metas, F.try_element_at(times, F.lit(1))))
+    structured = F.when(F.contains(html, F.lit("datePublished")), F.coalesce(_date_in_json(html), _date_in_item(html)))
+    return decode_entities(F.coalesce(in_metas, F.try_element_at(times, F.lit(1)), structured))
+
+
+def _date_in_json(html: Column) -> Column:
+    scripts = rf"""(?is)<script(?=[^>]*application/ld\+json){REST}(.*?)</script"""
+    text = F.array_join(F.regexp_extract_all(html, F.lit(scripts), F.lit(1)), "\n")
+    return F.nullif(F.regexp_extract(text, r'"datePublished"\s*:\s*"([^"\\]+)"', 1), F.lit(""))
+
+
+def _date_in_item(html: Column) -> Column:
+    found = F.regexp_extract_all(remove_code(html), F.lit(r"""(?is)(<[a-z][^\s>]*\s(?=[^>]*\bitemprop\s*=\s*["']?datePublished\b)[^>]*>)"""), F.lit(1))
+    dates = F.transform(found, lambda t: F.coalesce(F.nullif(_raw_attribute(t, "content"), F.lit("")), _raw_attribute(t, "datetime")))
+    return F.try_element_at(F.filter(dates, lambda d: d != ""), F.lit(1))
 
 
 def logo(html: Column) -> Column:
@@ -191,7 +260,7 @@ def _opening_pattern(selector: str) -> str:
     if selector.startswith("["):
         key, value = selector[1:-1].replace('"', "").split("=")
         return rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*\s{key}\s*=\s*["']?{value}(?=[\s"'>])[^>]*>"""
-    return rf"(?is)<({selector})\b[^>]*>"
+    return rf"(?is)<({selector}){REST}"
 
 
 def element_inner(html: Column, pattern: Column) -> Column:
@@ -203,7 +272,7 @@ def element_inner(html: Column, pattern: Column) -> Column:
     """
 
     def inner(hit: Column) -> Column:
-        pieces = F.split(hit["rest"], F.concat(F.lit("(?i)(?=</?"), hit["name"], F.lit("\\b)")))
+        pieces = F.split(hit["rest"], F.concat(F.lit("(?i)(?=</?"), hit["name"], F.lit("[\\s/>])")))
         cut = let(pieces, lambda p: F.array_join(F.slice(p, 1, _pieces_inside(p, hit["name"])), ""))
         return F.when(hit["rest"].isNotNull(), cut)
 
@@ -219,6 +288,7 @@ def _pieces_inside(pieces: Column, name: Column) -> Column:
 
     def step(at: Column, piece: Column) -> Column:
         start = F.lower(F.substring(piece, 1, 64))
+        # Pieces begin at tags of exactly this name.
         change = (
             F.when(start.startswith(F.concat(F.lit("</"), name)), -1)
             .when(start.startswith(F.concat(F.lit("<"), name)), 1)
@@ -253,19 +323,19 @@ def body(html: Column) -> Column:
     return F.coalesce(inside, F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", ""))
 
 
-def text_blocks(html: Column, min_chars: int = 25, max_link_share: float = 0.5) -> Column:
-    """Running text of a page: blocks that are long enough, are no heading and consist mostly of unlinked text.
+def text_blocks(html: Column, max_link_share: float = 0.5) -> Column:
+    """Running text of a page: blocks, however short, that are no heading and consist mostly of unlinked text.
 
     Character references stay as written, so that they can be decoded once for all blocks.
     """
     bare = let(remove_code(clean_html(html)), body)
-    marked = F.regexp_replace(bare, rf"(?is)(</?(?:{BLOCK_TAGS})\b[^>]*>)", f"{_CUT}$1")
+    marked = F.regexp_replace(bare, rf"(?is)(</?(?:{BLOCK_TAGS}){REST})", f"{_CUT}$1")
     scored = F.transform(
         F.split(marked, _CUT),
         lambda block: F.struct(
             _one_line(block).alias("text"),
             _one_line(
-                F.array_join(F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), " ")
+                F.array_join(F.regexp_extract_all(block, F.lit(rf"(?is)<a{REST}(.*?)</a\s*>"), F.lit(1)), " ")
             ).alias("linked"),
             block.rlike(r"(?is)^<h[1-6]\b").alias("heading"),
         ),
@@ -273,7 +343,7 @@ def text_blocks(html: Column, min_chars: int = 25, max_link_share: float = 0.5)
     kept = F.filter(
         scored.cast("array<struct<text:string,linked:string,heading:boolean>>"),
         lambda block: ~block["heading"]
-        & (F.length(block["text"]) >= min_chars)
+        & (F.length(block["text"]) > 0)
         & (F.length(block["linked"]) <= F.length(block["text"]) * max_link_share),
     )
     return F.transform(kept, lambda block: block["text"])
@@ -281,5 +351,5 @@ def text_blocks(html: Column, min_chars: int = 25, max_link_share: float = 0.5)
 
 def _one_line(block: Column) -> Column:
     """Text of one block on one line, references as written."""
-    bare = F.regexp_replace(F.regexp_replace(block, r"(?is)<br\b[^>]*>", " "), "(?s)<[^>]*>", "")
+    bare = F.regexp_replace(F.regexp_replace(block, rf"(?is)<br{REST}", " "), TAG, "")
     return strip(F.regexp_replace(bare, "[ \t\r\n]+", " "))

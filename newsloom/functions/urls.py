@@ -236,3 +236,10 @@ def url_lines(text: Column) -> Column:
     """The URLs of a newline-separated text, trimmed, blank lines removed."""
     trimmed = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
     return F.filter(trimmed, lambda line: line != "")
+
+
+def date_in_path(url: Column) -> Column:
+    """The day in a path like ``/2024/06/01/``, as ``2024-06-01``; null if there is none."""
+    pattern = r"^[^?#]*?/((?:19|20)\d\d)[/-](0?[1-9]|1[0-2])[/-](0?[1-9]|[12]\d|3[01])(?=[/?#-]|$)"
+    parts = [F.lpad(F.regexp_extract(url, pattern, i), n, "0") for i, n in ((1, 4), (2, 2), (3, 2))]
+    return F.when(F.rlike(url, F.lit(pattern)), F.concat_ws("-", *parts))

@@ -76,7 +76,9 @@ def extract(pages: DataFrame, strategies: list[Strategy] = STRATEGIES) -> DataFr
     # expressions, which would read every page twice.
     chosen = F.coalesce(*[candidate(s) for s in strategies]).cast("struct<strategy:string,content:string>")
     found = F.inline_outer(F.array(chosen))
-    date = F.explode_outer(F.array(by_strategy(F.col("strategy"), lambda s: s.date).cast("string")))
+    dated = F.col("strategy").isin([s.name for s in strategies if s.date])
+    in_page = by_strategy(F.col("strategy"), lambda s: s.date).cast("string")
+    date = F.explode_outer(F.array(F.coalesce(in_page, F.when(dated, urls.date_in_path(F.col("url"))))))
     declares = [s.name for s in strategies if s.declares_language]
     declared = F.nullif(html.declared_language(source), F.lit(""))
     return (

@@ -14,6 +14,8 @@ DEFAULT_LANGUAGE = "en"
 SCALE = 1_000_000
 #: ISO 639-1 has fewer codes than this. With ``per_language`` it bounds the size of the broadcast model.
 MAX_LANGUAGES = 200
+#: Parts in which a language's n-grams are ranked before the best of all parts are.
+PARTS = 64
 
 
 def letter_words(text: Column) -> Column:
@@ -60,9 +62,13 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     )
     counts = materialise(counts, "gram-counts")
     wide = counts.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
-    # The most frequent grams per language. Spark cuts every task's rows to the best per language before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    chosen = counts.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("gram").distinct()
+    # The most frequent grams per language, in two steps: the best of each of PARTS parts, then the best of those.
+    order = [F.col("n").desc(), F.col("gram")]
+    part = F.pmod(F.xxhash64("gram"), F.lit(PARTS))
+    local = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = counts.withColumn("part", part).withColumn("rank", local).filter(F.col("rank") <= per_language).drop("part")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = best.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("gram").distinct()
     kept = wide.join(chosen, "gram")
     # One row of totals, at most one number per language.
     totals = kept.agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in languages], F.count(F.lit(1)).alias("_size")).first()
@@ -82,7 +88,7 @@ def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFr
     """
     scores = (
         docs.select(key, F.explode_outer(grams(F.col(text))).alias("gram"))
-        .join(F.broadcast(model.table), "gram", "left")
+        .join(model.table, "gram", "left")
         .groupBy(key)
         .agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in model.languages])
     )

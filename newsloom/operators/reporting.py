@@ -63,9 +63,9 @@ def invalid_url_errors(requested: DataFrame, is_valid: Column) -> DataFrame:
     return error_rows(requested.filter(~is_valid), F.col("url"), detail)
 
 
-def missing_page_errors(looked_up: DataFrame) -> DataFrame:
-    detail = F.concat(F.lit("No page for URL: "), F.col("url"))
-    return error_rows(looked_up.filter(F.col("html").isNull()), F.col("url"), detail)
+def missing_page_errors(missing: DataFrame) -> DataFrame:
+    """Errors of URLs without a page, one for each row."""
+    return error_rows(missing, F.col("url"), F.concat(F.lit("No page for URL: "), F.col("url")))
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:

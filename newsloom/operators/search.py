@@ -32,7 +32,7 @@ def _fold(text: str) -> str:
 def read_query(q: str) -> Query:
     """Quoted phrases are required, a leading minus excludes, other words are alternatives; stop words say nothing."""
     if not q:
-        raise ValueError("Search query cannot be empty")
+        raise ValueError("nothing to search for")
     asked = Query()
     for minus, phrase, word in re.findall(r'(?<!\S)(-?)"([^"]+)"|(\S+)', q):
         negated = minus == "-" or (not phrase and word.startswith("-"))

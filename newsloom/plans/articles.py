@@ -20,6 +20,7 @@ from newsloom.operators.terms import as_lists
 from newsloom.schema import as_articles
 from newsloom.session import materialise
 from newsloom.sources import pages as page_source
+from newsloom.sources import store
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ def scrape(
     pages: DataFrame,
     keep_link: Callable[[Column], Column] | None = page_source.looks_like_article,
     known_assets: DataFrame | None = None,
+    link_limit: int | None = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """(extracted, errors): one extracted row per distinct canonical URL behind the request.
 
@@ -44,25 +46,25 @@ def scrape(
     """
     valid = urls.is_valid_url(F.col("url"))
     keys = page_source.requested_keys(requested)
-    looked_up = page_source.lookup(keys, pages)
-    found = looked_up.filter(F.col("html").isNotNull())
-    targets = page_source.fan_out(found, keep=keep_link).select("url").distinct()
-    fetched = page_source.lookup(targets, pages)
-    extracted = extract(fetched.filter(F.col("html").isNotNull())).drop("page_id")
+    # Written once: articles and errors come from the same answer, and later branches read narrow rows.
+    asked = materialise(page_source.lookup_ids(keys, pages), "requested")
+    fanned = page_source.fan_out(page_source.with_source(asked, pages), keep=keep_link, limit=link_limit)
+    targets = materialise(fanned.select("url").distinct(), "targets")
+    linked = page_source.lookup_ids(targets.join(keys, "url", "left_anti"), pages)
+    known = asked.join(targets, "url", "left_semi").unionByName(linked)
+    fetched = materialise(known, "fetched")
+    extracted = extract(page_source.with_source(fetched, pages)).drop("page_id")
     if known_assets is not None:
         extracted = fill_logos(extracted, known_assets, pages)
-    errors = (
-        reporting.invalid_url_errors(requested, valid)
-        .unionByName(reporting.missing_page_errors(looked_up))
-        .unionByName(reporting.missing_page_errors(fetched))
-    )
+    missing = asked.filter(F.col("page_id").isNull()).select("url").unionByName(fetched.filter(F.col("page_id").isNull()).select("url"))
+    errors = reporting.invalid_url_errors(requested, valid).unionByName(reporting.missing_page_errors(missing.distinct()))
     return resolve_logo(extracted), errors
 
 
 def with_language(articles: DataFrame, model: language.LanguageModel | None) -> DataFrame:
-    """Declared language first, the detector's where a page declares none."""
+    """Declared language first, the detector's where a page declares none; without a detector that stays null."""
     if model is None:
-        return articles.withColumn("language", F.coalesce("language", F.lit(language.DEFAULT_LANGUAGE)))
+        return articles
     silent = articles.filter(F.col("language").isNull()).select("url", "content")
     detected = language.detect(silent, "url", "content", model).withColumnRenamed("language", "_detected")
     return (
@@ -98,13 +100,15 @@ def process_urls(
     language_model: language.LanguageModel | None = None,
     known_assets: DataFrame | None = None,
     method: str = "combined",
+    n_keywords: int = 10,
+    link_limit: int | None = 10,
 ) -> Run:
     """The whole job. Extraction is written once to the shared folder, since every later branch reads it."""
-    extracted, errors = scrape(requested, pages, known_assets=known_assets)
+    extracted, errors = scrape(requested, pages, known_assets=known_assets, link_limit=link_limit)
     extracted = materialise(extracted, "extracted")
     readable = extracted.filter(F.col("content").isNotNull())
     recent = filter_recent(readable, as_of, max_age_days)
-    enriched = enrich(with_language(recent, language_model), model, method)
+    enriched = enrich(with_language(recent, language_model), model, method, n_keywords)
     stamped = enriched.withColumn("_id", urls.article_id(F.col("url"))).withColumn(
         "scraped_at", timestamp_literal(as_of)
     )
@@ -115,3 +119,10 @@ def process_urls(
     ).unionByName(errors.select("url", F.lit("error").alias("outcome")))
     return Run(as_articles(stamped), errors, outcomes)
 
+
+
+def process_and_store(run: Run, path: str, batch: int, writer: str = "main") -> Run:
+    """Upsert a run's articles into a collection. The run's articles are then what was stored, not computed again."""
+    articles = materialise(run.articles, "articles")
+    store.upsert(articles.filter(F.coalesce(F.col("url"), F.lit("")) != ""), path, batch, writer)
+    return Run(articles, run.errors, run.outcomes)

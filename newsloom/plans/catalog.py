@@ -14,11 +14,11 @@ from newsloom.operators.summary import summarize
 from newsloom.operators.terms import as_lists
 from newsloom.plans import articles as jobs
 from newsloom.plans.views import AS_OF, articles_view, dated_pages
-from newsloom.schema import response_articles, slim_articles
+from newsloom.schema import as_articles, response_articles, slim_articles
 from newsloom.session import shared_dir
 from newsloom.sources import pages as page_source
 from newsloom.sources import store
-from newsloom.sources.pages import read_table, read_texts
+from newsloom.sources.pages import read_table
 from newsloom.streaming.ingest import ingest, read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,15 +174,12 @@ _page_column("image_extract", lambda source: joined(html.large_images(source)),
 
 @query
 def extract_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of three kinds: as they are, with their text only as short pieces, and with no text at all."""
-    pages = read_table(spark, sf, "pages")
-    kind = F.col("page_id") % 3
-    source = (
-        F.when(kind == 0, F.col("html"))
-        .when(kind == 1, F.concat(F.lit("<html><body><article><p>Short "), F.col("page_id").cast("string"), F.lit("</p></article></body></html>")))
-        .otherwise(F.regexp_extract("html", r"(?is)(<script\b[^>]*>.*?</script>)", 1))
-    )
-    return extraction.extract(pages.withColumn("html", source)).select("page_id", "strategy", "content")
+    """Every page as it is, as a page whose only text is a linked heading, and as a page without text."""
+    linked = F.concat(F.lit("<html><body><article><h1><a href='/'>"), html.title(F.col("html")), F.lit("</a></h1></article></body></html>"))
+    script = F.regexp_extract("html", r"(?is)(<script\b[^>]*>.*?</script>)", 1)
+    kinds = F.posexplode(F.array(F.col("html"), linked, script)).alias("kind", "html")
+    pages = read_table(spark, sf, "pages").select("page_id", "url", kinds)
+    return extraction.extract(pages).select("page_id", F.col("kind").cast("long").alias("kind"), "strategy", "content")
 
 
 @query
@@ -231,28 +228,35 @@ def upsert_fields(spark: SparkSession, sf: str) -> DataFrame:
     return store.merge_fields(_event_writes(spark, sf).withColumn("present", present), ["ts", "event_id"])
 
 
+def _collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles of the view, stored in a new collection in the shared folder and read back."""
+    path = f"{shared_dir(spark)}/newsloom/collection-{uuid.uuid4().hex}"
+    store.upsert(as_articles(articles_view(spark, sf)), path, 0)
+    return store.read_collection(spark, path)
+
+
 @query
 def get_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    view = articles_view(spark, sf)
-    wanted = view.agg(F.min("_id")).first()[0]
-    return store.get_article(view, wanted).select("_id", "url", "title")
+    stored = _collection(spark, sf)
+    wanted = stored.agg(F.min("_id")).first()[0]
+    return store.get_article(stored, wanted).select("_id", "url", "title")
 
 
 @query
 def get_by_url(spark: SparkSession, sf: str) -> DataFrame:
-    view = articles_view(spark, sf)
-    wanted = view.agg(F.max("url")).first()[0]
-    return store.get_article_by_url(view, wanted).select("_id", "url", "title")
+    stored = _collection(spark, sf)
+    wanted = stored.agg(F.max("url")).first()[0]
+    return store.get_article_by_url(stored, wanted).select("_id", "url", "title")
 
 
 @query
 def recent_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return store.recent_articles(articles_view(spark, sf), AS_OF).select("_id", "publication_date", "title")
+    return store.recent_articles(_collection(spark, sf), AS_OF).select("_id", "publication_date", "title")
 
 
 @query
 def recent_articles_ts(spark: SparkSession, sf: str) -> DataFrame:
-    found = store.recent_articles_by_time(articles_view(spark, sf), AS_OF)
+    found = store.recent_articles_by_time(_collection(spark, sf), AS_OF)
     return found.select("_id", "published_ts", "title")
 
 
@@ -283,8 +287,10 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_texts(spark, sf, "documents")
-    return language.detect(docs, "doc_id", "text", language.train(docs))
+    """Trained on the even documents; the odd ones are told apart."""
+    docs = read_table(spark, sf, "documents")
+    even = F.col("doc_id") % 2 == 0
+    return language.detect(docs.filter(~even), "doc_id", "text", language.train(docs.filter(even)))
 
 
 def _ranked(name: str, method: Callable[..., DataFrame], digits: int | None = 6) -> None:
@@ -318,13 +324,13 @@ def summary_extractive(spark: SparkSession, sf: str) -> DataFrame:
 
 def _classifier(spark: SparkSession, sf: str):
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return classifier.train(read_texts(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return classifier.train(read_table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
 
 
 @query
 def fake_news_score(spark: SparkSession, sf: str) -> DataFrame:
     """No table labels genuine and fake news; the toxicity label stands in."""
-    return classifier.score(read_texts(spark, sf, "documents"), "doc_id", "text", _classifier(spark, sf))
+    return classifier.score(read_table(spark, sf, "documents"), "doc_id", "text", _classifier(spark, sf))
 
 
 # --- whole jobs -------------------------------------------------------------------------------------------------------
@@ -349,7 +355,8 @@ def scrape_articles(spark: SparkSession, sf: str) -> DataFrame:
 def process_urls(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: requested URLs to enriched, classified articles in the response schema."""
     requested, pages = _published(spark, sf)
-    run = jobs.process_urls(requested, pages, AS_OF, 180, model=_classifier(spark, sf))
+    detector = language.train(read_table(spark, sf, "documents"))
+    run = jobs.process_urls(requested, pages, AS_OF, 180, model=_classifier(spark, sf), language_model=detector)
     return response_articles(run.articles).withColumn("keywords", joined(F.col("keywords"))).withColumn(
         "image_urls", joined(F.col("image_urls"))
     )

@@ -87,7 +87,7 @@ def density(x: str) -> str:
     linked = r"array_to_string(regexp_extract_all(b, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1), ' ')"
     kept = (
         f"list_filter(string_split({marked}, chr(1)), lambda b: NOT regexp_matches(b, '(?is)^<h[1-6]\\b') "
-        f"AND length({squeeze('b')}) >= 25 AND length({squeeze(linked)}) <= length({squeeze('b')}) * 0.5)"
+        f"AND length({squeeze('b')}) > 0 AND length({squeeze(linked)}) <= length({squeeze('b')}) * 0.5)"
     )
     return decode(f"array_to_string(list_transform({kept}, lambda b: {squeeze('b')}), {NL} || {NL})")
 
@@ -257,7 +257,7 @@ cut AS (
     SELECT word, unnest(list_concat(c, list_transform(range(1, len(p)), lambda i: p[i] || p[i + 1]),
                   list_transform(range(1, len(p) - 1), lambda i: p[i] || p[i + 1] || p[i + 2]))) AS gram FROM vocab),
 cut_counts AS (SELECT word, gram, count(*) AS k FROM cut GROUP BY ALL),
-lang_words AS (SELECT lang, word, sum(n) AS n FROM uses WHERE lang IS NOT NULL GROUP BY ALL),
+lang_words AS (SELECT lang, word, sum(n) AS n FROM uses WHERE lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY ALL),
 counts AS (SELECT lang, gram, sum(n * k) AS n FROM lang_words JOIN cut_counts USING (word) GROUP BY ALL),
 chosen AS (SELECT DISTINCT gram FROM (
     SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts) WHERE r <= 1000),
@@ -320,11 +320,11 @@ def oracle_queries() -> dict[str, str]:
     cascade = "CASE WHEN d <> '' THEN d WHEN s <> '' THEN s WHEN r <> '' THEN r END"
     strategy = "CASE WHEN d <> '' THEN 'paragraph_density' WHEN s <> '' THEN 'tag_strip' WHEN r <> '' THEN 'selector' END"
     texts = f"{density('html')} AS d, {stripped('html')} AS s, {rendered(main_block('html'))} AS r"
-    q["extract_cascade"] = f"""WITH source AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html
-            WHEN 1 THEN '<html><body><article><p>Short ' || page_id || '</p></article></body></html>'
-            ELSE regexp_extract(html, '(?is)(<script\\b[^>]*>.*?</script>)', 1) END AS html FROM pages),
-        tried AS (SELECT page_id, {texts} FROM source)
-        SELECT page_id, {strategy} AS strategy, {cascade} AS content FROM tried"""
+    q["extract_cascade"] = f"""WITH source AS (SELECT page_id, 0 AS kind, html FROM pages
+            UNION ALL SELECT page_id, 1, '<html><body><article><h1><a href=''/''>' || {title('html')} || '</a></h1></article></body></html>' FROM pages
+            UNION ALL SELECT page_id, 2, regexp_extract(html, '(?is)(<script\\b[^>]*>.*?</script>)', 1) FROM pages),
+        tried AS (SELECT page_id, kind, {texts} FROM source)
+        SELECT page_id, kind::BIGINT AS kind, {strategy} AS strategy, {cascade} AS content FROM tried"""
     q["logo_fallback"] = f"""WITH s AS (SELECT page_id, {site('url')} AS site,
             CASE page_id % 4 WHEN 0 THEN '/favicon-' || page_id || '.png'
             WHEN 1 THEN 'https://cdn.example.com/' || page_id || '.png' WHEN 2 THEN '/og/' || page_id || '.jpg' END AS logo
@@ -373,7 +373,7 @@ def oracle_queries() -> dict[str, str]:
         SELECT term, _id, field, count(*) AS tf FROM w WHERE term NOT IN {STOP_LIST} GROUP BY ALL"""
 
     q["language_id"] = f"""WITH {LANGUAGE} SELECT d.doc_id, coalesce(b.l, 'en') AS language
-        FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1"""
+        FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1 WHERE d.doc_id % 2 = 1"""
     rake = "points DESC, keyword DESC"
     q["keywords_rake"] = f"WITH {RAKE} " + _rank(
         "doc_id, rank, keyword, round(points::DOUBLE / 1000000, 6) AS score", "scored", rake

@@ -36,10 +36,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, which every executor can reach.
 
-    Only where the setting is missing (tests, a single machine) is a temporary folder used instead.
+    Only a session on one machine may go without the setting and gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "newsloom-checkpoint"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")

@@ -18,13 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are costly to read: spread over the cores if it lies in fewer files than there are cores."""
-    table = read_table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
-
-
 def urls_from_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per URL of a newline-separated text column."""
     return df.select(F.explode(urls.url_lines(F.col(text))).alias("url"))
@@ -33,21 +26,13 @@ def urls_from_text(df: DataFrame, text: str = "text") -> DataFrame:
 def urls_from_list(spark: SparkSession, requested: list[str]) -> DataFrame:
     """A URL table from a list given by the caller, who must name at least one."""
     if not requested:
-        raise ValueError("No URLs provided")
+        raise ValueError("the list of URLs to read is empty")
     return spark.createDataFrame([(u,) for u in requested], "url string")
 
 
-def keyed_pages(pages: DataFrame) -> DataFrame:
-    """One page per canonical URL, the one with the highest ``page_id`` where several were fetched.
-
-    ``max_by`` aggregates on the map side, so a URL fetched a million times sends one row per task.
-    """
-    return (
-        pages.filter(urls.is_valid_url(F.col("url")))
-        .select(urls.normalize_url(F.col("url")).alias("url"), "page_id", "html")
-        .groupBy("url")
-        .agg(F.max("page_id").alias("page_id"), F.max_by("html", "page_id").alias("html"))
-    )
+def page_keys(pages: DataFrame) -> DataFrame:
+    """(url, page_id) of every page with a valid URL; the source stays where it is."""
+    return pages.filter(urls.is_valid_url(F.col("url"))).select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
 
 
 def requested_keys(requested: DataFrame) -> DataFrame:
@@ -56,9 +41,24 @@ def requested_keys(requested: DataFrame) -> DataFrame:
     return valid.select(urls.normalize_url(F.col("url")).alias("url")).distinct()
 
 
+def lookup_ids(requested: DataFrame, pages: DataFrame) -> DataFrame:
+    """Requested canonical URLs with the number of their page, the highest where several were fetched, or null.
+
+    Only keys move: the requested ones reduce the pages' keys, and the maximum is taken on the map side, so that a URL
+    fetched a million times sends one row per task.
+    """
+    found = page_keys(pages).join(requested, "url", "left_semi").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    return requested.join(found, "url", "left")
+
+
+def with_source(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """The source of the pages whose numbers were found; a ``page_id`` names one fetched page."""
+    return found.filter(F.col("page_id").isNotNull()).join(pages.select("page_id", "html"), "page_id")
+
+
 def lookup(requested: DataFrame, pages: DataFrame) -> DataFrame:
     """Requested canonical URLs with their page; ``html`` is null where there is none."""
-    return requested.join(keyed_pages(pages), "url", "left")
+    return lookup_ids(requested, pages).join(pages.select("page_id", "html"), "page_id", "left").select("url", "page_id", "html")
 
 
 def looks_like_article(url: Column) -> Column:
@@ -80,9 +80,11 @@ def page_links(source: Column, url: Column) -> Column:
 def fan_out(
     pages: DataFrame,
     keep: Callable[[Column], Column] | None = None,
-    limit: int = 10,
+    limit: int | None = 10,
 ) -> DataFrame:
-    """Targets behind each page: the first ``limit`` links of a listing, or the page itself.
+    """Targets behind each page: the first ``limit`` links of a listing (all for None), or the page itself.
+
+    ``n_left_out`` counts the links of the page beyond the limit.
 
     A page is a listing if more than one link passes ``keep``. The links of a page are an array in its row, so this is
     a narrow step: nothing is shuffled and no window is needed.
@@ -94,15 +96,17 @@ def fan_out(
         found,
         lambda links: F.struct(
             (F.size(links) > 1).alias("is_listing"),
-            F.when(F.size(links) > 1, F.slice(links, 1, limit))
+            F.when(F.size(links) > 1, links if limit is None else F.slice(links, 1, limit))
             .otherwise(F.array(urls.normalize_url(F.col("url"))))
             .alias("targets"),
+            F.greatest(F.size(links) - limit, F.lit(0)).alias("left_out") if limit else F.lit(0).alias("left_out"),
         ),
-        "struct<is_listing:boolean,targets:array<string>>",
+        "struct<is_listing:boolean,targets:array<string>,left_out:int>",
     )
     return pages.withColumn("_fan", targets).select(
         *[c for c in pages.columns if c not in ("html", "url")],
         F.col("url").alias("listing_url"),
         F.col("_fan.is_listing").alias("is_listing"),
+        F.col("_fan.left_out").alias("n_left_out"),
         F.posexplode("_fan.targets").alias("pos", "url"),
     )

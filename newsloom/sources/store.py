@@ -1,13 +1,16 @@
 """The article collection: an append-only Parquet log of writes, read as one row per ``_id``.
 
-Each batch of writes is one partition directory (``batch=<n>``) that only holds that batch. Writing a batch costs
-the size of the batch, not of the collection, and writing it again replaces just that directory, which makes retries
-harmless. Reading keeps the last write per ``_id``. ``compact`` folds a log into a new one when it grows long.
+A batch of writes is one directory, ``batch=<n>/writer=<name>``, that no other writer touches. Writing a batch costs
+the size of the batch, not of the collection, and writing it again replaces just that directory and keeps its place in
+the order of commits, which makes retries harmless. A write may set some of an article's fields only: ``present`` names
+them, and null means all. Reading keeps the last write per ``_id`` and field, and reads the wanted columns only.
+``compact`` folds a log into a new one when it grows long.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,17 @@ from newsloom.functions.dates import cutoff, parse_date, timestamp_literal
 from newsloom.functions.urls import article_id
 from newsloom.schema import ARTICLE
 
-LOG_SCHEMA = T.StructType([*ARTICLE.fields, T.StructField("seq", T.LongType()), T.StructField("batch", T.LongType())])
+LOG_SCHEMA = T.StructType(
+    [
+        *ARTICLE.fields,
+        T.StructField("present", T.ArrayType(T.StringType())),
+        T.StructField("seq", T.LongType()),
+        T.StructField("commit", T.LongType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("writer", T.StringType()),
+    ]
+)
+FIELDS = [f.name for f in ARTICLE.fields if f.name != "_id"]
 
 
 def latest(writes: DataFrame, order: list[str], key: str = "_id") -> DataFrame:
@@ -57,19 +70,45 @@ def with_key(articles: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def upsert(articles: DataFrame, path: str, batch: int) -> None:
-    """Write one batch of keyed articles to the collection. ``seq`` orders writes inside the batch, if present."""
+def upsert(articles: DataFrame, path: str, batch: int, writer: str = "main") -> None:
+    """Write one batch of keyed articles to the collection.
+
+    ``seq`` orders writes inside the batch, if present; equal ones are ordered by their URL and a hash of the row.
+    ``present`` names the fields a write sets, if the column is there; a null sets all.
+    """
     writes = articles if "seq" in articles.columns else articles.withColumn("seq", F.lit(0).cast("long"))
-    columns = [f.name for f in LOG_SCHEMA.fields if f.name != "batch"]
+    every = F.array(*[F.lit(c) for c in FIELDS])
+    present = F.coalesce(F.col("present"), every) if "present" in articles.columns else every
+    ordered = writes.withColumns({"present": present, "_row": F.xxhash64(*[c for c in FIELDS if c in writes.columns])})
+    order = F.struct("seq", "url", "_row")
+    sets = {c: F.array_contains("present", c) for c in FIELDS}
+    merged = ordered.groupBy("_id").agg(
+        *[F.max_by(F.col(c), F.when(sets[c], order)).alias(c) for c in FIELDS],
+        *[F.max(sets[c]).alias(f"_{c}_set") for c in FIELDS],
+        F.max("seq").alias("seq"),
+    )
+    names = F.array_compact(F.array(*[F.when(F.col(f"_{c}_set"), F.lit(c)) for c in FIELDS]))
+    target = f"{path}/batch={batch}/writer={writer}"
     (
-        latest(writes.select(*columns), ["seq", "url"])
+        merged.select("_id", *FIELDS, names.alias("present"), "seq", F.lit(_commit(articles.sparkSession, target)).alias("commit"))
         .sortWithinPartitions("_id")
         .write.mode("overwrite")
         .option("parquet.bloom.filter.enabled#_id", "true")
-        .parquet(f"{path}/batch={batch}")
+        .parquet(target)
     )
 
 
+def _commit(spark: SparkSession, target: str) -> int:
+    """The place of a batch in the order of commits: what it had when it was first written, or else the time."""
+    try:
+        first = spark.read.parquet(target).select("commit").first()
+    except AnalysisException as missing:
+        if not any(reason in str(missing) for reason in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        first = None
+    return first[0] if first else time.time_ns() // 1000
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LOG_SCHEMA).option("basePath", path).parquet(path)
@@ -80,8 +119,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """The collection: one row per ``_id``, the write of the latest batch."""
-    return latest(read_log(spark, path), ["batch", "seq"]).drop("batch", "seq")
+    """The collection: one row per ``_id``, of each field the last write that sets it.
+
+    Each field is an aggregate of its own, so that those nobody asks for are neither read nor moved.
+    """
+    order = F.struct("commit", "batch", "writer", "seq")
+    fields = [F.max_by(F.col(c), F.when(F.array_contains("present", c), order)).alias(c) for c in FIELDS]
+    return read_log(spark, path).groupBy("_id").agg(*fields)
 
 
 def compact(spark: SparkSession, path: str, target: str, batch: int = 0) -> None:

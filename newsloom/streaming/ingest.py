@@ -1,8 +1,10 @@
-"""Pages arriving over time, turned into articles and upserted as they come."""
+"""Pages arriving over time, turned into articles, enriched and upserted as they come."""
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions import urls
 from newsloom.operators.extraction import extract, filter_recent, resolve_logo
 from newsloom.schema import as_articles
-from newsloom.sources.store import upsert, with_key
+from newsloom.sources.store import latest, upsert, with_key
 
 PAGES = T.StructType(
     [
@@ -39,10 +41,28 @@ def articles_from_pages(pages: DataFrame, as_of: dt.datetime, max_age_days: int
     return resolve_logo(filter_recent(extracted, as_of, max_age_days)).withColumn("seq", F.col("page_id"))
 
 
-def store_batch(articles: DataFrame, target: str, batch: int, as_of: dt.datetime) -> None:
-    """Upsert one batch. A batch that is replayed overwrites its own directory, so retries change nothing."""
+#: What reading a page sets; summary, keywords and verdict stay as they are unless the stream enriches.
+READ_FIELDS = [
+    "title", "content", "image_urls", "logo_url", "publication_date", "scraped_at", "language", "url", "source_domain",
+]
+
+Enrich = Callable[[DataFrame], DataFrame]
+
+
+def store_batch(
+    articles: DataFrame, target: str, batch: int, as_of: dt.datetime, writer: str = "stream", enrich: Enrich | None = None
+) -> None:
+    """Upsert one batch. A batch that is replayed overwrites its own directory, so retries change nothing.
+
+    ``enrich`` adds summary, keywords or verdict to the last version of each article in the batch.
+    """
     keyed = with_key(articles, as_of).withColumn("language", F.coalesce("language", F.lit("en")))
-    upsert(as_articles(keyed, "seq"), target, batch)
+    if enrich is not None:
+        last = latest(keyed.withColumn("_row", F.xxhash64("content")), ["seq", "url", "_row"]).drop("_row")
+        stored = as_articles(enrich(last), "seq")
+    else:
+        stored = as_articles(keyed, "seq").withColumn("present", F.array(*[F.lit(c) for c in READ_FIELDS]))
+    upsert(stored, target, batch, writer)
 
 
 def ingest(
@@ -51,11 +71,16 @@ def ingest(
     checkpoint: str,
     as_of: dt.datetime,
     max_age_days: int = 180,
+    enrich: Enrich | None = None,
 ) -> StreamingQuery:
-    """Run over everything available, then stop. The last arrival of an article wins, so no watermark is needed."""
+    """Run over everything available, then stop. The last arrival of an article wins, so no watermark is needed.
+
+    A stream counts its batches by its checkpoint, so the checkpoint's name is also the writer's.
+    """
+    writer = "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, target, batch_id, as_of)
+        store_batch(batch, target, batch_id, as_of, writer, enrich)
 
     return (
         articles_from_pages(pages, as_of, max_age_days)

@@ -96,21 +96,21 @@ def test_content_selectors(spark):
     assert got == [want for _, want in SELECTED]
 
 
-def test_text_blocks_skip_headings_short_blocks_and_link_lists(spark):
+def test_text_blocks_skip_headings_and_link_lists(spark):
     page = (
         "<html><head><title>A title long enough to be a block</title></head><body><nav><p>navigation text long enough</p></nav>"
         "<h1>A heading long enough to be a block</h1><p>This paragraph is long &amp; kept.</p><p>Too short.</p>"
         "<p><a href='/x'>A paragraph that is only a link somewhere else</a></p><p>Last <i>paragraph</i><br>of this little page.</p>"
     )
     got = evaluate(spark, [page], extraction.density_text)
-    assert got == ["This paragraph is long & kept.\n\nLast paragraph of this little page."]
+    assert got == ["This paragraph is long & kept.\n\nToo short.\n\nLast paragraph of this little page."]
 
 
 def test_cascade_and_fields(spark):
     body = "<article><p>A paragraph that is long enough to count.</p><img src='i.png' width=200 height=200></article>"
     pages = [
         (1, "http://a.com/x/y", f"<html lang=fr><head>{METAS[0]}</head><body>{body}</body></html>"),
-        (2, "http://a.com/z", "<html lang=fr><body><article>Short.<img src='/s.png'></article></body></html>"),
+        (2, "http://a.com/z", "<html lang=fr><body><article><h1>Short.</h1><img src='/s.png'></article></body></html>"),
         (3, "http://www.b.com/", '<script>var t="<p>text</p>";</script>'),
     ]
     rows = extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -128,3 +128,62 @@ def test_filters_read_a_page_once(spark):
     df = extraction.extract(pages).filter(F.col("content").isNotNull()).select("content")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Filter isnotnull(content") == 1 and plan.count("tag_strip") == 1
+
+
+def test_short_paragraphs_stay(spark):
+    page = "<body><p>He agreed.</p><p>A long paragraph that stands between two short ones.</p><p>No one died.</p></body>"
+    got = evaluate(spark, [page], extraction.density_text)
+    assert got == ["He agreed.\n\nA long paragraph that stands between two short ones.\n\nNo one died."]
+
+
+def test_names_of_custom_elements_are_not_cut(spark):
+    page = "<body><nav-bar>x</nav-bar><p>First words.</p><nav>menu</nav><p>Second words.</p></body>"
+    assert evaluate(spark, [page], html.clean_html) == [page.replace("<nav>menu</nav>", "")]
+    assert evaluate(spark, [page], extraction.density_text)[0].endswith("First words.\n\nSecond words.")
+
+
+def test_nested_furniture(spark):
+    pages = [
+        "a<aside>b<aside>c</aside>left over</aside>d",
+        "a<aside>never closed <b>x</b>",
+        "<aside>1</aside>2<aside>3</aside>4</aside>5",
+        "<ASIDE class='x>y'>q<aside/>r</aside></ASIDE >z",
+    ]
+    got = evaluate(spark, pages, lambda c: html.remove_elements(c, ["aside"]))
+    assert got == ["ad", pages[1], "24</aside>5", "z"]
+
+
+def test_quoted_ends_of_tags(spark):
+    page = """<body><p title="a > b">Text <img alt="a > b" src="/kept.png"> of it</p></body>"""
+    assert evaluate(spark, [page], html.images) == [["/kept.png"]]
+    assert evaluate(spark, [page], extraction.density_text) == ["Text of it"]
+
+
+def test_title_and_language_outside_comments(spark):
+    page = "<!-- <html lang=de><title>Old</title> --><html lang='fil'><title>New</title>"
+    assert evaluate(spark, [page], html.title) == ["New"]
+    codes = [page, "<html lang=eng>", "<html lang='pt-BR'>", "<html lang=english>", "<html>"]
+    assert evaluate(spark, codes, html.declared_language) == ["fil", "en", "pt", "", ""]
+
+
+def test_structured_dates_come_after_the_others(spark):
+    json_ld = '<script type="application/ld+json">{"@graph": [{"datePublished": "2024-05-01"}]}</script>'
+    item = '<span itemprop="datePublished" content="2024-05-02">x</span>'
+    pages = [
+        "<time datetime='2024-05-03'></time>" + json_ld, item + json_ld, item, "<time itemprop=datePublished datetime=2024-05-04>",
+        '<script>{"datePublished": "2024-05-05"}</script>', "<p>datePublished</p>",
+    ]
+    got = evaluate(spark, pages, html.publication_date)
+    assert got == ["2024-05-03", "2024-05-01", "2024-05-02", "2024-05-04", None, None]
+
+
+def test_date_in_the_path_is_the_last_resort(spark):
+    text = "<body><p>Some words of an article.</p>"
+    rows = [
+        (1, "http://a.com/2024/6/01/story", text),
+        (2, "http://a.com/2024/06/01/", "<meta name=date content=2023-01-01>" + text),
+        (3, "http://a.com/1234/56/78?x=/2024/06/01/", text),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["publication_date"] for r in extraction.extract(pages).collect()}
+    assert got == {1: "2024-06-01", 2: "2023-01-01", 3: None}

@@ -103,7 +103,7 @@ def test_language_falls_back_to_the_detector(spark):
     )
     got = {r["url"]: r["language"] for r in jobs.with_language(df, model).collect()}
     assert got == {"u1": "de", "u2": "fr"}
-    assert {r["language"] for r in jobs.with_language(df, None).collect()} == {"en", "fr"}
+    assert {r["language"] for r in jobs.with_language(df, None).collect()} == {None, "fr"}
 
 
 def test_logo_fallback_order(spark):
@@ -158,6 +158,42 @@ def test_replayed_batch_changes_nothing(spark, sf_dir, tmp_path):
     assert store.read_collection(spark, target).orderBy("_id").collect() == once
 
 
+def test_stream_leaves_enrichment_alone(spark, sf_dir, tmp_path):
+    target = str(tmp_path / "out")
+    found = ingest.articles_from_pages(dated_pages(spark, sf_dir), AS_OF)
+    enriched = lambda df: df.withColumns({"summary": F.lit("short"), "keywords": F.array(F.lit("k"))})
+    ingest.store_batch(found, target, 0, AS_OF, "first", enriched)
+    ingest.store_batch(found, target, 0, AS_OF, "second")
+    rows = store.read_collection(spark, target).collect()
+    assert rows and all((r["summary"], r["keywords"]) == ("short", ["k"]) and r["content"] for r in rows)
+
+
+def test_lookup_moves_keys_only(spark, sf_dir):
+    rows = [(1, "http://a.com/x", "old"), (2, "http://a.com/x?utm_source=f", "new"), (3, "http://b.com/", "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = spark.createDataFrame([("http://a.com/x",), ("http://none.com/",)], "url string")
+    stored = page_source.read_table(spark, sf_dir, "pages")
+    plan = page_source.lookup_ids(wanted, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan and "SortAggregate" not in plan
+    got = {r["url"]: r["html"] for r in page_source.lookup(wanted, pages).collect()}
+    assert got == {"http://a.com/x": "new", "http://none.com/": None}
+
+
+def test_missing_urls_are_reported_once(spark):
+    many = "".join(f'<a href="/p{i}">x</a>' for i in range(3))
+    pages = spark.createDataFrame([(1, "http://a.com/", many)], "page_id long, url string, html string")
+    requested = spark.createDataFrame([("http://a.com/",), ("http://a.com/p1",), ("bad",)], "url string")
+    _, errors = jobs.scrape(requested, pages, keep_link=None)
+    assert sorted(r["url"] for r in errors.collect()) == ["bad", "http://a.com/p0", "http://a.com/p1", "http://a.com/p2"]
+
+
+def test_all_links_without_a_limit(spark):
+    many = "".join(f'<a href="/p{i}">x</a>' for i in range(13))
+    pages = spark.createDataFrame([(1, "http://a.com/", many)], "page_id long, url string, html string")
+    assert page_source.fan_out(pages, limit=None).count() == 13
+    assert {r["n_left_out"] for r in page_source.fan_out(pages).collect()} == {3}
+
+
 def test_cutoff_uses_the_given_moment(spark):
     df = spark.createDataFrame([("2024-06-30",), ("2024-06-29",)], "publication_date string")
     kept = extraction.filter_recent(df, dt.datetime(2024, 6, 30, 12), 1)

@@ -47,6 +47,49 @@ def test_compact_changes_nothing(spark, tmp_path):
     assert store.read_log(spark, target).count() == 4
 
 
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.upsert(articles(spark, (1, "http://a", "a", "x")), path, 0, "one")
+    store.upsert(articles(spark, (1, "http://b", "b", "y")), path, 0, "two")
+    assert sorted(r["url"] for r in store.read_collection(spark, path).collect()) == ["http://a", "http://b"]
+
+
+def test_partial_write_keeps_the_other_fields(spark, tmp_path):
+    path = str(tmp_path / "store")
+    full = articles(spark, (1, "http://a", "old", "text")).withColumn("summary", F.lit("short"))
+    store.upsert(full, path, 0)
+    partial = articles(spark, (1, "http://a", "new", None)).withColumn("present", F.array(F.lit("title")))
+    store.upsert(partial, path, 0, "other")
+    got = store.read_collection(spark, path).first()
+    assert (got["title"], got["content"], got["summary"]) == ("new", "text", "short")
+
+
+def test_replay_keeps_its_place(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for _ in range(2):
+        store.upsert(articles(spark, (1, "http://a", "first", "x")), path, 0, "one")
+        if not _:
+            store.upsert(articles(spark, (1, "http://a", "second", "y")), path, 0, "two")
+    assert store.read_collection(spark, path).first()["title"] == "second"
+
+
+def test_ties_are_broken_by_the_row(spark, tmp_path):
+    titles = set()
+    for i, rows in enumerate([[("t", "x"), ("u", "y")], [("u", "y"), ("t", "x")]]):
+        path = str(tmp_path / f"store{i}")
+        store.upsert(articles(spark, *[(1, "http://a", t, c) for t, c in rows]), path, 0)
+        titles.add(store.read_collection(spark, path).first()["title"])
+    assert len(titles) == 1
+
+
+def test_reads_only_wanted_columns(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.upsert(articles(spark, (1, "http://a", "t", "x")), path, 0)
+    narrow = store.read_collection(spark, path).select("_id", "publication_date")
+    scan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "publication_date" in scan and "content" not in scan.split("ReadSchema")[1]
+
+
 def test_empty_collection(spark, tmp_path):
     assert store.read_collection(spark, str(tmp_path / "none")).count() == 0
 
