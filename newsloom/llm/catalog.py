@@ -120,3 +120,44 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(table(spark, sf, "documents"))
+
+
+# White space between words, as RE2 wants it.
+_SPACE = r"[ \t\n\x0B\f\r]"
+
+ORACLE_SQL["op5_quality_rules"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l,
+           length(text) - length(regexp_replace(text, '{_SPACE}', '', 'g')) AS spaces FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM a WHERE len(w) > 2),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+p AS (SELECT DISTINCT doc_id, i + d AS at FROM k, (VALUES (0), (1), (2)) AS v(d) WHERE n > 1),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM p GROUP BY doc_id),
+m AS (
+    SELECT a.doc_id, len(w)::BIGINT AS n_words, (length(text) - spaces)::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+           length(text) - length(regexp_replace(text, '[A-ZÀÂÄÇÉÈÊËÎÏÑÓÔÖÙÛÜÍÚÁ]', '', 'g')) AS n_upper,
+           length(text) - length(replace(text, '!', '')) AS n_exclaimed
+    FROM a LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {quality.BITS[name]} ELSE 0 END" for name, rule in quality.RULES)} AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (bits & {quality.BASE.mask}) <> 0 AS base_failed, (bits & {quality.STANDARD.mask}) = 0 AS kept, bits::BIGINT AS failed
+FROM f"""
+
+_ESCAPED = r"""regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|<ROLE|</ROLE>>)', '\1\\\2\3', 'g')"""
+
+ORACLE_SQL["op7_chat_formatting"] = f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x AS (SELECT *, {_ESCAPED} AS body FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17 END))::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id"""

@@ -10,6 +10,7 @@ Only DataFrame functions are used. Everything about one text is computed within
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,9 @@ from newsloom.llm.shared import written
 #: Words of a run, words of its inner runs, and the most characters of a word.
 K, S, CHUNK = 6, 2, 16
 #: Documents that are sorted together to find each one's successor, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: At most so many ranges are told apart; the bounds go to every task.
-MAX_RANGES = 10_000
+MAX_RANGES = 40_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,6 +93,18 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(F.array(marks(a), marks(b)), of)
 
 
+def _bounds_below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below a value, by a search in blocks and then in one block."""
+    if not bounds:
+        return F.lit(0)
+    size = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    tops = F.lit([b[-1] for b in blocks[:-1]]).cast("array<bigint>")
+    block = F.size(F.filter(tops, lambda b: b < value)) if len(blocks) > 1 else F.lit(0)
+    within = F.get(F.lit(blocks).cast("array<array<bigint>>"), block)
+    return block * size + F.size(F.filter(within, lambda b: b < value))
+
+
 def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row's id, text and fingerprint, and those of the next row in ascending id order; after the last the first.
 
@@ -107,10 +120,8 @@ def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str
     n = rows.count()
     cuts = max(1, min(MAX_RANGES, n // RANGE_ROWS + 1))
     shares = [i / cuts for i in range(1, cuts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("_order", shares, 100 * cuts)).first()[0])) if shares else []
-    # A row's range: how many bounds lie below its id.
-    below = F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("_order")) if bounds else F.array()
-    ranged = rows.withColumn("_range", F.size(below))
+    bounds = sorted(set(rows.agg(F.percentile_approx("_order", shares, 20 * cuts)).first()[0])) if shares else []
+    ranged = rows.withColumn("_range", _bounds_below(F.col("_order"), bounds))
     starts = ranged.groupBy("_range").agg(F.min("_order").alias("_order")).orderBy("_range").collect()  # one row a range
     if not starts:
         return rows.select("_id", *[F.struct(F.col("_text").alias("text"), F.col("_text").alias("print")).alias(c) for c in ("_own", "_next")])

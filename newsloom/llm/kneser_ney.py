@@ -31,9 +31,9 @@ from newsloom.llm.shared import mapped, new_folder, put, written
 #: The hash of the end that closes each text; no word's hash is known to be equal.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Keys of a shard of the model, about.
-SHARD_WORDS, SHARD_PAIRS = 1 << 19, 1 << 21
+SHARD_WORDS, SHARD_PAIRS = 1 << 19, 1 << 20
 #: Pairs that a task holds before it sends them.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
             return as_batch(list(blocks((keys >> np.uint64(48)).astype(np.int64) % width, keys, n)))
 
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 23):
+            for a, b in batches_of(batch.column(0), 1 << 21):
                 held.append(add_up(with_end(words(batch.column(0).slice(a, b - a)))[0]))
             if sum(len(k) for k, _ in held) > BUFFER:
                 yield out()
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
         .collect()  # one row for each shard
     }
     offsets = tuple(int(x) for x in np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << bits)])]))
-    pair_shards = max(width, tokens // (2 * SHARD_PAIRS) + 1)
+    pair_shards = max(width, tokens // SHARD_PAIRS + 1)
     stat_size = min(SHARD_WORDS, -(-(distinct + 1) // width))
     model = Model(folder, tokens, 1 << bits, bits, offsets, pair_shards, stat_size, 0, (0,) * 3, (0,) * 3, (0,) * 3)
 
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, held, n = _files(model), [], 0
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 23):
+            for a, b in batches_of(batch.column(0), 1 << 21):
                 tokens_, first = with_end(words(batch.column(0).slice(a, b - a)))
                 held.append(_pair_keys(_word_ids(files, tokens_)[0], first))
                 n += len(tokens_)
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            for a, b in batches_of(texts, 1 << 22):
+            for a, b in batches_of(texts, 1 << 21):
                 hashes, first = with_end(words(texts.slice(a, b - a)))
                 logs, counts = log_probabilities(model, hashes, first)
                 base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.distinct + 1)))

@@ -126,7 +126,7 @@ def evidence(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names))
-            for a, b in batches_of(texts, 1 << 23):
+            for a, b in batches_of(texts, 1 << 21):
                 part = batch.slice(a, b - a)
                 grams, offsets = _trigrams(part.column(len(names)))
                 scores = np.zeros((part.num_rows, n))

@@ -48,7 +48,7 @@ BLOCKS = {
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: White space between words, though no block ends here.
-GAPS = {"br", "td", "th", "img", "input", "wbr"} - {"wbr"}
+GAPS = {"br", "td", "th", "img", "input"}
 #: Elements whose content is not markup.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 
@@ -105,7 +105,6 @@ def parts(page: str) -> list[_Part]:
     """Tags and texts of a page in order, with what is set aside marked, and the declared article each belongs to."""
     out: list[_Part] = []
     stack: list[_Element] = []
-    unclosed: list[_Element] = []
     cleared: list[tuple[int, int]] = []
     aside = links = 0
     article, articles = -1, 0
@@ -220,10 +219,22 @@ def region(found: list[_Part], weights: Weights) -> tuple[int, int]:
     return span
 
 
+def whole_blocks(found: list[_Part], span: tuple[int, int]) -> tuple[int, int]:
+    """The stretch together with the rest of the blocks at its ends, which tags inside a line may have cut off."""
+    begin, end = span
+    if begin == end:
+        return span
+    while begin > 0 and found[begin].tag not in BLOCKS and found[begin - 1].tag not in BLOCKS:
+        begin -= 1
+    while end < len(found) and found[end].tag not in BLOCKS and found[end - 1].tag not in BLOCKS:
+        end += 1
+    return begin, end
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The main text of a page: its blocks in order, one to a line. Null, empty and wordless pages give an empty text."""
     found = parts(page or "")
-    begin, end = region(found, weights)
+    begin, end = whole_blocks(found, region(found, weights))
     blocks, held = [], []
 
     def flush() -> None:

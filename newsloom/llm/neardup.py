@@ -35,7 +35,7 @@ PIVOTS, ROUNDS = 2, 4
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Shingle occurrences a task holds before it sends their counts.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 
 _KEY = np.uint64(0xFFFFFFFF)
 _ODD = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -57,7 +57,7 @@ def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
             return as_batch(list(blocks((keys * np.uint64(shards)) >> np.uint64(32), keys, counts)))
 
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 23):
+            for a, b in batches_of(batch.column(0), 1 << 21):
                 s = shingles(words(batch.column(0).slice(a, b - a)), SIZE)
                 once = np.unique((s.rows.astype(np.uint64) << np.uint64(32)) | (s.hashes & _KEY))
                 held.append(once & _KEY)

@@ -28,7 +28,12 @@ UNWANTED = (
 ORDINARY = (
     "news", "garden", "history", "library", "museum", "school", "university", "science", "weather", "music", "recipes",
     "travel", "sports", "health", "city", "council", "forum", "photo", "books", "theatre", "river", "street", "market",
-    "journal",
+    "journal", "there", "other", "then", "these", "station", "nation", "table", "water", "order", "under", "press",
+    "people", "house", "stone", "hand", "world", "land", "spring", "thing", "north", "south", "rest", "event", "present",
+    "reading", "heat", "sheet", "mother", "weather", "gather", "earth", "health", "month", "three", "thanks", "answer",
+    "winter", "summer", "letter", "action", "motion", "notion", "double", "noble", "cable", "friend", "kitchen",
+    "question", "evening", "building", "engine", "island", "forest", "mountain", "harbour", "bridge", "village", "farm",
+    "doctor", "teacher", "student", "author", "paper", "print", "theory", "method", "number", "letters", "language",
 )
 
 
@@ -84,15 +89,14 @@ def buckets(host_: Column, path_: Column) -> Column:
     """The distinct buckets of all n-grams of host and path; the two are told apart by what surrounds them."""
     text = F.concat(F.lit("^"), host_, F.lit("$"), F.translate(path_, UPPER, LOWER), F.lit("$"))
 
+    def of_size(t: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(t) - (n - 1), F.lit(1)))
+        return F.transform(
+            places, lambda i: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n)), F.lit(n)), F.lit(BUCKETS)).cast("int")
+        )
+
     def grams(t: Column) -> Column:
-        parts = [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.char_length(t) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n)), F.lit(n)), F.lit(BUCKETS)).cast("int"),
-            )
-            for n in SIZES
-        ]
-        return F.array_distinct(F.concat(*parts))
+        return F.array_distinct(F.concat(*[of_size(t, n) for n in SIZES]))
 
     return F.transform(F.array(text), grams)[0]
 
@@ -114,7 +118,7 @@ class Model:
     intercept: float
 
 
-def fit(labelled: DataFrame, background: DataFrame | None = None, url_column: str = "url", label_column: str = "label") -> Model:
+def fit(labelled: DataFrame, url_column: str = "url", label_column: str = "label") -> Model:
     """Fit the regression on at most ``MAX_LABELLED`` labelled rows (in the order of a hash of the address).
 
     Rows without an address or a label are left out. Without rows of both labels nothing is judged unwanted.

@@ -12,15 +12,17 @@ path to each boundary is, and it is what merging the whole text gives.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Entries of a worker's caches; they are emptied when full.
-CACHE = 200_000
+CACHE = 600_000
 
 
 class Pieces:
@@ -50,13 +52,30 @@ class Pieces:
         found = [self.scores[i] for i in self.ids.values()]
         self.merging = all(s == int(s) for s in found) and len(set(found)) > 1
         self._apart: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, bytes] = {}
+        self._halves: dict[str, tuple[str, str] | None] = {}
         # No merge reaches into a word's mark if no piece holds one behind another character.
         self.by_word = self.merging and not any(SPACE in t.lstrip(SPACE) for t in self.ids)
+        self._odd = {*self.bytes, *self.control, self.unknown}
+        #: Pieces that a path may hold, and their lengths by their last three characters, longest first.
+        self.usable = {t: i for t, i in self.ids.items() if not self.merging or self.halves(t) is not None}
+        self.lengths = self._lengths()
+        self.joined = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
 
-    def merge(self, text: str) -> list[str]:
-        """Merge neighbours whose union is a piece, best rank first, leftmost among equals."""
-        parts = list(text)
+    def _lengths(self) -> dict[str, tuple[int, ...]]:
+        found: dict[str, set[int]] = {}
+        for text in self.usable:
+            if len(text) > 2:
+                found.setdefault(text[-3:], {1, 2}).add(len(text))
+        return {end: tuple(sorted(lengths, reverse=True)) for end, lengths in found.items()}
+
+    def rank(self, piece: str) -> float:
+        """When merging forms a piece: characters are there from the beginning, better scores come earlier."""
+        return -1.0 if len(piece) == 1 else -self.scores[self.ids[piece]]
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Merge neighbours whose union is a piece, best rank first, leftmost among equals; and the last merge."""
+        parts, last = list(text), None
         while True:
             best, place = None, -1
             for i in range(len(parts) - 1):
@@ -64,80 +83,103 @@ class Pieces:
                 if found is not None and (best is None or self.scores[found] > best):
                     best, place = self.scores[found], i
             if best is None:
-                return parts
+                return parts, last
+            last = (parts[place], parts[place + 1])
             parts[place : place + 2] = [parts[place] + parts[place + 1]]
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge gives a piece; the same twice for a character; None if merging never gives it."""
+        if piece not in self._halves:
+            parts, last = self.merge(piece)
+            known = (piece, piece) if len(piece) == 1 else last if parts == [piece] else None
+            self._halves[piece] = known  # one entry for each piece or character
+        return self._halves[piece]
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether two pieces are what merging both together gives."""
+        """Whether merging keeps the boundary between two pieces.
+
+        Time is wound back: of the two pieces at the boundary the one that was formed later is split again. If the two
+        that then meet could merge, and earlier than the merge just undone, the boundary would not have lasted. Among
+        equal ranks the leftmost merge comes first.
+        """
         key = (left, right)
         known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) > CACHE:
-                self._apart.clear()
-            known = self._apart[key] = self.merge(left + right) == [left, right]
+        if known is not None:
+            return known
+        limit, at_right = float("inf"), False
+        known = True
+        while True:
+            union = self.ids.get(left + right)
+            if union is not None:
+                rank = -self.scores[union]
+                if rank < limit or (at_right and rank == limit):
+                    known = False
+                    break
+            a, b = self.rank(left), self.rank(right)
+            if a == b == -1.0:
+                break
+            if a > b:
+                limit, at_right, left = a, False, self.halves(left)[1]
+            else:
+                limit, at_right, right = b, True, self.halves(right)[0]
+        if len(self._apart) > CACHE:
+            self._apart.clear()
+        self._apart[key] = known
         return known
 
     def search(self, text: str) -> Iterator[tuple[int, int]]:
         """(begin, end) of the pieces of a marked text, given out as soon as they are final."""
         n, w = len(text), self.longest
-        # Boundary -> (score, boundary before it). Boundaries below the window are dropped once committed.
-        best: dict[int, tuple[float, int]] = {0: (0.0, -1)}
+        usable, lengths, short, merging, known_apart = self.usable, self.lengths, (2, 1), self.merging, self._apart
+        # For each boundary of the window the one before it, and, where scores count, the score of the way to it.
+        back: dict[int, int] = {0: -1}
+        score: dict[int, float] = {0: 0.0}
         committed = 0
         for end in range(1, n + 1):
-            found: tuple[float, int] | None = None
-            for begin in range(max(committed, end - w), end):
-                state = best.get(begin)
-                if state is None:
+            best = None
+            for length in lengths.get(text[end - 3 : end], short) if end > 2 else short:
+                begin = end - length
+                if begin < committed or begin not in back:
                     continue
                 piece = text[begin:end]
-                known = self.ids.get(piece)
-                if known is None and end - begin > 1:
+                if length > 1 and piece not in usable:
                     continue
-                if self.merging:
-                    if begin and state[1] >= 0 and not self.apart(text[state[1] : begin], piece):
-                        continue
-                    if len(piece) > 1 and not self.apart_self(piece):
+                if not merging:
+                    reached = score[begin] + (self.scores[usable[piece]] if piece in usable else self.least - 10.0)
+                    if best is None or reached > best:
+                        best = score[end] = reached
+                        back[end] = begin
+                    continue
+                if begin:
+                    left = text[back[begin] : begin]
+                    apart = known_apart.get((left, piece))
+                    if not (self.apart(left, piece) if apart is None else apart):
                         continue
-                    if found is None or begin < found[1]:
-                        found = (0.0, begin)
-                else:
-                    score = state[0] + (self.scores[known] if known is not None else self.least - 10.0)
-                    if found is None or score > found[0]:
-                        found = (score, begin)
-            if found is not None:
-                best[end] = found
+                back[end] = begin
+                break  # no other path to this boundary is admissible
             if end < n and (end - committed) % w:
                 continue
             # Where do all boundaries lead that later pieces can begin at?
-            heads = {b for b in range(max(committed, end - w + 1), end + 1) if b in best} if end < n else {n}
+            heads = {b for b in range(max(committed, end - w + 1), end + 1) if b in back} if end < n else {n}
             while len(heads) > 1:
                 top = max(heads)
                 heads.remove(top)
-                if top > committed:
-                    heads.add(best[top][1])
-                else:
+                heads.add(back[top] if top > committed else committed)
+                if top == committed:
                     heads = {committed}
             root = heads.pop()
-            if root > committed:
-                trail, at = [], root
-                while at > committed:
-                    trail.append((best[at][1], at))
-                    at = best[at][1]
-                yield from reversed(trail)
-                last = best[root]
-                best = {b: s for b, s in best.items() if b > root}
-                best[root] = (0.0, last[1]) if not self.merging else last
-                if not self.merging:
-                    best = {b: (s[0] - last[0] if b > root else 0.0, s[1]) for b, s in best.items()}
-                committed = root
-
-    def apart_self(self, piece: str) -> bool:
-        """Whether a piece is what merging its own characters gives."""
-        key = (piece, "")
-        known = self._apart.get(key)
-        if known is None:
-            known = self._apart[key] = self.merge(piece) == [piece]
-        return known
+            if root == committed:
+                continue
+            trail, at = [], root
+            while at > committed:
+                trail.append((back[at], at))
+                at = back[at]
+            yield from reversed(trail)
+            if root < n:
+                back = {b: a for b, a in back.items() if b >= root}
+                if not merging:
+                    score = {b: s - score[root] for b, s in score.items() if b >= root}
+            committed = root
 
     def _ids_of(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -145,37 +187,72 @@ class Pieces:
             return [known]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text: spaces become marks, and one stands before the text. An empty text has no ids."""
+    def _search_ids(self, marked: str) -> bytes:
+        return array("i", [i for a, b in self.search(marked) for i in self._ids_of(marked[a:b])]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after its mark, looked up if it was met before."""
+        ids = self._words.get(word)
+        if ids is None:
+            parts = self._cut(SPACE + word)
+            if len(parts) == 1:
+                ids = self._search_ids(parts[0])
+            else:
+                ids = b"".join([self._part(p) for p in parts])
+            self._keep(word, ids)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of a word; the first one begins with the mark and is kept under the word without it."""
+        key = part[1:] if part[0] == SPACE else "\0" + part
+        ids = self._words.get(key)
+        if ids is None:
+            ids = self._search_ids(part)
+            self._keep(key, ids)
+        return ids
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        if len(key) <= 64:
+            if len(self._words) > CACHE:
+                self._words.clear()
+            self._words[key] = ids
+
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a word between characters that stand side by side in no piece: no path has a piece over these."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return [word]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers: spaces become marks, and one stands before the text. Empty for no text."""
         if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
+            return b""
         if not self.by_word:
-            return [i for a, b in self.search(marked) for i in self._ids_of(marked[a:b])]
-        out: list[int] = []
-        words = self._words
-        # No piece reaches over the beginning of a word, so that words can be looked up.
-        begin = 0
+            return self._search_ids(SPACE + text.replace(" ", SPACE))
+        if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+            # No piece reaches over the beginning of a word, so that words can be looked up.
+            return b"".join(map(self._word, text.split(" ")))
+        marked, out, begin = SPACE + text.replace(" ", SPACE), [], 0
         while begin < len(marked):
             end = begin
             while end < len(marked) and marked[end] == SPACE:
                 end += 1
             stop = marked.find(SPACE, end)
             stop = len(marked) if stop < 0 else stop
-            word = marked[begin:stop]
-            ids = words.get(word)
-            if ids is None:
-                ids = tuple(i for a, b in self.search(word) for i in self._ids_of(word[a:b]))
-                if len(word) <= 64:
-                    if len(words) > CACHE:
-                        words.clear()
-                    words[word] = ids
-            out.extend(ids)
+            out.append(self._search_ids(marked[begin:stop]))
             begin = stop
-        return out
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined to characters, marks become spaces, the first of which is not part of it."""
+        if self._odd.isdisjoint(ids):
+            text = "".join(map(self.texts.__getitem__, ids)).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
         out, held = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -214,8 +291,12 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: st
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column(len(names)).to_pylist()
-                ids = [None if t is None else model.encode(t) for t in texts]
-                columns = [part.column(i) for i in range(len(names))] + [pa.array(ids, pa.list_(pa.int32()))]
+                made = [b"" if t is None else model.encode_bytes(t) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)), mask=pa.array([t is None for t in texts])
+                )
+                columns = [part.column(i) for i in range(len(names))] + [ids]
                 yield pa.RecordBatch.from_arrays(columns, [*names, ids_column])
 
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_column).cast("string")).mapInArrow(run, schema)

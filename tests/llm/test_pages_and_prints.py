@@ -91,7 +91,7 @@ def test_unwanted_hosts_are_found(spark, sf_dir):
     free = [r for r in rows if r.rule is None]
     assert free
     for r in free:
-        bad = any(x in r.host for x in ("casino", "bets", "ads-track"))
+        bad = any(x in r.host for x in ("casino", "bets", "ads-track", "adult-x"))
         assert r.verdict == ("block" if bad else "allow"), r.host
     assert url_filter.fit(url_filter.labelled_seed(spark).where("label = 1")).intercept < 0
 

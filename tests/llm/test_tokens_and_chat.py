@@ -144,6 +144,8 @@ def test_unigram_search_is_optimal(tmp_path):
     mine.ids = {p: i for i, p in enumerate(pieces)}
     mine.scores = [-rng.random() * 3 - (3 if len(p) == 1 else 0) for p in pieces]
     mine.longest, mine.merging, mine.by_word = 3, False, False
+    mine.usable = mine.ids
+    mine.lengths = mine._lengths()
     for _ in range(200):
         text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))
         best = [0.0] + [-1e9] * len(text)
