@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.shared import written
+from newsloom.llm.shared import map_arrow, written
 
 #: The template: what stands before and after a turn's text. Other roles are named in their mark.
 TURNS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
@@ -143,7 +143,7 @@ def format_paths(paths: DataFrame, keys: list[str], role: str = "role", text: st
                     [*keys, "formatted", "spans"],
                 )
 
-    return gathered.mapInArrow(run, schema)
+    return map_arrow(gathered, run, schema)
 
 
 def as_chain(rows: DataFrame, tree: str, turn: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -181,4 +181,4 @@ def digests(formatted: DataFrame, id_column: str) -> DataFrame:
                 [id_column, *[c.split()[0] for c in DIGESTS.split(", ")]],
             )
 
-    return formatted.select(id_column, "formatted", "spans").mapInArrow(run, f"`{id_column}` {kind}, {DIGESTS}")
+    return map_arrow(formatted.select(id_column, "formatted", "spans"), run, f"`{id_column}` {kind}, {DIGESTS}")

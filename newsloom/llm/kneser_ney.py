@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import Words, batches_of, mix, words
 from newsloom.llm.blocks import BLOCKS, add_up, as_batch, blocks, merge, unpack_block
-from newsloom.llm.shared import mapped, new_folder, put, written
+from newsloom.llm.shared import map_arrow, mapped, new_folder, put, written
 
 #: The hash of the end that closes each text; no word's hash is known to be equal.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
         return pa.table({"hash": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
     counted = written(
-        texts.mapInArrow(count_words, BLOCKS).groupBy("shard").applyInArrow(sum_words, "hash long, n long"), "words"
+        map_arrow(texts, count_words, BLOCKS).groupBy("shard").applyInArrow(sum_words, "hash long, n long"), "words"
     )
     size = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     distinct, tokens = int(size["v"]), int(size["n"])
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
         return pa.Table.from_batches([as_batch(rows)])
 
     told = written(
-        texts.mapInArrow(count_pairs, BLOCKS)
+        map_arrow(texts, count_pairs, BLOCKS)
         .groupBy("shard")
         .applyInArrow(store_pairs, BLOCKS),
         "pairs",
@@ -374,7 +374,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
                     [*kept, *[c.split()[0] for c in SCORES.split(", ")]],
                 )
 
-    return docs.withColumn(text_column, F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.withColumn(text_column, F.col(text_column).cast("string")), run, schema)
 
 
 def held_out(id_column: Column) -> Column:

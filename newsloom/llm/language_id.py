@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import batches_of, text_buffer
-from newsloom.llm.shared import written
+from newsloom.llm.shared import map_arrow, written
 
 #: Labelled texts used for training, at most, and languages told apart, at most (the most frequent in the sample).
 MAX_LABELLED, MAX_LANGUAGES = 3000, 100
@@ -84,7 +84,7 @@ def fit_text(labelled: DataFrame, text_column: str = "text", language_column: st
     # At most MAX_LABELLED rows come back, one for each language and batch of the sample.
     found: dict[str, np.ndarray] = {}
     size: dict[str, int] = {}
-    for r in chosen.select("text", "lang").mapInArrow(count, "lang string, counts binary, n long").collect():
+    for r in map_arrow(chosen.select("text", "lang"), count, "lang string, counts binary, n long").collect():
         found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
         size[r["lang"]] = size.get(r["lang"], 0) + r["n"]
     names = sorted(sorted(found, key=lambda k: (-size[k], k))[:MAX_LANGUAGES])
@@ -142,7 +142,7 @@ def evidence(
                 )
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["ll array<double>", "vote int"])
-    return base.select(*names, "_text").mapInArrow(run, schema)
+    return map_arrow(base.select(*names, "_text"), run, schema)
 
 
 def _shares(counts: np.ndarray, towards: np.ndarray, weight: float) -> np.ndarray:

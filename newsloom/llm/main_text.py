@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.shared import map_arrow
+
 #: Labelled pages used for the weights, at most.
 MAX_LABELLED = 2000
 
@@ -297,8 +299,7 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html")
             )
 
     rows = (
-        chosen.select("html")
-        .mapInArrow(run, "name string, inside long, outside long")
+        map_arrow(chosen.select("html"), run, "name string, inside long, outside long")
         .groupBy("name")
         .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
         .collect()
@@ -328,4 +329,4 @@ def extract(pages: DataFrame, weights: Weights, id_column: str = "page_id", html
                 texts = [main_text(p, weights) for p in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [id_column, "main_text"])
 
-    return pages.select(F.col(id_column), F.col(html_column).cast("string")).mapInArrow(run, schema)
+    return map_arrow(pages.select(F.col(id_column), F.col(html_column).cast("string")), run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import Words, batches_of, mix, shingles, words
 from newsloom.llm.blocks import BLOCKS, add_up, as_batch, blocks, merge
-from newsloom.llm.shared import written
+from newsloom.llm.shared import map_arrow, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -73,7 +73,7 @@ def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
         kept = counts > least
         return pa.table({"key": pa.array(keys[kept].astype(np.int64)), "n": pa.array(counts[kept])})
 
-    rows = texts.mapInArrow(count, BLOCKS).groupBy("shard").applyInArrow(frequent, "key long, n long").toPandas()
+    rows = map_arrow(texts, count, BLOCKS).groupBy("shard").applyInArrow(frequent, "key long, n long").toPandas()
     rows = rows.sort_values("key")
     commonness = np.log(rows["n"].to_numpy() / max(least, 1e-9)) / np.log(1 / SHARE)
     weights = (1 - (1 - LEAST) * np.clip(commonness, 0, 1)).astype(np.float32)
@@ -174,7 +174,8 @@ def signatures(docs: DataFrame, frequent: object, id_column: str, text_column: s
                 )
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, schema)
+    read = docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("text"))
+    return map_arrow(read, run, schema)
 
 
 # --- links ------------------------------------------------------------------------------------------------------------
@@ -236,7 +237,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent: object, id_column: st
                 alike = similarity(part.column(2), part.column(3), frequent.value) >= THRESHOLD - 1e-9
                 yield part.select(["a", "b"]).filter(pa.array(alike))
 
-    return sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(sided.select("a", "b", "text_a", "text_b"), run, "a long, b long").distinct()
 
 
 # --- components -------------------------------------------------------------------------------------------------------

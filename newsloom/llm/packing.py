@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.shared import map_arrow
+
 CAPACITY = 2048
 #: Windows that are dealt out together: more means less padding and more work per piece.
 GROUP_WINDOWS = 96
@@ -95,6 +97,10 @@ class WordCachedTokenizer:
             data = ids.tobytes()
             self._words.update(zip(rest, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
+    def forget(self) -> None:
+        """Empty the cache: workers outlive the tasks that fill it."""
+        self._words.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._words
         if len(known) > CACHE_WORDS:
@@ -266,5 +272,6 @@ def pack(
         packer.flush()
         if packer.rows:
             yield out(id_type)
+        encoder.forget()
 
-    return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_column), F.col(text_column).cast("string")), run, schema)

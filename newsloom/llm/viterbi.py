@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import map_arrow
+
 SPACE = "▁"
 #: Entries of a worker's caches; they are emptied when full.
 CACHE = 600_000
@@ -299,7 +301,7 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: st
                 columns = [part.column(i) for i in range(len(names))] + [ids]
                 yield pa.RecordBatch.from_arrays(columns, [*names, ids_column])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_column).cast("string")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
@@ -318,4 +320,4 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column:
                 columns = [part.column(i) for i in range(len(names))] + [pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, text_column])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return map_arrow(encoded.select(*[F.col(f"`{c}`") for c in names]), run, schema)
