@@ -192,7 +192,7 @@ def yake(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
         candidates(docs, key, text)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(entry)).alias("ordered"))
-        .select(key, distinct_enough(F.col("ordered")).alias("kept"))
+        .select(key, distinct_enough(F.col("ordered"), pool=max(POOL, n)).alias("kept"))
     )
     return pools.select(key, F.posexplode(F.slice("kept", 1, n)).alias("at", "k")).select(
         key, (F.col("at") + 1).cast("long").alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score")

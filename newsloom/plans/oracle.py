@@ -10,6 +10,7 @@ from newsloom.functions.html import BLOCK_TAGS, CODE_TAGS, NOISE_TAGS
 from newsloom.functions.text import ACCENTED, PLAIN
 from newsloom.functions.urls import TRACKING_PARAMS
 from newsloom.operators.terms import STOP
+from newsloom.operators.yake import DEDUP_LIMIT, POOL
 
 WORD = r"[\p{L}\p{N}]+"
 URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -408,6 +409,15 @@ def oracle_queries() -> dict[str, str]:
     q["yake_candidates"] = f"WITH {YAKE} " + _rank(
         "doc_id, rank, keyword, round(score, 6) AS score", "scored", "round(score, 8), keyword", 20
     )
+    alike = "1 - levenshtein(k.keyword, x[1].keyword)::DOUBLE / greatest(length(k.keyword), length(x[1].keyword))"
+    q["keywords_yake"] = f"""WITH {YAKE}, lists AS (
+            SELECT doc_id, list([{{'keyword': keyword, 'score': score}}] ORDER BY round(score, 8), keyword) AS l FROM scored GROUP BY doc_id),
+        kept AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN len(a) >= {POOL}
+                OR len(list_filter(a, lambda k: {alike} > {DEDUP_LIMIT})) > 0 THEN a ELSE a || x END)[1:10] AS l FROM lists)
+        SELECT doc_id, i AS rank, l[i].keyword AS keyword, round(l[i].score, 6) AS score
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM kept)"""
+    together = " UNION ".join(f"SELECT doc_id, keyword FROM ({q[f'keywords_{name}']})" for name in ("yake", "rake", "entities"))
+    q["keywords_combined"] = f"WITH pool AS ({together}) " + _rank("doc_id, rank, keyword", "pool", "length(keyword), keyword")
     q["summary_extractive"] = f"""WITH s AS (SELECT doc_id, {SENTENCES} AS l FROM documents WHERE text <> ''),
         u AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS spot FROM s),
         t AS (SELECT doc_id, spot, unnest({content_terms('sentence')}) AS term FROM u),
