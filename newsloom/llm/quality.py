@@ -23,7 +23,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "5 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     ("shouting", "2 * n_upper > word_chars and n_upper > 50"),
     ("exclamations", "2 * n_exclaimed > n_words and n_words > 0"),
