@@ -6,10 +6,12 @@
    t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r, with r and c from Gamma(2, 1) and b from (0, 1)
    drawn by hash; the least ln a and its t are the sample. Two documents agree on a sample with the probability of
    their weighted Jaccard similarity.
-3. Documents with equal text are one from here on. Those that share a band are compared with pivots of the band, never
-   all with all; links are verified over the whole texts. Linked documents are joined, and further rounds take other
-   pivots for documents that share a band but not yet a class, until a round joins nothing.
-4. Classes are the connected components of the links, by alternating stars.
+3. Documents with equal text are one from here on. Those that share a band are compared with pivots of the band; links
+   are verified over the whole texts. Linked documents are joined, and a few further rounds take other pivots for
+   documents that share a band but not yet a class.
+4. Bands that still hold several classes are finished exactly: small ones all with all, the texts of the others by a join
+   over their rarest shingles, one of which any two texts similar enough have in common.
+5. Classes are the connected components of the links, by alternating stars.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import Words, batches_of, mix, shingles, words
-from newsloom.llm.blocks import BLOCKS, add_up, as_batch, blocks, merge
+from newsloom.llm.blocks import BLOCKS, add_up, as_batch, blocks, merge, pack_block
 from newsloom.llm.shared import map_arrow, written
 
 SIZE = 5
@@ -30,24 +32,27 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 #: Shingles of more than this share of the documents weigh less, down to ``LEAST`` for one in every document.
 SHARE, LEAST = 0.001, 0.75
-#: Pivots of a band in each round, and the most rounds; each round's pivots are others.
+#: Pivots of a band in each round, and the most rounds before the exact end; each round's pivots are others.
 PIVOTS, ROUNDS = 2, 4
+#: In the end, texts of a band compared all with all, and texts of a shingle that meet all others of it in one task.
+SMALL, MEET = 8, 64
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Shingle occurrences a task holds before it sends their counts.
 BUFFER = 1 << 21
 
 _KEY = np.uint64(0xFFFFFFFF)
+#: Upper bits of a key that pick one of 2^20 counters.
+_COUNTER, _COUNTER_SHIFT = np.uint64(0xFFFFF000), np.uint64(12)
 _ODD = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 # --- weights ----------------------------------------------------------------------------------------------------------
 
 
-def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
-    """Shingles (lower 32 bits of their hashes) of more than ``SHARE`` of the documents, and their weights."""
+def _counted(texts: DataFrame, least: float, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (bits of the shingles' hashes) that more than ``least`` of the texts have, ascending, with their numbers."""
     shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = SHARE * n_docs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -59,7 +64,7 @@ def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
         for batch in batches:
             for a, b in batches_of(batch.column(0), 1 << 21):
                 s = shingles(words(batch.column(0).slice(a, b - a)), SIZE)
-                once = np.unique((s.rows.astype(np.uint64) << np.uint64(32)) | (s.hashes & _KEY))
+                once = np.unique((s.rows.astype(np.uint64) << np.uint64(32)) | (s.hashes & mask))
                 held.append(once & _KEY)
                 n += len(once)
             if n > BUFFER:
@@ -71,13 +76,20 @@ def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
     def frequent(table: pa.Table) -> pa.Table:
         keys, counts = merge(table.column("block").to_pylist())
         kept = counts > least
-        return pa.table({"key": pa.array(keys[kept].astype(np.int64)), "n": pa.array(counts[kept])})
+        return pa.table({"block": pa.array([pack_block(keys[kept], counts[kept])], pa.binary())})
+
+    # Packed: the driver would hold a Python object for each key of a row.
+    rows = map_arrow(texts, count, BLOCKS).groupBy("shard").applyInArrow(frequent, "block binary").collect()
+    return merge([bytes(r["block"]) for r in rows]) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
 
-    rows = map_arrow(texts, count, BLOCKS).groupBy("shard").applyInArrow(frequent, "key long, n long").toPandas()
-    rows = rows.sort_values("key")
-    commonness = np.log(rows["n"].to_numpy() / max(least, 1e-9)) / np.log(1 / SHARE)
+def _frequencies(texts: DataFrame, n_docs: int) -> dict[str, np.ndarray]:
+    """Shingles (lower 32 bits of their hashes) of more than ``SHARE`` of the documents, and their weights."""
+    least = SHARE * n_docs
+    keys, counts = _counted(texts, least, _KEY)
+    commonness = np.log(counts / max(least, 1e-9)) / np.log(1 / SHARE)
     weights = (1 - (1 - LEAST) * np.clip(commonness, 0, 1)).astype(np.float32)
-    return {"keys": rows["key"].to_numpy().astype(np.uint64), "weights": weights}
+    return {"keys": keys, "weights": weights}
 
 
 def _idf(frequent: dict[str, np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -240,6 +252,98 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent: object, id_column: st
     return map_arrow(sided.select("a", "b", "text_a", "text_b"), run, "a long, b long").distinct()
 
 
+# --- the exact end ----------------------------------------------------------------------------------------------------
+
+
+def _alike_in_weight(a: str, b: str) -> str:
+    return f"least({a}, {b}) >= greatest({a}, {b}) * {THRESHOLD - 1e-5:.6f}"
+
+
+def _rare(texts: DataFrame, frequent: object, common: object) -> DataFrame:
+    """The rarest shingles of each text: (id, class, weight, shingle, rest), rest being the weight from this shingle on.
+
+    A shingle is given while the rest is at least ``THRESHOLD`` of the text. Weight that two texts have in common is in the
+    rest of both from the first common shingle on, so similar texts both give that one. Shingles of one text only are left
+    out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in batches_of(batch.column(2)):
+                part = batch.slice(a, b - a)
+                rows, hashes, n = _bag(shingles(words(part.column(2)), SIZE))
+                weights = n * _idf(frequent.value, hashes).astype(np.float64)
+                number = common.value[(hashes & _KEY) >> _COUNTER_SHIFT]
+                order = np.lexsort((hashes, number, rows))
+                rows, hashes, weights, number = rows[order], hashes[order], weights[order], number[order]
+                total = np.bincount(rows, weights=weights, minlength=part.num_rows)
+                rest = np.cumsum(total)[rows] - np.cumsum(weights) + weights
+                given = np.flatnonzero((rest >= total[rows] * (THRESHOLD - 1e-5)) & (number > 1))
+                at = pa.array(rows[given])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(at),
+                        part.column(1).take(at),
+                        pa.array(total[rows[given]].astype(np.float32)),
+                        pa.array(hashes[given].view(np.int64)),
+                        pa.array(rest[given].astype(np.float32)),
+                    ],
+                    ["id", "class", "weight", "shingle", "rest"],
+                )
+
+    return map_arrow(texts.select("id", "class", "text"), run, "id long, class long, weight float, shingle long, rest float")
+
+
+def _by_rare_shingles(rare: DataFrame) -> DataFrame:
+    """Pairs (a < b) across classes that have a rare shingle in common and may be similar by what follows it.
+
+    The largest class of a shingle meets the other texts, these meet each other too. A text stands in one cell of its
+    shingle and the others come to every cell, so that no task gets all pairs of a common shingle.
+    """
+    sizes = rare.groupBy("shingle", "class").count().groupBy("shingle")
+    groups = sizes.agg(F.max(F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("classes"))
+    cells = lambda n: F.ceil(n / F.lit(MEET)).cast("int")
+    groups = groups.where("classes > 1").select("shingle", F.col("main.class").alias("main"), cells(F.col("main.count")).alias("own"), cells(F.col("n") - F.col("main.count")).alias("others"))
+    known = written(rare.join(groups, "shingle"), "rare")
+    place = F.when(F.col("class") == F.col("main"), F.pmod(F.xxhash64("id"), "own")).otherwise(-1 - F.pmod(F.xxhash64("id"), "others"))
+    left = known.select("shingle", place.cast("int").alias("cell"), F.struct("id", "class", "weight", "rest").alias("l"))
+    right = known.where("class != main").select(
+        "shingle", F.explode(F.sequence(-F.col("others"), F.col("own") - 1)).alias("cell"), F.struct("id", "class", "weight", "rest").alias("r")
+    )
+    met = left.join(right, ["shingle", "cell"]).where("(cell >= 0 or l.id < r.id) and l.class != r.class").where(_alike_in_weight("l.weight", "r.weight"))
+    most = F.max(F.least("l.rest", "r.rest") / (F.col("l.weight") + F.col("r.weight")))
+    pairs = met.groupBy(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).agg(most.alias("most"))
+    return pairs.where(F.col("most") >= THRESHOLD / (1 + THRESHOLD) - 1e-5).select("a", "b")
+
+
+def _rest(banded: DataFrame, classes: DataFrame | None, tried: list[DataFrame], docs: DataFrame, frequent: object, id_column: str, text_column: str) -> DataFrame:
+    """All pairs (a < b) that the pivots left out: across classes of a band, and not ruled out by weights or rare shingles."""
+    spark = banded.sparkSession
+    if classes is not None:
+        known = banded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    else:
+        known = banded.withColumn("class", F.col("id"))
+    bands = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    bands = written(bands.select("band", "n"), "bands")
+    few = known.join(bands.where(F.col("n") <= SMALL), "band").select("band", F.struct("id", "weight", "class").alias("m"))
+    pairs = few.withColumnRenamed("m", "l").join(few.withColumnRenamed("m", "r"), "band").where("l.id < r.id and l.class != r.class")
+    pairs = pairs.where(_alike_in_weight("l.weight", "r.weight")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    ids = written(known.join(bands.where(F.col("n") > SMALL).select("band"), "band").select("id", "class").distinct(), "unsettled")
+    n = ids.count()
+    if n:
+        texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+        texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS // 2 else ids, "id")
+        texts = written(texts, "unsettled-texts")
+        keys, counts = _counted(texts.select("text"), 1, _COUNTER)
+        common = np.zeros(1 << (32 - int(_COUNTER_SHIFT)), dtype=np.uint32)
+        common[keys >> _COUNTER_SHIFT] = counts
+        pairs = pairs.unionByName(_by_rare_shingles(_rare(texts, frequent, spark.sparkContext.broadcast(common))))
+    pairs = pairs.distinct()
+    for before in tried:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    return pairs
+
+
 # --- components -------------------------------------------------------------------------------------------------------
 
 
@@ -285,15 +389,22 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     banded = texts.where("b0 is not null").select("id", "weight", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     found: DataFrame | None = None
     joined: DataFrame | None = None
-    for round_ in range(ROUNDS):
-        pairs = written(_pairs(banded, joined, round_), "pairs")
-        if pairs.isEmpty():
-            if round_:
-                break
+    idle = False
+    tried: list[DataFrame] = []
+    for round_ in range(ROUNDS + 1):
+        last = round_ == ROUNDS
+        if not last and round_ > 1 and idle:
             continue
+        pairs = _rest(banded, joined, tried, source, frequent, "doc", "body") if last else _pairs(banded, joined, round_)
+        pairs = written(pairs, "pairs")
+        idle = pairs.isEmpty()
+        if idle:
+            continue
+        tried.append(pairs)
         fresh = written(_verified(pairs, source, frequent, "doc", "body"), "links")
-        if fresh.isEmpty() and round_:
-            break
+        idle = fresh.isEmpty()
+        if idle:
+            continue
         found = fresh if joined is None else written(fresh.select("a", "b").unionByName(joined.select(F.col("id").alias("a"), F.col("class").alias("b"))), "links")
         joined = components(found)
     own = texts.select("digest", "id")

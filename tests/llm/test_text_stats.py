@@ -260,6 +260,25 @@ def test_chains_and_large_groups(spark):
     assert got == brute_classes(dict(enumerate(texts)))
 
 
+def test_pairs_around_a_common_passage(spark):
+    """Hundreds of pairs in one band, whose passage is most of each text: no pivot stands for the other pairs."""
+    rng = np.random.default_rng(8)
+    passage = [f"passage{i}" for i in range(74)]
+    texts = []
+    for family in range(400):
+        own = [f"own{family}x{i}" for i in range(30)]
+        other = list(own)
+        other[int(rng.integers(5, 25))] = other[-2] = f"changed{family}"
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    texts += [" ".join(passage + [f"single{i}x{j}" for j in range(30)]) for i in range(20)]
+    texts += [texts[0] + f" more{i}" for i in range(200)]  # one large class among them
+    docs = rows_of(spark, texts).repartition(8)
+    expected = brute_classes(dict(enumerate(texts)))
+    assert len(set(expected.values())) == 420
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == expected
+
+
 def test_near_duplicates_of_odd_tables(spark):
     docs = spark.createDataFrame(
         [(1, "same text here for all of us", "k"), (1, "same text here for all of us", "k"), (2, "same text here for all of us", "m"), (None, "same text here for all of us", "n"), (3, None, None), (4, "", None)],
