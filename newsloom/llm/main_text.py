@@ -1,8 +1,8 @@
 """Main text of HTML pages: the maximum-scoring contiguous stretch of words and tags.
 
 A page is read once as a sequence of tags and texts. What stands in menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, scripts and styles, by element or by class, id and role, is set aside. In what is left each word
-scores a positive and each tag a negative weight, learned from labelled pages; a linear scan finds the stretch of the
+forms, reader comments, scripts and styles, by element or by class, id and role, is set aside; a form or marked container
+that holds the article, or most words of a page that declares none, stays. In what is left each word scores a positive and each tag a negative weight, learned from labelled pages; a linear scan finds the stretch of the
 highest sum. Its texts, cut at block elements, are the main text.
 """
 
@@ -30,7 +30,7 @@ FURNITURE = {
     "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "title",
     "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "math",
 }
-#: Words of class, id and role that mark the same.
+#: Words of class, id and role that mark the same on containers, as a whole or as the main word of a compound.
 FURNITURE_WORDS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "contentinfo",
     "sidebar", "complementary", "widget", "aside", "notice", "notices", "cookie", "cookies", "consent", "gdpr",
@@ -40,6 +40,14 @@ FURNITURE_WORDS = {
     "form", "disclaimer",
 }
 COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion"}
+#: Elements that class, id and role may set aside.
+CONTAINERS = {"article", "center", "dd", "details", "div", "dl", "fieldset", "figure", "form", "hgroup", "ol", "section", "table", "td", "ul"}
+#: Words that say nothing at the end of a compound ("ad-slot"), and those that make it say something else ("has-sidebar").
+PLAIN_WORDS = {
+    "area", "articles", "bar", "block", "box", "buttons", "container", "content", "form", "inner", "items", "links", "list", "posts",
+    "section", "slot", "thread", "unit", "wrap", "wrapper",
+}
+NOT_WORDS = {"has", "with", "without", "no", "is", "not", "hide", "hides", "show", "shows"}
 #: Elements that end a block of text.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
@@ -63,7 +71,7 @@ _PIECE = re.compile(
     r"|<(?P<loose_end>/?)(?P<loose>[a-z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-_MARKS = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -74,7 +82,7 @@ class _Part:
 
     tag: str = ""
     text: str = ""
-    aside: bool = False
+    aside: int = 0  # how many elements around it are set aside
     link: bool = False
     article: int = -1
 
@@ -86,6 +94,7 @@ class _Element:
     aside: bool = False
     by_class: bool = False
     holds_article: bool = False
+    holds_head: bool = False
 
 
 @dataclass(frozen=True)
@@ -98,16 +107,27 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
 
-def _words_of(attributes: str) -> set[str]:
-    found = [next(g for g in m if g) for m in _MARKS.findall(attributes) if any(m)]
-    return set(_WORD.findall(_CAMEL.sub(" ", " ".join(found)).lower())) if found else set()
+def _main_word(token: str) -> str:
+    """A furniture or comment word that a class, id or role says as a whole or as the main word of a compound, or nothing."""
+    pieces = _WORD.findall(_CAMEL.sub(" ", token).lower())
+    if len(pieces) > 1 and pieces[0] in NOT_WORDS:
+        return ""
+    while len(pieces) > 1 and pieces[-1] in PLAIN_WORDS:
+        pieces.pop()
+    return pieces[-1] if pieces and pieces[-1] in FURNITURE_WORDS | COMMENT_WORDS else ""
+
+
+def _words_of(attributes: str, ids: bool) -> set[str]:
+    """The main words of class and role, and of ids if wanted."""
+    found = [(m[0].lower(), next((g for g in m[1:] if g), "")) for m in _MARKS.findall(attributes)]
+    return {_main_word(x) for kind, value in found if ids or kind != "id" for x in value.split()} - {""}
 
 
 def parts(page: str) -> list[_Part]:
     """Tags and texts of a page in order, with what is set aside marked, and the declared article each belongs to."""
     out: list[_Part] = []
     stack: list[_Element] = []
-    cleared: list[tuple[int, int]] = []
+    closed: list[tuple[_Element, int, bool]] = []
     aside = links = 0
     article, articles = -1, 0
     article_depth = 0
@@ -115,9 +135,8 @@ def parts(page: str) -> list[_Part]:
     def close(element: _Element, ended: bool) -> None:
         nonlocal aside, links, article, article_depth
         if element.aside:
+            closed.append((element, len(out), ended))
             aside -= 1
-            if element.holds_article and (element.by_class or not ended):
-                cleared.append((element.at, len(out)))
         if element.name == "a":
             links -= 1
         if element.name in ("article", "main"):
@@ -127,9 +146,9 @@ def parts(page: str) -> list[_Part]:
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            out.append(_Part(text=html.unescape(raw), aside=aside > 0, link=links > 0, article=article))
+            out.append(_Part(text=html.unescape(raw), aside=aside, link=links > 0, article=article))
         elif raw:
-            out.append(_Part(text=" ", aside=aside > 0, link=links > 0, article=article))
+            out.append(_Part(text=" ", aside=aside, link=links > 0, article=article))
 
     at = 0
     for m in _PIECE.finditer(page):
@@ -145,7 +164,7 @@ def parts(page: str) -> list[_Part]:
                 for element in reversed(stack[place:]):
                     close(element, True)
                 del stack[place:]
-            out.append(_Part(tag=name, aside=aside > 0, article=article))
+            out.append(_Part(tag=name, aside=aside, article=article))
             continue
         # What a start tag ends by itself.
         if name == "body":
@@ -160,20 +179,22 @@ def parts(page: str) -> list[_Part]:
             for element in reversed(stack[ends[0] :]):
                 close(element, True)
             del stack[ends[0] :]
-        out.append(_Part(tag=name, aside=aside > 0, article=article))
+        out.append(_Part(tag=name, aside=aside, article=article))
         if name in VOID or (m["attributes"] or "").rstrip().endswith("/") and name in ("svg",):
             continue
         element = _Element(name, len(out) - 1)
         if name in ("article", "main", "h1"):
             for e in stack:
-                e.holds_article = True
-        marks = _words_of(m["attributes"] or m["rest"] or "") if name not in ("html", "body", "main") else set()
-        comment = bool(marks & COMMENT_WORDS)
+                e.holds_head = True
+                e.holds_article |= name != "h1"
+        # Within an article an id is an anchor, and a discussion is the author's.
+        marks = _words_of(m["attributes"] or m["rest"] or "", not article_depth) if name in CONTAINERS else set()
+        comment = bool(marks & COMMENT_WORDS - ({"discussion"} if article_depth else set()))
         by_class = bool(marks & FURNITURE_WORDS) and name != "article"
         element.aside = name in FURNITURE or comment or by_class
         element.by_class = by_class and not comment and name not in FURNITURE
         if name in ("article", "main"):
-            if not article_depth and not aside and not element.aside:
+            if not article_depth and not element.aside and aside == sum(e.aside and e.name == "form" for e in stack):
                 article, articles = articles, articles + 1
             article_depth += 1
         aside += element.aside
@@ -182,10 +203,25 @@ def parts(page: str) -> list[_Part]:
     text(page[at:])
     for element in reversed(stack):
         close(element, False)
-    for a, b in cleared:  # marked as furniture, yet it holds the article, or never ends
-        depth = 0
-        for part in out[a:b]:
-            part.aside = bool(depth)
+
+    def stays(element: _Element, end: int) -> None:
+        """Take the element's own mark off what it holds, and no other."""
+        for part in out[element.at + 1 : end]:
+            part.aside -= 1
+
+    left = []
+    for element, end, ended in closed:  # inner ones first
+        if element.holds_head and (element.by_class or not ended) or element.holds_article and element.name == "form":
+            stays(element, end)
+        elif element.by_class or element.name == "form":
+            left.append((element, end))
+    if left and _declared(out) < 0:
+        n = [len(part.text.split()) for part in out]
+        for element, end in left:
+            held = range(element.at + 1, end)
+            level = out[element.at].aside + 1
+            if 2 * sum(n[i] for i in held if out[i].aside == level) > sum(n):
+                stays(element, end)
     return out
 
 

@@ -123,6 +123,25 @@ def test_main_text(body, text):
     assert main_text.main_text(PAGE % body if body else "<html></html>", weights) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<article><h2 id="related-work">Related work</h2><p>One two</p><h3 id="social-effects">Social effects</h3><p class="search-history">Three</p></article>', "Related work\nOne two\nSocial effects\nThree"),
+        ('<article><p>One</p><section id="discussion"><p>Two of the author</p></section></article>', "One\nTwo of the author"),
+        ("<form><nav>Menu words</nav><article><p>One two</p></article><div class=sidebar>Side</div></form>", "One two"),
+        ("<form><div><p>A page of many words that stand all of them in a form around it, as some servers write them, and it goes on and on for a while to hold most of the words</p></div></form>", "A page of many words that stand all of them in a form around it, as some servers write them, and it goes on and on for a while to hold most of the words"),
+        ('<div class="content has-sidebar"><p>Text of the page</p></div>', "Text of the page"),
+        ("<div class=banner><h1>Head line</h1><nav>Menu of a few words here</nav><p>One two</p><div class=ads>Buy now and here</div><p>Last</p></div>", "Head line\nOne two\nLast"),
+        ("<div><p>Words of a page without an article element that are many</p></div><div class=related><article><a>Card</a></article></div>", "Words of a page without an article element that are many"),
+        ("<div class=cookie-banner>We use cookies</div><article><p>One</p><div class=share-buttons>Send it on</div></article>", "One"),
+    ],
+)
+def test_marks_take_no_article_text(body, text):
+    page = f"<html><body>{body}<div class=site-footer>Foot</div></body></html>"
+    weights = main_text.Weights(tags=dict.fromkeys(("p", "nav", "div", "h1", "form"), -0.1))
+    assert main_text.main_text(page, weights) == text
+
+
 def test_region_is_the_best_stretch():
     weights = main_text.Weights(tags={"p": -0.2, "div": -3.0})
     page = "<div>a b</div><div><p>one two three four</p><p>five six</p></div><div>x</div>"
