@@ -48,11 +48,14 @@ BLOCK_TAGS = (
     "|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 )
 
-#: What follows the name in an opening tag: nothing, or attributes, in whose quoted values ``>`` ends nothing.
-REST = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>"""
+# Attributes, in whose quoted values ``>`` ends nothing. A quote opens a value only after ``=``: elsewhere it is a character.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+"""
+
+#: What follows the name in an opening tag: nothing, or attributes.
+REST = rf"(?:[\s/]{_ATTRIBUTES})?>"
 
 #: Any tag; what only looks like one ends at the next ``>``.
-TAG = r"""(?s)</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>"""
+TAG = rf"(?s)</?[A-Za-z]{_ATTRIBUTES}>|<[^>]*>"
 
 _CUT = "\u0001"
 _ENTITIES = json.dumps({"apos": "'", **{n: chr(c) for n, c in sorted(name2codepoint.items()) if n != "amp"}})
@@ -91,8 +94,16 @@ def _without_nested(html: Column, tag: str) -> Column:
         walk = F.aggregate(pieces, start, step)
         return let(walk, lambda w: F.array_join(F.concat(w["out"], w["held"]), ""))
 
-    pieces = F.split(html, rf"(?i)(?=</?{tag}[\s/>])")
-    return F.when(F.rlike(html, F.lit(rf"(?i)<{tag}[\s/>]")), let(pieces, cut)).otherwise(html)
+    # An opening tag that is followed by another one before any closing tag of the name.
+    nested = rf"(?is)<{tag}[\s/>](?:[^<]++|<(?!/?{tag}[\s/>]))*+<{tag}[\s/>]"
+
+    def without(page: Column) -> Column:
+        pieces = F.split(page, rf"(?i)(?=</?{tag}[\s/>])")
+        flat = F.regexp_replace(page, rf"(?is)<{tag}{REST}.*?</{tag}\s*>", "")
+        return F.when(F.rlike(page, F.lit(nested)), let(pieces, cut)).otherwise(flat)
+
+    # Bound: each of the steps mentions its input several times, and they are nested.
+    return let(html, without)
 
 
 def clean_html(html: Column) -> Column:

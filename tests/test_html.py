@@ -187,3 +187,30 @@ def test_date_in_the_path_is_the_last_resort(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["publication_date"] for r in extraction.extract(pages).collect()}
     assert got == {1: "2024-06-01", 2: "2023-01-01", 3: None}
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_a_quote_that_opens_no_value_swallows_nothing(spark, quote):
+    page = f"<p title=it{quote}s>One two three.</p><p>Middle words here.</p><p title=it{quote}s>Four five six.</p>"
+    lines = ["One two three.", "Middle words here.", "Four five six."]
+    assert evaluate(spark, [page], html.text_blocks) == [lines]
+    assert evaluate(spark, [page], html.text_nodes)[0].split() == " ".join(lines).split()
+    loose = f"<p {quote} data-x = {quote}a > b{quote} class=c{quote}>Kept</p><p x={quote}>Open</p>"
+    assert evaluate(spark, [loose], html.text_blocks) == [["Kept", "Open"]]
+
+
+def test_nested_and_open_elements_are_followed(spark):
+    pages = [
+        "a<nav>b<nav>c</nav>d</nav>e<nav>f</nav>g",
+        "a<nav>b<nav>c</nav>d",
+        "a<nav class='x>y'>b</nav >c</nav>d<navigation>e</navigation>",
+        "a<NAV\n>b</Nav>c<nav/>d</nav>e",
+    ]
+    assert evaluate(spark, pages, lambda c: html.remove_elements(c, ["nav"])) == [
+        "aeg", "a<nav>b<nav>c</nav>d", "ac</nav>d<navigation>e</navigation>", "ace",
+    ]
+
+
+def test_cleaning_keeps_plans_small(spark):
+    df = spark.createDataFrame([("<p>x</p>",)], "html string").select(extraction.density_text(F.col("html")).alias("t"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 25_000
