@@ -17,10 +17,11 @@ from newsloom.llm import (
     neardup,
     packing,
     quality,
+    token_files,
     url_filter,
     viterbi,
 )
-from newsloom.llm.shared import written
+from newsloom.llm.shared import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +123,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(table(spark, sf, "documents"))
 
 
+@query
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    token_files.write(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.documents(token_files.read(spark, path))
+
+
 # White space between words, as RE2 wants it.
 _SPACE = r"[ \t\n\x0B\f\r]"
 
