@@ -111,7 +111,7 @@ def test_an_empty_table_gives_no_documents(spark, tmp_path):
 
 
 def test_files_have_stripes_run_lengths_indexes_and_bloom_filters(spark, tmp_path):
-    docs = spark.range(6000).select((F.col("id") * 10).alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 60).alias("text"))
+    docs = spark.range(6000).select((F.col("id") * 10).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sha1((F.col("id") * 100 + i).cast("string"))), " ").alias("text"))
     path = str(tmp_path / "files")
     token_files.write(docs, path, PATH, parts=1, stripe_bytes=1 << 19)
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
