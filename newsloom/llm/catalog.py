@@ -17,6 +17,7 @@ from newsloom.llm import (
     neardup,
     packing,
     quality,
+    spelling,
     token_files,
     url_filter,
     viterbi,
@@ -130,6 +131,11 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.documents(token_files.read(spark, path))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf, "documents")))
+
+
 # White space between words, as RE2 wants it.
 _SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -169,3 +175,43 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        (3 + sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17 END))::BIGINT AS formatted_chars
 FROM x GROUP BY conv_id"""
+
+
+# CRC-32 by its table of 256 values; bytes of letters up to U+00FF in UTF-8.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the checksum of a text of such letters; ``t`` is the table."""
+    letters = f"string_split({text}, '')"
+    utf8 = "CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT] ELSE [(192 + unicode(c) // 64)::UBIGINT, (128 + unicode(c) % 64)::UBIGINT] END"
+    every = f"list_prepend(4294967295::UBIGINT, flatten(list_transform({letters}, lambda c: {utf8})))"
+    return f"xor(4294967295::UBIGINT, list_reduce({every}, lambda a, b: xor(t[((xor(a, b) & 255) + 1)::BIGINT], a >> 8)))"
+
+
+ORACLE_SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+r AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+    GROUP BY ALL HAVING length(run) >= 6),
+h AS (SELECT run, k, {_crc32("doc_id || ':' || run")} AS h FROM r, tab),
+e AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k
+    FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+    SELECT x.word, y.word AS other FROM d x JOIN d y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+    UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word
+    UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+best AS (SELECT near.word, count(*) AS n_near, min((-o.n, o.word)) AS b FROM near JOIN w o ON near.other = o.word GROUP BY near.word),
+f AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b[1] >= 5 * w.n THEN b[2] END AS form,
+           CASE WHEN -b[1] >= 5 * w.n THEN -b[1] END::BIGINT AS form_n
+    FROM w LEFT JOIN best USING (word)),
+walk AS (
+    SELECT word, word AS here, 0 AS step FROM f
+    UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON walk.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(here, step) FROM walk WHERE walk.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f"""
