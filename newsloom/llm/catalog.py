@@ -16,6 +16,7 @@ from newsloom.llm import (
     main_text,
     neardup,
     packing,
+    prefix_trie,
     quality,
     spelling,
     token_files,
@@ -136,6 +137,11 @@ def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf, "documents")))
 
 
+@query
+def op13_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(written(prefix_trie.sequences(table(spark, sf, "conversations")), "sequences")))
+
+
 # White space between words, as RE2 wants it.
 _SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -215,3 +221,26 @@ walk AS (
     SELECT word, word AS here, 0 AS step FROM f
     UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON walk.here = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, (SELECT arg_max(here, step) FROM walk WHERE walk.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f"""
+
+ORACLE_SQL["op13_conversation_trie"] = f"""
+WITH tab AS ({_CRC_TABLE}),
+own AS (
+    SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST, role, text) AS seq
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, seq, ({_crc32("conv_id::VARCHAR")} % 4)::BIGINT AS h FROM own, tab),
+re AS (
+    SELECT h.conv_id, list_concat(coalesce(o.seq, [])[1:h.h], h.seq[h.h + 1:]) AS seq
+    FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20),
+pre AS (SELECT conv_id, d::BIGINT AS depth, seq[1:d] AS path, len(seq) = d AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM re)),
+node AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+           CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(split_part(path[-1], chr(0), 2), '[^ \t\n\x0B\f\r]+')) END AS words
+    FROM pre GROUP BY path, depth),
+child AS (SELECT path[1:-2] AS path, count(*)::BIGINT AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+val AS (SELECT node.*, coalesce(n_children, 0)::BIGINT AS n_children, (n_convs - 1) * words AS saved FROM node LEFT JOIN child USING (path)),
+above AS (SELECT conv_id, unnest(range(0, depth + 1)) AS up, path, n_children, saved FROM val),
+total AS (
+    SELECT path[1:up] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0)::BIGINT AS n_leaves FROM above GROUP BY 1)
+SELECT val.conv_id, val.depth, p.conv_id AS parent_conv_id, val.n_convs, val.n_children, total.n_leaves, total.saved_tokens, val.ends_sha256
+FROM val JOIN total USING (path) LEFT JOIN node p ON val.depth > 0 AND p.depth = val.depth - 1 AND p.path = val.path[1:-2]"""
