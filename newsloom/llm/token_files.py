@@ -17,12 +17,14 @@ the stream and checksums of whole documents follow from each row alone and are a
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,18 @@ PIECE = 1 << 20
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
 
+class _Known(dict):
+    """Ids of the words met so far; a new word is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer file that drops white space, each as little-endian unsigned 32-bit integers.
 
@@ -53,19 +67,18 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {"": b""}
+        self._words = _Known(self._word)
         with open(path, encoding="utf-8") as source:
             content = json.load(source)
         self._special = [t["content"] for t in content.get("added_tokens") or []]
         self._cuts = self._drops_spaces(content) and not self._joins_words()
         names = [n.get("type") for n in (content.get("normalizer") or {}).get("normalizers", [])]
-        self._lowers = "Lowercase" in names
-        self._merge = self._merger(content) if self._cuts and self._lowers else None
+        self._merge = self._merger(content) if self._cuts and names == ["NFC", "Replace", "Lowercase"] else None
+        if self._merge:
+            self._parts = regex.compile(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
     @staticmethod
     def _drops_spaces(content: dict) -> bool:
@@ -107,22 +120,20 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        """Encode words that aren't known yet; a full stop or comma after a letter, and ASCII capitals, don't count as new."""
-        known = self._words
-        simple = {}
-        for word in missing:
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
-            simple[word] = (stem.lower() if self._lowers and stem.isascii() else stem, tail)
-        new = list({x for pair in simple.values() for x in pair}.difference(known))
-        if self._merge:
-            for word in (w for w in new if w.isalpha() and max(w) < "\u0100"):  # composed letters, one piece each
-                known[word] = np.array(self._merge(word.lower().encode() + b"\xff"), dtype="<u4").tobytes()
-            new = [w for w in new if w not in known]
-        for word, ids in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(ids.ids, dtype="<u4").tobytes()
-        for word, (stem, tail) in simple.items():
-            known[word] = known[stem] + known[tail]
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that isn't known yet. Capitals, and a full stop or comma after a letter, don't make it a new one."""
+        if not word:
+            return b""
+        if word[-1] in ".," and word[-2:-1].isalpha():
+            return self._words[word[:-1]] + self._words[word[-1]]
+        if not self._merge or not word.isprintable() or max(word) > "\u00ff":
+            return self._plain(word)
+        # Letters up to U+00FF are composed already, and have one small letter each.
+        low = word.lower()
+        if low != word:
+            return self._words[low]
+        ids = [i for part in ([low] if low.isalpha() else self._parts.findall(low)) for i in self._merge(part.encode() + b"\xff")]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self._cuts or any(s in text for s in self._special):
@@ -130,16 +141,9 @@ class WordEncoder:
         return b"".join(map(self._piece, pieces(text)))
 
     def _piece(self, text: str) -> bytes:
-        known = self._words
-        words = text.replace("\n", " ").split(" ")
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                missing = set(words) - {""}
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
+        if len(self._words) > CACHE_WORDS:
+            self._words.clear()
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(text: str) -> Iterator[str]:
