@@ -36,6 +36,8 @@ SHARE, LEAST = 0.001, 0.75
 PIVOTS, ROUNDS = 2, 4
 #: In the end, texts of a band compared all with all, and texts of a shingle that meet all others of it in one task.
 SMALL, MEET = 8, 64
+#: Texts meet by buckets of the logarithm of their weights, of this width.
+BUCKET = 0.05
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Shingle occurrences a task holds before it sends their counts.
@@ -294,26 +296,53 @@ def _rare(texts: DataFrame, frequent: object, common: object) -> DataFrame:
     return map_arrow(texts.select("id", "class", "text"), run, "id long, class long, weight float, shingle long, rest float")
 
 
+def _bucket(weight: Column) -> Column:
+    return F.floor(F.log(weight) / F.lit(BUCKET)).cast("int")
+
+
 def _by_rare_shingles(rare: DataFrame) -> DataFrame:
     """Pairs (a < b) across classes that have a rare shingle in common and may be similar by what follows it.
 
-    The largest class of a shingle meets the other texts, these meet each other too. A text stands in one cell of its
-    shingle and the others come to every cell, so that no task gets all pairs of a common shingle.
+    Texts as similar as wanted have ``THRESHOLD / (1 + THRESHOLD)`` of their weights' sum in common, all of it in the rests of both from
+    the first common shingle on. So a row is given for every bucket of weights that a partner may have and its rest still
+    serves, and only rows of the same shingle and the same two buckets meet, the heavier text on the left. What shares a
+    common passage and little else is left out before the join.
+
+    The largest class of a key doesn't meet itself. A text of the left side stands in one cell of its key and those of the right
+    come to every cell, so that no task gets all pairs of a common shingle.
     """
-    sizes = rare.groupBy("shingle", "class").count().groupBy("shingle")
-    groups = sizes.agg(F.max(F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("classes"))
+    least = THRESHOLD - 1e-5
+    share = THRESHOLD / (1 + THRESHOLD) - 1e-5
+    own, other = _bucket(F.col("weight")), F.col("other")
+    edge = F.exp(other * F.lit(BUCKET))
+    text = F.struct("id", "class", "weight", "rest")
+    lighter = F.sequence(_bucket(F.col("weight") * F.lit(least)), own)
+    heavier = F.sequence(own, _bucket(F.col("weight") / F.lit(least)))
+    enough = lambda partner: F.col("rest") >= (F.col("weight") + partner) * F.lit(share)
+    left = rare.select("*", F.explode(lighter).alias("other")).where(enough(F.greatest(edge, F.col("weight") * F.lit(least))))
+    left = written(left.select("shingle", own.alias("heavy"), other.alias("light"), text.alias("l")), "heavier")
+    right = rare.select("*", F.explode(heavier).alias("other")).where(enough(F.greatest(edge, F.col("weight"))))
+    right = written(right.select("shingle", other.alias("heavy"), own.alias("light"), text.alias("r")), "lighter")
+    keys = ["shingle", "heavy", "light"]
+    sides = left.groupBy(*keys, F.col("l.class").alias("class")).count()
+    sides = sides.unionByName(right.groupBy(*keys, F.col("r.class").alias("class")).agg(F.lit(0).cast("long").alias("count")))
+    groups = sides.groupBy(*keys).agg(
+        F.max(F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    )
     cells = lambda n: F.ceil(n / F.lit(MEET)).cast("int")
-    groups = groups.where("classes > 1").select("shingle", F.col("main.class").alias("main"), cells(F.col("main.count")).alias("own"), cells(F.col("n") - F.col("main.count")).alias("others"))
-    known = written(rare.join(groups, "shingle"), "rare")
-    place = F.when(F.col("class") == F.col("main"), F.pmod(F.xxhash64("id"), "own")).otherwise(-1 - F.pmod(F.xxhash64("id"), "others"))
-    left = known.select("shingle", place.cast("int").alias("cell"), F.struct("id", "class", "weight", "rest").alias("l"))
-    right = known.where("class != main").select(
-        "shingle", F.explode(F.sequence(-F.col("others"), F.col("own") - 1)).alias("cell"), F.struct("id", "class", "weight", "rest").alias("r")
+    groups = groups.where("lo < hi").select(
+        *keys, F.col("main.class").alias("main"), cells(F.col("main.count")).alias("own"), cells(F.col("n") - F.col("main.count")).alias("others")
     )
-    met = left.join(right, ["shingle", "cell"]).where("(cell >= 0 or l.id < r.id) and l.class != r.class").where(_alike_in_weight("l.weight", "r.weight"))
-    most = F.max(F.least("l.rest", "r.rest") / (F.col("l.weight") + F.col("r.weight")))
-    pairs = met.groupBy(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).agg(most.alias("most"))
-    return pairs.where(F.col("most") >= THRESHOLD / (1 + THRESHOLD) - 1e-5).select("a", "b")
+    groups = written(groups, "groups")
+    place = F.when(F.col("l.class") == F.col("main"), F.pmod(F.xxhash64("l.id"), "own")).otherwise(-1 - F.pmod(F.xxhash64("l.id"), "others"))
+    placed = left.join(groups, keys).select(*keys, place.cast("int").alias("cell"), "l")
+    # Cells -others..-1 hold other classes, 0..own-1 the main one.
+    first, last = -F.col("others"), F.when(F.col("r.class") == F.col("main"), 0).otherwise(F.col("own"))
+    every = F.filter(F.sequence(first, F.greatest(first, last)), lambda c: c < last)
+    coming = right.join(groups, keys).select(*keys, F.explode(every).alias("cell"), "r")
+    met = placed.join(coming, [*keys, "cell"]).where("(l.weight > r.weight or l.weight = r.weight and l.id > r.id) and l.class != r.class")
+    met = met.where(_alike_in_weight("l.weight", "r.weight")).where(F.least("l.rest", "r.rest") >= (F.col("l.weight") + F.col("r.weight")) * F.lit(share))
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
 def _rest(banded: DataFrame, classes: DataFrame | None, tried: list[DataFrame], docs: DataFrame, frequent: object, id_column: str, text_column: str) -> DataFrame:

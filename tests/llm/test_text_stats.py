@@ -279,6 +279,32 @@ def test_pairs_around_a_common_passage(spark):
     assert got == expected
 
 
+def test_one_very_common_line(spark):
+    """A line that is nine tenths or less of hundreds of short texts of all weights: some are alike through it, most aren't."""
+    rng = np.random.default_rng(11)
+    line = " ".join(f"common{i}" for i in range(60))
+    texts = []
+    for family in range(250):
+        own = [f"own{family}x{i}" for i in range(int(rng.integers(2, 26)))]
+        texts.append(line + "\n" + " ".join(own))
+        if family % 3 == 0:
+            texts.append(line + "\n" + " ".join([*own[:-1], f"last{family}"]))
+        if family % 5 == 0:
+            texts.append(" ".join(own) + " before\n" + line)
+    docs = rows_of(spark, texts).repartition(8)
+    expected = brute_classes(dict(enumerate(texts)))
+    assert 100 < len(set(expected.values())) < len(texts)
+    keys, counts = neardup._counted(docs.select("text"), 1, neardup._COUNTER)
+    common = np.zeros(1 << 20, dtype=np.uint32)
+    common[keys >> neardup._COUNTER_SHIFT] = counts
+    even = {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0, np.float32)}
+    share = spark.sparkContext.broadcast
+    pairs = neardup._by_rare_shingles(neardup._rare(docs.selectExpr("doc_id id", "doc_id class", "text"), share(even), share(common)))
+    assert pairs.count() < len(texts) * len(texts) // 14  # a seventh of those that share the line
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == expected
+
+
 def test_near_duplicates_of_odd_tables(spark):
     docs = spark.createDataFrame(
         [(1, "same text here for all of us", "k"), (1, "same text here for all of us", "k"), (2, "same text here for all of us", "m"), (None, "same text here for all of us", "n"), (3, None, None), (4, "", None)],
