@@ -33,7 +33,7 @@ BANDS, ROWS = 10, 3
 #: Shingles of more than this share of the documents weigh less, down to ``LEAST`` for one in every document.
 SHARE, LEAST = 0.001, 0.75
 #: Pivots of a band in each round, and the most rounds before the exact end; each round's pivots are others.
-PIVOTS, ROUNDS = 2, 4
+PIVOTS, ROUNDS = 2, 2
 #: In the end, texts of a band compared all with all, and texts of a shingle that meet all others of it in one task.
 SMALL, MEET = 8, 64
 #: Texts meet by buckets of the logarithm of their weights, of this width.
@@ -390,15 +390,16 @@ def components(links: DataFrame) -> DataFrame:
         return out.where("u != v").distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
     while True:
         edges = written(star(star(edges, True), False), "stars")
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if tuple(state) == before:
+        # Stars: every end has one centre and no centre is an end. Then each component is one star, with its least id as centre.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("ends"), F.lit(0).alias("centre"))
+        roles = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("ends"), F.lit(1).alias("centre")))
+        roles = roles.groupBy("x").agg(F.sum("ends").alias("ends"), F.max("centre").alias("centre"))
+        if roles.where("ends > 1 or ends = 1 and centre = 1").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct()
             )
-        before = tuple(state)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
