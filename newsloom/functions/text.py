@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,20 @@ WORD = r"[\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.!?\n]+"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
-# Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters with a stroke, which have no decomposition, and what they fold to.
+STROKED = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t"}
+
+
+def _folded_letters() -> dict[str, str]:
+    """Small Latin letters that Unicode decomposes into an ASCII letter and marks, and that letter."""
+    ranges = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    split = {c: unicodedata.normalize("NFD", c) for c in map(chr, ranges) if c == c.lower()}
+    plain = {c: d[0] for c, d in split.items() if len(d) > 1 and d[0].isascii() and d[0].isalpha()}
+    return plain | STROKED
+
+
+#: Accented letters and what they fold to, place by place.
+ACCENTED, PLAIN = ("".join(letters) for letters in zip(*sorted(_folded_letters().items())))
 
 
 def strip(text: Column) -> Column:

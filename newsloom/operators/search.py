@@ -5,12 +5,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import ACCENTED, PLAIN, fold, words
 from newsloom.operators.terms import STOP
 
+#: Rows of a sorted page and all before it, at most, before matches are counted by ranges.
+MOST_SORTED = 10_000
+#: Characters of an id that make a range: ids are hexadecimal digests, so there are 4,096 ranges of three.
+ID_BEGINNING = 3
+
 #: Fields a search looks at.
 FIELDS = ["title", "content", "summary", "keywords"]
 
@@ -46,7 +51,7 @@ def read_query(q: str) -> Query:
     return asked
 
 
-def _searchable(df: DataFrame, fields: list[str]) -> list[tuple[str, Column]]:
+def searchable(df: DataFrame, fields: list[str]) -> list[tuple[str, Column]]:
     """Text of each field that exists, lists of strings joined by line breaks."""
     types = dict(df.dtypes)
     texts = []
@@ -76,7 +81,7 @@ def _phrase_filter(text: Column, query: Query) -> Column:
 def matches(articles: DataFrame, q: str, fields: list[str] = FIELDS) -> DataFrame:
     """Articles matching ``q``, found by scanning their text. One narrow pass, no shuffle."""
     query = read_query(q)
-    text = fold(F.concat_ws("\n", *[value for _, value in _searchable(articles, fields)]))
+    text = fold(F.concat_ws("\n", *[value for _, value in searchable(articles, fields)]))
     hit = _has_word(F.col("_text"), query.terms) & ~_has_word(F.col("_text"), query.without_terms)
     return (
         articles.withColumn("_text", text).filter(hit & _phrase_filter(F.col("_text"), query)).drop("_text")
@@ -86,7 +91,7 @@ def matches(articles: DataFrame, q: str, fields: list[str] = FIELDS) -> DataFram
 def build_postings(articles: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """The text index: (term, _id, field, tf). Stop words are not indexed."""
     each = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("field"), fold(v).alias("text")) for n, v in _searchable(articles, fields)])
+        F.array(*[F.struct(F.lit(n).alias("field"), fold(v).alias("text")) for n, v in searchable(articles, fields)])
     )
     return (
         articles.select("_id", each.alias("f"))
@@ -127,7 +132,7 @@ def matches_indexed(articles: DataFrame, postings: DataFrame, q: str, fields: li
     candidates = articles.join(found, "_id", "left_semi")
     if not (query.phrases or query.without_phrases):
         return candidates
-    text = fold(F.concat_ws("\n", *[value for _, value in _searchable(articles, fields)]))
+    text = fold(F.concat_ws("\n", *[value for _, value in searchable(articles, fields)]))
     return candidates.filter(_phrase_filter(text, query))
 
 
@@ -136,10 +141,51 @@ def _check(skip: int) -> None:
         raise ValueError("skip must not be negative")
 
 
-def page(matched: DataFrame, limit: int = 10, skip: int = 0) -> DataFrame:
-    """One page of matches in ``_id`` order. A limit of zero or less gives an empty page."""
+def page(
+    matched: DataFrame, limit: int = 10, skip: int = 0, after_id: str | None = None, at_once: int = MOST_SORTED
+) -> DataFrame:
+    """One page of matches in ``_id`` order. A limit of zero or less gives an empty page.
+
+    ``after_id`` goes on behind an article, by the last id of the page before: ids up to it are not read again, and nothing is
+    counted. A ``skip`` that reaches further than ``at_once`` rows counts the matches by ranges of their ids; only the ranges
+    that hold the page are then sorted, so no task has to hold all rows before it.
+    """
     _check(skip)
-    return matched.orderBy("_id").offset(skip).limit(max(limit, 0))
+    rows = matched if after_id is None else matched.filter(F.col("_id") > after_id)
+    limit = max(limit, 0)
+    if limit and skip + limit > at_once:
+        found = _id_ranges(rows.select("_id"), limit, skip, at_once)
+        if found is None:
+            return rows.limit(0)
+        least, most, before = found
+        rows = rows.filter((F.col("_id") >= least) & (F.substring("_id", 1, len(most)) <= most))
+        skip -= before
+    return rows.orderBy("_id").offset(skip).limit(limit)
+
+
+def _id_ranges(ids: DataFrame, limit: int, skip: int, at_once: int) -> tuple[str, str, int] | None:
+    """Least and greatest beginning of the ids on a page, and how many matches come before these; None behind the last one.
+
+    Ids with one beginning are a range. A range with more rows than are sorted at once is counted again by longer beginnings.
+    """
+    beginning, before = "", 0
+    while True:
+        length = len(beginning) + ID_BEGINNING
+        inside = ids.filter(F.col("_id").startswith(beginning)) if beginning else ids
+        counts = inside.groupBy(F.substring("_id", 1, length).alias("range")).count()
+        # A row for each beginning, whatever the number of matches.
+        upto = F.sum("count").over(Window.orderBy("range")) + before
+        on_page = counts.select("range", "count", upto.alias("upto")).filter(
+            (F.col("upto") > skip) & (F.col("upto") - F.col("count") < skip + limit)
+        )
+        first = F.min(F.col("upto") - F.col("count")).alias("first")
+        hit = on_page.agg(F.min("range").alias("least"), F.max("range").alias("most"), first, F.sum("count").alias("rows")).first()
+        if hit["least"] is None:
+            return None
+        whole = hit["least"] != hit["most"] or len(hit["least"]) < length
+        if whole or hit["rows"] <= at_once:
+            return hit["least"], hit["most"], hit["first"]
+        beginning, before = hit["least"], hit["first"]
 
 
 def meta(matched: DataFrame, limit: int = 10, skip: int = 0) -> DataFrame:
@@ -153,10 +199,15 @@ def meta(matched: DataFrame, limit: int = 10, skip: int = 0) -> DataFrame:
 
 
 def search(
-    articles: DataFrame | None, q: str, limit: int = 10, skip: int = 0, postings: DataFrame | None = None
+    articles: DataFrame | None,
+    q: str,
+    limit: int = 10,
+    skip: int = 0,
+    postings: DataFrame | None = None,
+    after_id: str | None = None,
 ) -> tuple[DataFrame | None, DataFrame | dict]:
     """Page of articles and its meta row. Without a collection the answer is empty, page 1 of 1."""
     if articles is None:
         return None, {"total": 0, "page": 1, "total_pages": 1}
     matched = matches(articles, q) if postings is None else matches_indexed(articles, postings, q)
-    return page(matched, limit, skip), meta(matched, limit, skip)
+    return page(matched, limit, skip, after_id), meta(matched, limit, skip)

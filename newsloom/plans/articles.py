@@ -61,14 +61,17 @@ def scrape(
     return resolve_logo(extracted), errors
 
 
-def with_language(articles: DataFrame, model: language.LanguageModel | None) -> DataFrame:
-    """Declared language first, the detector's where a page declares none; without a detector that stays null."""
+def with_language(articles: DataFrame, model: language.LanguageModel | None, key: str = "url") -> DataFrame:
+    """Declared language first, the detector's where a page declares none; without a detector that stays null.
+
+    ``key`` names one row.
+    """
     if model is None:
         return articles
-    silent = articles.filter(F.col("language").isNull()).select("url", "content")
-    detected = language.detect(silent, "url", "content", model).withColumnRenamed("language", "_detected")
+    silent = articles.filter(F.col("language").isNull()).select(key, "content")
+    detected = language.detect(silent, key, "content", model).withColumnRenamed("language", "_detected")
     return (
-        articles.join(detected, "url", "left")
+        articles.join(detected, key, "left")
         .withColumn("language", F.coalesce("language", "_detected"))
         .drop("_detected")
     )

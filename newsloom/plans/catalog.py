@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, html, text, urls
-from newsloom.operators import classifier, entities, extraction, keywords, language, rake, reporting, search, tfidf, yake
+from newsloom.operators import classifier, entities, extraction, keywords, language, rake, reporting, search, text_index, tfidf, yake
 from newsloom.operators.summary import summarize
 from newsloom.operators.terms import as_lists
 from newsloom.plans import articles as jobs
@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEARCH_TEXT = 'the thea "on the" -spam'
+INDEX_TEXT = 'thea ingshly "of the" -zzz'
 SEARCH_WORDS = "thea ingshly erüver"
 
 
@@ -166,12 +167,22 @@ _page_column("extract_text", lambda source: text.clean_text(html.text_nodes(sour
 _page_column("extract_main_text", extraction.stripped_text)
 _page_column("extract_selector", extraction.selected_text)
 _page_column("extract_blocks", extraction.density_text)
-_page_column("page_language", lambda s: F.coalesce(F.nullif(html.declared_language(s), F.lit("")), F.lit("en")))
 _page_column("pubdate_extract", html.publication_date, dated=True)
 _page_column("logo_extract", html.logo, dated=True)
 _page_column("image_extract", lambda source: joined(html.large_images(source)), dated=True)
 
 
+@query
+def page_language(spark: SparkSession, sf: str) -> DataFrame:
+    """What a page declares, and what the detector finds where it declares nothing, as here every third page."""
+    declaration = r"""(?i)(<html\b[^>]*?)\slang\s*=\s*["']?[A-Za-z-]+["']?"""
+    silent = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", declaration, "$1")).otherwise(F.col("html"))
+    pages = read_table(spark, sf, "pages").select("page_id", silent.alias("html"))
+    read = pages.select("page_id", F.nullif(html.declared_language(F.col("html")), F.lit("")).alias("language"), extraction.stripped_text(F.col("html")).alias("content"))
+    model = language.train(read_table(spark, sf, "documents"))
+    return jobs.with_language(read, model, key="page_id").select("page_id", F.col("language").alias("value"))
+
+
 @query
 def extract_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Every page as it is, as a page whose only text is a linked heading, and as a page without text."""
@@ -277,6 +288,35 @@ def search_meta(spark: SparkSession, sf: str) -> DataFrame:
     return search.meta(search.matches(articles_view(spark, sf), SEARCH_WORDS), limit=10, skip=20)
 
 
+@query
+def search_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page far behind the first: only the range of ids that holds it is sorted."""
+    found = search.matches(articles_view(spark, sf), SEARCH_WORDS)
+    return search.page(found, limit=10, skip=30, at_once=8).select("_id", "title")
+
+
+@query
+def search_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind an article, by its id."""
+    return search.page(search.matches(articles_view(spark, sf), SEARCH_WORDS), limit=10, after_id="8").select("_id", "title")
+
+
+@query
+def index_positions(spark: SparkSession, sf: str) -> DataFrame:
+    found = text_index.build_positions(articles_view(spark, sf))
+    return found.withColumn("positions", joined(F.col("positions").cast("array<string>"), ","))
+
+
+@query
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and a phrase asked of a written index of two batches, the second of which has some articles of the first again."""
+    path = f"{shared_dir(spark)}/newsloom/index-{uuid.uuid4().hex}"
+    view = articles_view(spark, sf)
+    text_index.write_index(view.filter("page_id % 4 != 0").withColumn("title", F.when(F.col("page_id") % 4 == 1, F.lit("old")).otherwise(F.col("title"))), path, 0)
+    text_index.write_index(view.filter("page_id % 4 < 2"), path, 1)
+    return text_index.search_index(text_index.read_index(spark, path), INDEX_TEXT)
+
+
 @query
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     return search.build_postings(articles_view(spark, sf))
@@ -287,10 +327,8 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
-    """Trained on the even documents; the odd ones are told apart."""
-    docs = read_table(spark, sf, "documents")
-    even = F.col("doc_id") % 2 == 0
-    return language.detect(docs.filter(~even), "doc_id", "text", language.train(docs.filter(even)))
+    """Every document, told by the model of the half it isn't in."""
+    return language.detect_held_out(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
 def _ranked(name: str, method: Callable[..., DataFrame], digits: int | None = 6) -> None:
@@ -405,5 +443,7 @@ def domain_members(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Pages streamed into a new collection in the shared folder; the result is what the collection then holds."""
     base = f"{shared_dir(spark)}/newsloom/stream-{uuid.uuid4().hex}"
-    ingest(read_pages(spark, sf, pattern="pages.parquet"), f"{base}/articles", f"{base}/progress", AS_OF, 0).awaitTermination()
+    detector = language.train(read_table(spark, sf, "documents"))
+    pages = read_pages(spark, sf, pattern="pages.parquet")
+    ingest(pages, f"{base}/articles", f"{base}/progress", AS_OF, 0, language_model=detector).awaitTermination()
     return store.read_collection(spark, f"{base}/articles").select("_id", "url", "title", "content", "language")

@@ -10,6 +10,7 @@ from newsloom.functions.html import BLOCK_TAGS, CODE_TAGS, NOISE_TAGS
 from newsloom.functions.text import ACCENTED, PLAIN
 from newsloom.functions.urls import TRACKING_PARAMS
 from newsloom.operators.terms import STOP
+from newsloom.operators.text_index import STEMS
 from newsloom.operators.yake import DEDUP_LIMIT, POOL
 
 WORD = r"[\p{L}\p{N}]+"
@@ -249,16 +250,17 @@ scored AS (
     FROM cands c JOIN ws a ON c.doc_id = a.doc_id AND c.l = a.word
                  LEFT JOIN ws b ON c.doc_id = b.doc_id AND c.r = b.word)"""
 
+#: Tables that tell the language of ``source(doc_id, lang, text, train)`` by a model of its rows for training.
 LANGUAGE = r"""spelled AS (
-    SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
-uses AS (SELECT doc_id, lang, word, count(*) AS n FROM spelled GROUP BY ALL),
+    SELECT doc_id, lang, train, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM source),
+uses AS (SELECT doc_id, lang, train, word, count(*) AS n FROM spelled GROUP BY ALL),
 vocab AS (SELECT word, regexp_extract_all(word, '(?s).') AS c, regexp_extract_all('_' || word || '_', '(?s).') AS p
           FROM (SELECT DISTINCT word FROM uses)),
 cut AS (
     SELECT word, unnest(list_concat(c, list_transform(range(1, len(p)), lambda i: p[i] || p[i + 1]),
                   list_transform(range(1, len(p) - 1), lambda i: p[i] || p[i + 1] || p[i + 2]))) AS gram FROM vocab),
 cut_counts AS (SELECT word, gram, count(*) AS k FROM cut GROUP BY ALL),
-lang_words AS (SELECT lang, word, sum(n) AS n FROM uses WHERE lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY ALL),
+lang_words AS (SELECT lang, word, sum(n) AS n FROM uses WHERE lang IS NOT NULL AND train GROUP BY ALL),
 counts AS (SELECT lang, gram, sum(n * k) AS n FROM lang_words JOIN cut_counts USING (word) GROUP BY ALL),
 chosen AS (SELECT DISTINCT gram FROM (
     SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts) WHERE r <= 1000),
@@ -272,6 +274,24 @@ doc_scores AS (SELECT doc_id, l, sum(n * p) AS p FROM uses JOIN word_scores USIN
 best AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, l) AS r FROM doc_scores)"""
 
 
+def stemmed(term: str, language: str | None = None) -> str:
+    """SQL for a term without its language's ending; ``language`` fixes the language, which else is the column ``language``."""
+    cases = []
+    for code, rules in STEMS.items():
+        if language in (None, code):
+            steps = " ".join(
+                f"WHEN regexp_matches({term}, '{pattern}') THEN regexp_replace({term}, '{pattern}', '{kept.replace('$1', chr(92) + '1')}')" for pattern, kept in rules
+            )
+            cases.append(f"WHEN {f'language = {code!r}' if language is None else 'true'} THEN CASE {steps} ELSE {term} END")
+    return f"CASE {' '.join(cases)} ELSE {term} END"
+
+
+POSITIONS = f"""each_field AS (SELECT _id, language, 'title' AS field, title AS t FROM view UNION ALL SELECT _id, language, 'content', content FROM view),
+    cut_words AS (SELECT _id, language, field, unnest(w) AS word, unnest(range(len(w))) AS place
+                  FROM (SELECT *, regexp_extract_all({fold('t')}, '{WORD}') AS w FROM each_field)),
+    placed AS (SELECT _id, field, place, {stemmed('word')} AS term FROM cut_words)"""
+
+
 def oracle_queries() -> dict[str, str]:
     from newsloom.plans.catalog import SEARCH_WORDS
 
@@ -308,7 +328,6 @@ def oracle_queries() -> dict[str, str]:
         "extract_main_text": stripped("html"),
         "extract_selector": rendered(main_block("html")),
         "extract_blocks": density("html"),
-        "page_language": f"coalesce(nullif({declared_language('html')}, ''), 'en')",
         "pubdate_extract": PUBDATE,
         "logo_extract": """CASE page_id % 4 WHEN 0 THEN '/favicon-' || page_id || '.png'
             WHEN 1 THEN 'https://cdn.example.com/' || page_id || '.png' WHEN 2 THEN '/og/' || page_id || '.jpg' END""",
@@ -368,13 +387,35 @@ def oracle_queries() -> dict[str, str]:
     q["search_meta"] = f"""WITH {VIEW}, f AS (SELECT {folded} AS t FROM view), n AS (
             SELECT count(*) AS total FROM f WHERE {has_word('t', *words)})
         SELECT total, CAST(3 AS BIGINT) AS page, CAST(ceil(total / 10) AS BIGINT) AS total_pages FROM n"""
+    q["search_deep_page"] = f"""WITH {VIEW}, f AS (SELECT _id, title, {folded} AS t FROM view)
+        SELECT _id, title FROM f WHERE {has_word('t', *words)} ORDER BY _id LIMIT 10 OFFSET 30"""
+    q["search_after"] = f"""WITH {VIEW}, f AS (SELECT _id, title, {folded} AS t FROM view)
+        SELECT _id, title FROM f WHERE {has_word('t', *words)} AND _id > '8' ORDER BY _id LIMIT 10"""
+    q["index_positions"] = f"""WITH {VIEW}, {POSITIONS}
+        SELECT term, _id, field, count(*) AS tf, string_agg(place::VARCHAR, ',' ORDER BY place) AS positions FROM placed GROUP BY term, _id, field"""
+    asked = "term IN (SELECT unnest([" + ", ".join(f"[{', '.join(stemmed(repr(w), code) for code in STEMS)}, '{w}']" for w in ("thea", "ingshly")) + "]::VARCHAR[][], recursive := true))"
+    q["index_search"] = f"""WITH {VIEW}, {POSITIONS},
+        near AS (SELECT _id, field, term, lead(term) OVER (PARTITION BY _id, field ORDER BY place) AS following FROM placed)
+        SELECT _id FROM placed WHERE {asked} INTERSECT SELECT _id FROM near WHERE term = 'of' AND following = 'the'
+        EXCEPT SELECT _id FROM placed WHERE term = 'zzz'"""
     q["postings"] = f"""WITH {VIEW}, f AS (SELECT _id, 'title' AS field, title AS t FROM view UNION ALL
             SELECT _id, 'content', content FROM view),
         w AS (SELECT _id, field, unnest(regexp_extract_all({fold('t')}, '{WORD}')) AS term FROM f)
         SELECT term, _id, field, count(*) AS tf FROM w WHERE term NOT IN {STOP_LIST} GROUP BY ALL"""
 
-    q["language_id"] = f"""WITH {LANGUAGE} SELECT d.doc_id, coalesce(b.l, 'en') AS language
-        FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1 WHERE d.doc_id % 2 = 1"""
+    first = "substr(md5(doc_id::VARCHAR), 1, 1) < '8'"
+    q["language_id"] = " UNION ALL ".join(
+        f"""SELECT * FROM (WITH source AS (SELECT doc_id, lang, text, {other} AS train FROM documents), {LANGUAGE}
+        SELECT d.doc_id, coalesce(b.l, 'en') AS language
+        FROM (SELECT doc_id FROM documents WHERE {fold}) d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1)"""
+        for fold, other in ((first, f"NOT ({first})"), (f"NOT ({first})", first))
+    )
+    silent = f"page_id % 3 = 0 OR {declared_language('html')} = ''"
+    q["page_language"] = f"""WITH source AS (
+            SELECT doc_id, lang, text, true AS train FROM documents
+            UNION ALL SELECT -1 - page_id, NULL, {stripped('html')}, false FROM pages WHERE {silent}), {LANGUAGE}
+        SELECT page_id, CASE WHEN {silent} THEN coalesce(b.l, 'en') ELSE {declared_language('html')} END AS value
+        FROM pages LEFT JOIN best b ON b.doc_id = -1 - page_id AND b.r = 1"""
     rake = "points DESC, keyword DESC"
     q["keywords_rake"] = f"WITH {RAKE} " + _rank(
         "doc_id, rank, keyword, round(points::DOUBLE / 1000000, 6) AS score", "scored", rake

@@ -13,7 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.functions import urls
 from newsloom.operators.extraction import extract, filter_recent, resolve_logo
+from newsloom.operators.language import DEFAULT_LANGUAGE, LanguageModel
+from newsloom.plans.articles import with_language
 from newsloom.schema import as_articles
+from newsloom.session import materialise
 from newsloom.sources.store import latest, upsert, with_key
 
 PAGES = T.StructType(
@@ -50,13 +53,23 @@ Enrich = Callable[[DataFrame], DataFrame]
 
 
 def store_batch(
-    articles: DataFrame, target: str, batch: int, as_of: dt.datetime, writer: str = "stream", enrich: Enrich | None = None
+    articles: DataFrame,
+    target: str,
+    batch: int,
+    as_of: dt.datetime,
+    writer: str = "stream",
+    enrich: Enrich | None = None,
+    language_model: LanguageModel | None = None,
 ) -> None:
     """Upsert one batch. A batch that is replayed overwrites its own directory, so retries change nothing.
 
+    ``language_model`` tells the language of pages that declare none; without it that is the default's.
     ``enrich`` adds summary, keywords or verdict to the last version of each article in the batch.
     """
-    keyed = with_key(articles, as_of).withColumn("language", F.coalesce("language", F.lit("en")))
+    if language_model is not None:
+        # A page may come again in the same batch: its number names the row, its address doesn't.
+        articles = with_language(materialise(articles, "stream-batch"), language_model, key="seq")
+    keyed = with_key(articles, as_of).withColumn("language", F.coalesce("language", F.lit(DEFAULT_LANGUAGE)))
     if enrich is not None:
         last = latest(keyed.withColumn("_row", F.xxhash64("content")), ["seq", "url", "_row"]).drop("_row")
         stored = as_articles(enrich(last), "seq")
@@ -72,6 +85,7 @@ def ingest(
     as_of: dt.datetime,
     max_age_days: int = 180,
     enrich: Enrich | None = None,
+    language_model: LanguageModel | None = None,
 ) -> StreamingQuery:
     """Run over everything available, then stop. The last arrival of an article wins, so no watermark is needed.
 
@@ -80,7 +94,7 @@ def ingest(
     writer = "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, target, batch_id, as_of, writer, enrich)
+        store_batch(batch, target, batch_id, as_of, writer, enrich, language_model)
 
     return (
         articles_from_pages(pages, as_of, max_age_days)

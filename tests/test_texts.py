@@ -225,6 +225,18 @@ def test_language_accuracy_on_held_out_texts(spark):
     assert set(accuracy) == {"en", "fr", "de", "es"} and min(accuracy.values()) > 0.9, accuracy
 
 
+def test_every_text_is_told_by_a_model_that_has_not_seen_it(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("die und das", "de"), ("the and of", "en"), ("les des une", "fr")] * 12)]
+    rows += [(100, "rôle unique", "xx"), (None, "die das", None), (101, None, "de"), (102, "die die", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.detect_held_out(docs, "doc_id", "text").collect()
+    assert len(got) == len(rows)
+    found = {r["doc_id"]: r["language"] for r in got}
+    assert all(found[i] == lang for i, _, lang in rows[:36])
+    assert found[100] != "xx"  # its language is in its own half only
+    assert found[None] == "de" and found[101] == "en" and found[102] == "de"
+
+
 def test_language_of_nothing_is_the_default(spark):
     train = spark.createDataFrame([("der die das", "de"), ("le la les", "fr")], "text string, lang string")
     model = language.train(train)
