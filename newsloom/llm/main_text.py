@@ -62,12 +62,15 @@ GAPS = {"br", "td", "th", "img", "input"}
 #: Elements whose content is not markup.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 
+#: Attributes: a quote opens a value only after ``=``, and in a quoted value ``>`` ends nothing.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)*+"
+
 _PIECE = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
     r"|<!\[CDATA\[.*?\]\]>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRIBUTES + r">(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>" + _ATTRIBUTES + r")>"
     r"|<(?P<loose_end>/?)(?P<loose>[a-z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )

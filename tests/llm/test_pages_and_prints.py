@@ -142,6 +142,12 @@ def test_marks_take_no_article_text(body, text):
     assert main_text.main_text(page, weights) == text
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_a_quote_that_opens_no_value_swallows_nothing(quote):
+    page = f"<article><p title=it{quote}s>One two three.</p><p {quote}>Middle words here.</p><p title=it{quote}s>Four five.</p><p data-x = {quote}a > b{quote}>Six.</p></article>"
+    assert main_text.main_text(page, main_text.Weights()) == "One two three.\nMiddle words here.\nFour five.\nSix."
+
+
 def test_region_is_the_best_stretch():
     weights = main_text.Weights(tags={"p": -0.2, "div": -3.0})
     page = "<div>a b</div><div><p>one two three four</p><p>five six</p></div><div>x</div>"
