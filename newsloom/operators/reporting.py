@@ -69,7 +69,10 @@ def missing_page_errors(missing: DataFrame) -> DataFrame:
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:
-    """One row of counts over a table with one ``outcome`` per input: article, error, dropped or stale."""
+    """One row of counts over a table with one ``outcome`` per input: article, error, dropped or stale.
+
+    ``left_out`` rows are links that were not followed: they are counted apart and are no inputs.
+    """
     count = lambda name: F.count(F.when(F.col("outcome") == name, 1))
     return outcomes.agg(
         count("article").alias("n_articles"),
@@ -77,5 +80,6 @@ def run_stats(outcomes: DataFrame) -> DataFrame:
         (count("article") + count("error")).alias("n_reported"),
         count("dropped").alias("n_dropped_silently"),
         count("stale").alias("n_not_recent"),
-        F.count(F.lit(1)).alias("n_inputs"),
+        count("left_out").alias("n_left_out"),
+        (F.count(F.lit(1)) - count("left_out")).alias("n_inputs"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -25,21 +26,37 @@ from newsloom.sources import store
 
 @dataclass(frozen=True)
 class Run:
-    """What a run gives: articles in the fixed schema, error rows, and one outcome per input after fan-out."""
+    """What a run gives: articles in the fixed schema, error rows, and one outcome per input after fan-out.
+
+    Links of listings that were not followed are outcomes too, ``left_out``.
+    """
 
     articles: DataFrame
     errors: DataFrame
     outcomes: DataFrame
 
 
+class Scraped(NamedTuple):
+    """``left_out`` has (url, n_left_out) of the listings with more links than were followed."""
+
+    extracted: DataFrame
+    errors: DataFrame
+    left_out: DataFrame
+
+
+def left_out_outcomes(left_out: DataFrame) -> DataFrame:
+    """An outcome for each link that was not followed, by the listing's URL; a listing's links are bounded by its page."""
+    return left_out.select("url", F.explode(F.sequence(F.lit(1), "n_left_out"))).select("url", F.lit("left_out").alias("outcome"))
+
+
 def scrape(
     requested: DataFrame,
     pages: DataFrame,
     keep_link: Callable[[Column], Column] | None = page_source.looks_like_article,
     known_assets: DataFrame | None = None,
     link_limit: int | None = 10,
-) -> tuple[DataFrame, DataFrame]:
-    """(extracted, errors): one extracted row per distinct canonical URL behind the request.
+) -> Scraped:
+    """One extracted row per distinct canonical URL behind the request, errors, and what listings had beyond the limit.
 
     ``extracted.content`` is null where no strategy found any. URLs are reduced to distinct keys before pages are
     joined, so neither a URL asked for many times nor a page fetched many times makes a hot key.
@@ -49,6 +66,7 @@ def scrape(
     # Written once: articles and errors come from the same answer, and later branches read narrow rows.
     asked = materialise(page_source.lookup_ids(keys, pages), "requested")
     fanned = page_source.fan_out(page_source.with_source(asked, pages), keep=keep_link, limit=link_limit)
+    fanned = materialise(fanned.select("url", "listing_url", "pos", "n_left_out"), "fanned")
     targets = materialise(fanned.select("url").distinct(), "targets")
     linked = page_source.lookup_ids(targets.join(keys, "url", "left_anti"), pages)
     known = asked.join(targets, "url", "left_semi").unionByName(linked)
@@ -58,7 +76,8 @@ def scrape(
         extracted = fill_logos(extracted, known_assets, pages)
     missing = asked.filter(F.col("page_id").isNull()).select("url").unionByName(fetched.filter(F.col("page_id").isNull()).select("url"))
     errors = reporting.invalid_url_errors(requested, valid).unionByName(reporting.missing_page_errors(missing.distinct()))
-    return resolve_logo(extracted), errors
+    left_out = fanned.filter((F.col("pos") == 0) & (F.col("n_left_out") > 0))
+    return Scraped(resolve_logo(extracted), errors, left_out.select(F.col("listing_url").alias("url"), "n_left_out"))
 
 
 def with_language(articles: DataFrame, model: language.LanguageModel | None, key: str = "url") -> DataFrame:
@@ -107,7 +126,7 @@ def process_urls(
     link_limit: int | None = 10,
 ) -> Run:
     """The whole job. Extraction is written once to the shared folder, since every later branch reads it."""
-    extracted, errors = scrape(requested, pages, known_assets=known_assets, link_limit=link_limit)
+    extracted, errors, left_out = scrape(requested, pages, known_assets=known_assets, link_limit=link_limit)
     extracted = materialise(extracted, "extracted")
     readable = extracted.filter(F.col("content").isNotNull())
     recent = filter_recent(readable, as_of, max_age_days)
@@ -119,7 +138,7 @@ def process_urls(
     outcomes = extracted.select(
         "url",
         F.when(F.col("content").isNull(), "dropped").when(is_kept, "article").otherwise("stale").alias("outcome"),
-    ).unionByName(errors.select("url", F.lit("error").alias("outcome")))
+    ).unionByName(errors.select("url", F.lit("error").alias("outcome"))).unionByName(left_out_outcomes(left_out))
     return Run(as_articles(stamped), errors, outcomes)
 
 

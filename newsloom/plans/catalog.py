@@ -216,6 +216,13 @@ def listing_fanout(spark: SparkSession, sf: str) -> DataFrame:
     return fanned.select("page_id", "is_listing", F.col("pos").cast("long").alias("pos"), "url")
 
 
+@query
+def listing_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    """How many links of each page are not followed when three are."""
+    fanned = page_source.fan_out(read_table(spark, sf, "pages"), limit=3)
+    return fanned.filter("pos = 0").select("page_id", F.col("n_left_out").cast("long").alias("n_left_out"))
+
+
 # --- store and search -------------------------------------------------------------------------------------------------
 
 
@@ -381,7 +388,7 @@ def _published(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def scrape_articles(spark: SparkSession, sf: str) -> DataFrame:
-    extracted, _ = jobs.scrape(*_published(spark, sf))
+    extracted = jobs.scrape(*_published(spark, sf)).extracted
     recent = extraction.filter_recent(extracted.filter(F.col("content").isNotNull()), AS_OF, 180)
     return recent.select(
         urls.article_id(F.col("url")).alias("_id"), "url", "title", "content", "language", "publication_date",
@@ -391,30 +398,31 @@ def scrape_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def process_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: requested URLs to enriched, classified articles in the response schema."""
+    """The flagship: requested URLs to enriched, classified articles, stored and read back in the response schema."""
     requested, pages = _published(spark, sf)
     detector = language.train(read_table(spark, sf, "documents"))
     run = jobs.process_urls(requested, pages, AS_OF, 180, model=_classifier(spark, sf), language_model=detector)
-    return response_articles(run.articles).withColumn("keywords", joined(F.col("keywords"))).withColumn(
-        "image_urls", joined(F.col("image_urls"))
-    )
+    path = f"{shared_dir(spark)}/newsloom/collection-{uuid.uuid4().hex}"
+    jobs.process_and_store(run, path, 0)
+    stored = response_articles(store.read_collection(spark, path))
+    return stored.withColumn("keywords", joined(F.col("keywords"))).withColumn("image_urls", joined(F.col("image_urls")))
 
 
 @query
 def error_report(spark: SparkSession, sf: str) -> DataFrame:
-    _, errors = jobs.scrape(_requests(spark, sf), read_table(spark, sf, "pages"))
+    errors = jobs.scrape(_requests(spark, sf), read_table(spark, sf, "pages")).errors
     return errors.select("url", "error", "stage")
 
 
 @query
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
     requested = _requests(spark, sf)
-    extracted, errors = jobs.scrape(requested, dated_pages(spark, sf))
+    extracted, errors, left_out = jobs.scrape(requested, dated_pages(spark, sf))
     recent = dates.is_recent(F.col("publication_date"), AS_OF, 180)
     outcomes = extracted.select(
         F.when(F.col("content").isNull(), "dropped").when(recent, "article").otherwise("stale").alias("outcome")
     ).unionByName(errors.select(F.lit("error").alias("outcome")))
-    return reporting.run_stats(outcomes)
+    return reporting.run_stats(outcomes.unionByName(jobs.left_out_outcomes(left_out).select("outcome")))
 
 
 @query

@@ -483,11 +483,13 @@ def oracle_queries() -> dict[str, str]:
         FROM tried WHERE {cascade} <> ''"""
     missing = f"""SELECT DISTINCT u AS url, 'Error: No page for URL: ' || u AS error, 'scrape' AS stage
         FROM (SELECT {normal('url')} AS u FROM requests) WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM keyed)"""
+    q["listing_left_out"] = f"""WITH {LINKS} SELECT page_id, greatest(count(DISTINCT link) - 3, 0)::BIGINT AS n_left_out
+        FROM pages LEFT JOIN (SELECT page_id, link FROM resolved) USING (page_id) GROUP BY page_id"""
     q["error_report"] = f"WITH {REQUESTS}, {KEYED} {invalid} UNION ALL ({missing})"
     q["run_stats"] = f"""WITH {REQUESTS}, {KEYED}, e AS ({invalid} UNION ALL ({missing})),
         c AS (SELECT count(*) FILTER (WHERE {IS_RECENT}) AS a, count(*) AS n FROM keyed), x AS (SELECT count(*) AS e FROM e)
         SELECT a AS n_articles, e AS n_errors, a + e AS n_reported, CAST(0 AS BIGINT) AS n_dropped_silently,
-               n - a AS n_not_recent, n + e AS n_inputs FROM c CROSS JOIN x"""
+               n - a AS n_not_recent, CAST(0 AS BIGINT) AS n_left_out, n + e AS n_inputs FROM c CROSS JOIN x"""
     q["article_preview"] = f"""WITH {VIEW} SELECT _id, title,
             CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS content_preview,
             CASE WHEN page_id % 7 <> 0 THEN publication_date ELSE 'Unknown' END AS publication_date,

@@ -94,6 +94,26 @@ def test_listing_takes_ten_links_and_a_single_link_is_no_listing(spark):
     assert [r["is_listing"] for r in rows] == [True] * 10 + [False]
 
 
+def test_links_beyond_the_limit_are_counted_and_a_run_is_stored(spark, tmp_path):
+    anchors = "".join(f'<a href="/news/story-{i}">story {i}</a>' for i in range(14))
+    story = "<html lang='en'><head><title>T%d</title><meta name='date' content='2024-06-01'></head><body><article><p>Long enough text of story %d here.</p></article></body></html>"
+    rows = [(0, "http://l.com/", f"<html><body>{anchors}</body></html>")]
+    rows += [(i + 1, f"http://l.com/news/story-{i}", story % (i, i)) for i in range(14)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    run = jobs.process_urls(page_source.urls_from_list(spark, ["http://l.com/", "http://l.com/missing"]), pages, AS_OF, method="rake")
+    stats = reporting.run_stats(run.outcomes).first().asDict()
+    assert stats == {
+        "n_articles": 10, "n_errors": 1, "n_reported": 11, "n_dropped_silently": 0, "n_not_recent": 0, "n_left_out": 4, "n_inputs": 11,
+    }
+    target = str(tmp_path / "stored")
+    done = jobs.process_and_store(run, target, 0)
+    stored = store.read_collection(spark, target)
+    want = sorted((r["_id"], r["title"], r["content"]) for r in done.articles.collect())
+    assert sorted((r["_id"], r["title"], r["content"]) for r in stored.collect()) == want and len(want) == 10
+    jobs.process_and_store(run, target, 0)  # again: the same
+    assert store.read_collection(spark, target).count() == 10
+
+
 def test_language_falls_back_to_the_detector(spark):
     model = language.train(
         spark.createDataFrame([("der die das und nicht", "de"), ("the and not with", "en")], "text string, lang string")
@@ -149,6 +169,17 @@ def test_stream_over_many_files_equals_the_batch_run(spark, sf_dir, tmp_path):
     assert store.read_collection(spark, target).orderBy("_id").collect() == before
 
 
+def test_stream_tells_the_language_of_silent_pages(spark, tmp_path):
+    model = language.train(spark.createDataFrame([("die und das auf der", "de"), ("the and of with", "en")] * 3, "text string, lang string"))
+    page = "<html%s><head><title>t</title><meta name='date' content='2024-06-01'></head><body><article><p>%s</p></article></body></html>"
+    rows = [(1, "http://a.com/x", page % ("", "the and of with")), (2, "http://a.com/x", page % ("", "die und das auf der")), (3, "http://b.com/y", page % (" lang='fr'", "the and of"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "out")
+    ingest.ingest(ingest.read_pages(spark, str(tmp_path / "in")), target, str(tmp_path / "progress"), AS_OF, language_model=model).awaitTermination()
+    got = {r["url"]: r["language"] for r in store.read_collection(spark, target).collect()}
+    assert got == {"http://a.com/x": "de", "http://b.com/y": "fr"}
+
+
 def test_replayed_batch_changes_nothing(spark, sf_dir, tmp_path):
     target = str(tmp_path / "out")
     found = ingest.articles_from_pages(dated_pages(spark, sf_dir), AS_OF)
@@ -183,7 +214,7 @@ def test_missing_urls_are_reported_once(spark):
     many = "".join(f'<a href="/p{i}">x</a>' for i in range(3))
     pages = spark.createDataFrame([(1, "http://a.com/", many)], "page_id long, url string, html string")
     requested = spark.createDataFrame([("http://a.com/",), ("http://a.com/p1",), ("bad",)], "url string")
-    _, errors = jobs.scrape(requested, pages, keep_link=None)
+    errors = jobs.scrape(requested, pages, keep_link=None).errors
     assert sorted(r["url"] for r in errors.collect()) == ["bad", "http://a.com/p0", "http://a.com/p1", "http://a.com/p2"]
 
 
