@@ -13,7 +13,7 @@ path to each boundary is, and it is what merging the whole text gives.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,18 @@ SPACE = "▁"
 CACHE = 600_000
 
 
+class _Words(dict):
+    """Ids of the words met so far; a new word is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self._encode(word)
+
+
+
 class Pieces:
     """The vocabulary of a model file, and the search over it."""
 
@@ -54,7 +66,7 @@ class Pieces:
         found = [self.scores[i] for i in self.ids.values()]
         self.merging = all(s == int(s) for s in found) and len(set(found)) > 1
         self._apart: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = _Words(self._word)
         self._halves: dict[str, tuple[str, str] | None] = {}
         # No merge reaches into a word's mark if no piece holds one behind another character.
         self.by_word = self.merging and not any(SPACE in t.lstrip(SPACE) for t in self.ids)
@@ -192,16 +204,47 @@ class Pieces:
     def _search_ids(self, marked: str) -> bytes:
         return array("i", [i for a, b in self.search(marked) for i in self._ids_of(marked[a:b])]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word after its mark, looked up if it was met before."""
-        ids = self._words.get(word)
-        if ids is None:
-            parts = self._cut(SPACE + word)
-            if len(parts) == 1:
-                ids = self._search_ids(parts[0])
+    def _short_ids(self, part: str) -> bytes:
+        """``_search_ids`` of a part no longer than the window, where merging decides: nothing is to be committed before its end."""
+        n = len(part)
+        usable, lengths, short, known_apart = self.usable, self.lengths, (2, 1), self._apart
+        back = [-1] * (n + 1)
+        back[0] = 0
+        for end in range(1, n + 1):
+            for length in lengths.get(part[end - 3 : end], short) if end > 2 else short:
+                begin = end - length
+                if begin < 0 or back[begin] < 0:
+                    continue
+                piece = part[begin:end]
+                if length > 1 and piece not in usable:
+                    continue
+                if begin:
+                    left = part[back[begin] : begin]
+                    apart = known_apart.get((left, piece))
+                    if not (self.apart(left, piece) if apart is None else apart):
+                        continue
+                back[end] = begin
+                break  # no other path to this boundary is admissible
+        ids, end, known = [], n, self.ids
+        while end:
+            piece = part[back[end] : end]
+            i = known.get(piece)
+            if i is None:
+                ids.extend(reversed(self._ids_of(piece)))
             else:
-                ids = b"".join([self._part(p) for p in parts])
-            self._keep(word, ids)
+                ids.append(i)
+            end = back[end]
+        ids.reverse()
+        return array("i", ids).tobytes()
+
+    def _part_ids(self, part: str) -> bytes:
+        return self._short_ids(part) if self.merging and len(part) <= self.longest else self._search_ids(part)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after its mark, for one that wasn't met before."""
+        parts = self._cut(SPACE + word)
+        ids = self._part_ids(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
+        self._keep(word, ids)
         return ids
 
     def _part(self, part: str) -> bytes:
@@ -209,7 +252,7 @@ class Pieces:
         key = part[1:] if part[0] == SPACE else "\0" + part
         ids = self._words.get(key)
         if ids is None:
-            ids = self._search_ids(part)
+            ids = self._part_ids(part)
             self._keep(key, ids)
         return ids
 
@@ -235,7 +278,7 @@ class Pieces:
             return self._search_ids(SPACE + text.replace(" ", SPACE))
         if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
             # No piece reaches over the beginning of a word, so that words can be looked up.
-            return b"".join(map(self._word, text.split(" ")))
+            return b"".join(map(self._words.__getitem__, text.split(" ")))
         marked, out, begin = SPACE + text.replace(" ", SPACE), [], 0
         while begin < len(marked):
             end = begin
