@@ -201,20 +201,18 @@ def _pairs(banded: DataFrame, classes: DataFrame | None, round_: int) -> DataFra
     A pivot is the id next to a number in the sense of exclusive or: any member may be it, and finding it is a minimum.
     """
     seeds = [0] if round_ == 0 else [int(x) >> 24 for x in mix(np.arange(PIVOTS, dtype=np.uint64) + np.uint64(1000 * round_ + 7))]
-    near = [F.min(F.col("id").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"p{i}") for i, s in enumerate(seeds)]
     if classes is not None:
         known = banded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     else:
         known = banded.withColumn("class", F.col("id"))
+    # A pivot brings its weight and class along, so that it need not be looked up.
+    near = [F.min(F.struct(F.col("id").bitwiseXOR(F.lit(s)).alias("x"), "id", "weight", "class")).alias(f"p{i}") for i, s in enumerate(seeds)]
     bands = known.groupBy("band").agg(*near, F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").drop("lo", "hi")
-    member = F.struct(F.col("id"), F.col("weight"), F.col("class"))
-    joined = known.select("band", member.alias("m")).join(bands, "band")
-    pairs = joined.select("m", F.explode(F.array(*[f"p{i}" for i in range(len(seeds))])).alias("pivot")).where("m.id != pivot").distinct()
-    own = known.select("id", F.col("weight").alias("w"), F.col("class").alias("c")).distinct()
+    joined = known.select("band", F.struct("id", "weight", "class").alias("m")).join(bands, "band")
+    pairs = joined.select("m", F.explode(F.array(*[f"p{i}" for i in range(len(seeds))])).alias("p"))
     return (
-        pairs.join(own.withColumnRenamed("id", "pivot"), "pivot")
-        .where("m.class != c and least(m.weight, w) >= greatest(m.weight, w) * {:.6f}".format(THRESHOLD - 1e-5))
-        .select(F.least("m.id", "pivot").alias("a"), F.greatest("m.id", "pivot").alias("b"))
+        pairs.where("m.class != p.class").where(_alike_in_weight("m.weight", "p.weight"))
+        .select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
         .distinct()
     )
 
@@ -387,7 +385,8 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u != v").distinct()
+        out = out.where("u != v")
+        return out if large else out.distinct()  # the small star that follows takes repeated edges as one
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     while True:
