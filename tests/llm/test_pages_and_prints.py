@@ -221,6 +221,52 @@ def test_language_of_odd_tables(spark):
     assert [r[0] for r in spark.createDataFrame([("https://a.de/en/1",), ("https://a.de/x",), ("https://a.fr",), (None,)], "u string").select(language_id.suffix(F.col("u"))).collect()] == ["en", "de", "fr", ""]
 
 
+#: 200 documents are too few labelled texts to tell Finnish from Spanish by their trigrams.
+ENOUGH = "/root/testdata/sf0.01/documents.parquet"
+STRANGE = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b",
+    "function f(a){var x=document.getElementById('q');for(var i=0;i<a.length;i++){x.innerHTML+=a[i].toString();}return x&&x.value||null;}",
+]
+
+
+def test_texts_that_no_language_explains_are_unknown(spark):
+    docs = spark.read.parquet(ENOUGH).select("doc_id", "text", "lang", "source")
+    model = language_id.fit_text(docs)
+    long = docs.where("char_length(text) > 600").orderBy("doc_id")
+    german, french = (long.where(F.col("lang") == lang).first().text[:600] for lang in ("de", "fr"))
+    cases = [*STRANGE, german, german[:300] + " " + french[:300], "short"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    none = F.lit(None).cast("string")
+    got = {r.k: r for r in language_id.identify(rows, model, [F.col("k")], F.col("text"), none, none, none).collect()}
+    assert [got[k].language for k in range(4)] == ["unknown"] * 4 and all(got[k].confidence == 0 and got[k].text_language is None for k in range(4))
+    assert got[4].language == "de" and got[5].language in ("de", "fr") and got[6].language in model.languages
+
+
+def test_rare_and_foreign_languages_are_kept(spark, monkeypatch):
+    docs = spark.read.parquet(ENOUGH).select("doc_id", "text", "lang", "source")
+    odd = [(9_000_000 + i, x, lang, "s") for i, (x, lang) in enumerate(zip(STRANGE, ("pl", "fi", "en", None)))]
+    plain = docs.where("lang = 'en' and char_length(text) > 600").limit(1).select(F.lit(9_000_009).alias("doc_id"), "text", F.lit("en-GB").alias("lang"), "source")
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(plain)
+    assert {"pl", "fi"} <= set(language_id.fit_text(rows).languages)  # one row of each suffices
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 4)
+    assert language_id.fit_text(rows).languages == ("de", "en", "es", "fr")
+    kept = {r.doc_id: r.lang for r in language_id.keep_identified(rows).where("doc_id >= 9000000").collect()}
+    assert kept == {9_000_000: "pl", 9_000_001: "fi", 9_000_009: "en-GB"}  # noise goes, whatever it declares
+
+
+def test_bounds_by_hand():
+    mine, other = np.array([-6.0, -6.0, -7.0, -5.0, -6.5]), np.array([-9.0, -9.0, -9.0, -12.0, -3.0])
+    place, fold = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 0, 1, 1])
+    sizes = np.array([[5, 5], [5, 5], [9, 0]])
+    got = language_id._bounds(sizes, place, fold, mine, other)
+    first = min((-6 - 18) / 3, -6.0)
+    second = min((-5.75 - 18) / 3, -5.75 - 8 * 1.4826 * 0.75)
+    assert got == pytest.approx((first, second, min(first, second)))
+    assert language_id._bounds(np.array([[3, 0]]), np.array([0]), np.array([0]), mine[:1], np.array([-np.inf])) == ()
+
+
 # --- fingerprints -----------------------------------------------------------------------------------------------------
 
 
