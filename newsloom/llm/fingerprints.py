@@ -3,7 +3,7 @@
 A text is a sequence of words (cut after ``CHUNK`` characters, so that a text without spaces has some too). A run of K
 words is a closed syncmer when the least of the hashes of its runs of S words stands at its first or last place. Whether
 a run is chosen depends on nothing but its own words, so an edit moves no anchor elsewhere. The fingerprint is the
-anchors in the order of the text, eight hex digits each; likeness compares where these agree.
+anchors in the order of the text, eight hex digits each; likeness is the share that both texts have at about the same place.
 
 Only DataFrame functions are used. Everything about one text is computed within its row.
 """
@@ -21,6 +21,8 @@ from newsloom.llm.shared import written
 
 #: Words of a run, words of its inner runs, and the most characters of a word.
 K, S, CHUNK = 6, 2, 16
+#: Stretches a text is cut into when two are compared, and the least anchors of one.
+STRETCHES, LEAST_STRETCH = 16, 16
 #: Documents that are sorted together to find each one's successor, about.
 RANGE_ROWS = 4_000
 #: At most so many ranges are told apart; the bounds go to every task.
@@ -77,20 +79,38 @@ def fingerprint(text: Column) -> Column:
     return as_text(anchors(F.coalesce(text, F.lit(""))))
 
 
-def marks(print_: Column) -> Column:
-    """The distinct anchors of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit("[0-9a-f]{8}"), F.lit(0)))
+def anchors_of(print_: Column) -> Column:
+    """The anchors of a fingerprint in order."""
+    return F.regexp_extract_all(print_, F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the common anchors over all anchors of both: 1 for equal fingerprints, 0 if nothing is shared."""
+    """The share of both texts' anchors that the other text has at about the same place: 1 for equal fingerprints.
 
-    def of(m: Column) -> Column:
-        common = F.size(F.array_intersect(m[0], m[1]))
-        total = F.size(m[0]) + F.size(m[1])
-        return F.when(total == 0, F.lit(1.0)).otherwise(2 * common / total)
+    A place is a stretch of a ``STRETCHES``-th of the longer text, ``LEAST_STRETCH`` anchors at least, counted from the
+    start; an anchor matches in the same stretch or a neighbouring one. So text that moved far, or is repeated in one of
+    the texts only, doesn't match; repeats within one stretch count once. Two empty fingerprints are alike.
+    """
+
+    def of(both: Column) -> Column:
+        width = F.greatest(F.lit(LEAST_STRETCH), F.ceil(F.greatest(F.size(both[0]), F.size(both[1])) / STRETCHES)).cast("int")
+
+        def placed(found: Column, w: Column, move: int = 0) -> Column:
+            return F.transform(found, lambda x, i: F.xxhash64(x, F.floor(i / w).cast("int") + move))
+
+        def at(w: Column) -> Column:
+            def matched(x: Column, y: Column) -> Column:
+                # Half of each: what x has in the stretches of y and around them.
+                around = F.concat(placed(y, w, -1), placed(y, w), placed(y, w, 1))
+                return F.size(F.array_intersect(placed(x, w), around))
+
+            total = F.size(F.array_distinct(placed(both[0], w))) + F.size(F.array_distinct(placed(both[1], w)))
+            share = (matched(both[0], both[1]) + matched(both[1], both[0])) / total
+            return F.when(total == 0, F.lit(1.0)).otherwise(share)
+
+        return _let(width, at)
 
-    return _let(F.array(marks(a), marks(b)), of)
+    return _let(F.array(anchors_of(a), anchors_of(b)), of)
 
 
 def _bounds_below(value: Column, bounds: list[int]) -> Column:

@@ -293,8 +293,12 @@ def brute_print(text):
 
 
 def brute_likeness(a, b):
-    a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
-    return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+    """Each text's (anchor, stretch) pairs that the other text has in the same stretch or one beside it."""
+    a, b = ([x[i : i + 8] for i in range(0, len(x), 8)] for x in (a, b))
+    width = max(fingerprints.LEAST_STRETCH, math.ceil(max(len(a), len(b)) / fingerprints.STRETCHES))
+    a, b = ({(x, i // width) for i, x in enumerate(y)} for y in (a, b))
+    found = [sum(any((x, i + d) in other for d in (-1, 0, 1)) for x, i in mine) for mine, other in ((a, b), (b, a))]
+    return sum(found) / (len(a) + len(b)) if a or b else 1.0
 
 
 def check_prints(got, texts):
@@ -323,6 +327,29 @@ def test_fingerprints(spark, sf_dir, monkeypatch):
     assert 0.3 < likes[len(likes) // 2] < 0.75
 
 
+def test_likeness_sees_order_and_number(spark):
+    words = [[f"w{p}x{i}" for i in range(120)] for p in range(6)]
+    straight = " ".join(w for p in words for w in p)
+    moved = straight.split()
+    moved[100:100] = "five words that are new".split()
+    cases = {
+        "equal": (straight, straight),
+        "reversed": (straight, " ".join(w for p in reversed(words) for w in p)),
+        "often": (" ".join(words[0]), " ".join(words[0] * 200)),
+        "edited": (straight, " ".join(moved)),
+        "unlike": (" ".join(words[0]), " ".join(words[1])),
+        "empty": ("", ""),
+        "one empty": ("", straight),
+    }
+    rows = spark.createDataFrame([(k, *v) for k, v in cases.items()], "k string, a string, b string")
+    prints = rows.select("k", fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
+    got = {r.k: r for r in prints.select("k", "a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("x"), fingerprints.likeness(F.col("b"), F.col("a")).alias("y")).collect()}
+    for r in got.values():
+        assert r.x == pytest.approx(brute_likeness(r.a, r.b)) and r.x == pytest.approx(r.y)
+    assert got["equal"].x == got["empty"].x == 1 and got["unlike"].x == got["one empty"].x == 0
+    assert got["reversed"].x < 0.3 and got["often"].x < 0.3 and got["edited"].x > 0.9
+
+
 def test_fingerprints_of_odd_tables(spark):
     rows = spark.createDataFrame([(5, "a b", 1), (5, "a b", 1), (None, "c", 2)], "doc_id long, text string, fingerprint int")
     got = fingerprints.compare_with_edits(rows).collect()
