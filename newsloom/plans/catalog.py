@@ -19,6 +19,7 @@ from newsloom.session import shared_dir
 from newsloom.sources import pages as page_source
 from newsloom.sources import store
 from newsloom.sources.pages import read_table
+from newsloom.streaming import requests
 from newsloom.streaming.ingest import ingest, read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,3 +456,30 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_pages(spark, sf, pattern="pages.parquet")
     ingest(pages, f"{base}/articles", f"{base}/progress", AS_OF, 0, language_model=detector).awaitTermination()
     return store.read_collection(spark, f"{base}/articles").select("_id", "url", "title", "content", "language")
+
+
+@query
+def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and pages as two streams: every page is asked for at noon, one in three together with a URL that never
+    comes and one in fifty with an invalid one. Pages come half an hour before or after, one in seven three hours late.
+    """
+    base = f"{shared_dir(spark)}/newsloom/requests-{uuid.uuid4().hex}"
+    pages = read_table(spark, sf, "pages")
+    noon, number = F.lit(AS_OF).cast("timestamp"), F.col("page_id").cast("string")
+    each = F.array(
+        F.col("url"),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://gone.example.com/"), number)),
+        F.when(F.col("page_id") % 50 == 0, F.concat(F.lit("page "), number)),
+    )
+    asked = pages.select(F.explode(F.array_compact(each)).alias("url"), noon.alias("asked_at"))
+    # The last request is never answered: its time lets the others' waits end.
+    last = spark.range(1).select(F.lit("http://end.example.com/").alias("url"), (noon + F.expr("interval 10 hours")).alias("asked_at"))
+    asked.unionByName(last).write.parquet(f"{base}/asked")
+    minutes = F.when(F.col("page_id") % 7 == 0, 180).when(F.col("page_id") % 2 == 0, 30).otherwise(-30)
+    came = pages.select("page_id", "url", F.timestamp_add("MINUTE", minutes, noon).alias("fetched_at"))
+    came.write.parquet(f"{base}/fetched")
+    streams = (spark.readStream.schema(df.schema).parquet(f"{base}/{name}") for df, name in ((asked, "asked"), (came, "fetched")))
+    requests.answer(*streams, pages, f"{base}/articles", f"{base}/errors", f"{base}/progress", AS_OF, max_age_days=0).awaitTermination()
+    articles = store.read_collection(spark, f"{base}/articles").select("url", F.lit("article").alias("outcome"), F.col("title").alias("detail"))
+    errors = requests.read_errors(spark, f"{base}/errors").select("url", F.lit("error").alias("outcome"), F.col("error").alias("detail"))
+    return articles.unionByName(errors)

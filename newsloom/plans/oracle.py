@@ -483,6 +483,15 @@ def oracle_queries() -> dict[str, str]:
         FROM tried WHERE {cascade} <> ''"""
     missing = f"""SELECT DISTINCT u AS url, 'Error: No page for URL: ' || u AS error, 'scrape' AS stage
         FROM (SELECT {normal('url')} AS u FROM requests) WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM keyed)"""
+    q["stream_requests"] = f"""WITH k AS (SELECT {normal('url')} AS url, page_id, html FROM pages),
+        c AS (SELECT url, arg_max(html, page_id) AS html FROM k WHERE page_id % 7 <> 0 GROUP BY url),
+        tried AS (SELECT url, {title('html')} AS title, {texts} FROM c),
+        m AS (SELECT url FROM k WHERE url NOT IN (SELECT url FROM c)
+              UNION SELECT 'http://gone.example.com/' || page_id FROM pages WHERE page_id % 3 = 0)
+        SELECT url, 'article' AS outcome, title AS detail FROM tried WHERE {cascade} <> ''
+        UNION ALL SELECT url, 'error', 'Error: No page for URL: ' || url FROM m
+        UNION ALL SELECT DISTINCT 'page ' || page_id, 'error', 'Error: Invalid URL: page ' || page_id FROM pages
+        WHERE page_id % 50 = 0"""
     q["listing_left_out"] = f"""WITH {LINKS} SELECT page_id, greatest(count(DISTINCT link) - 3, 0)::BIGINT AS n_left_out
         FROM pages LEFT JOIN (SELECT page_id, link FROM resolved) USING (page_id) GROUP BY page_id"""
     q["error_report"] = f"WITH {REQUESTS}, {KEYED} {invalid} UNION ALL ({missing})"
