@@ -68,49 +68,61 @@ def anchors(text: Column) -> Column:
     return _let(words(text), of_words)
 
 
+def anchors_of(text: Column) -> Column:
+    """The anchors of a text as a fingerprint holds them, their low 32 bits; null counts as empty."""
+    return F.transform(anchors(F.coalesce(text, F.lit(""))), lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
 def as_text(found: Column) -> Column:
     """Eight hex digits for each anchor."""
-    digits = F.transform(found, lambda a: F.lpad(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))
-    return F.lower(F.array_join(digits, ""))
+    return F.lower(F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a), 8, "0")), ""))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty, whose fingerprint is empty."""
-    return as_text(anchors(F.coalesce(text, F.lit(""))))
+    return as_text(anchors_of(text))
 
 
-def anchors_of(print_: Column) -> Column:
-    """The anchors of a fingerprint in order."""
-    return F.regexp_extract_all(print_, F.lit("[0-9a-f]{8}"), F.lit(0))
+def likeness(a: Column, b: Column) -> Column:
+    """``agreement`` of the anchors of two fingerprints: 1 for equal ones."""
+    digits = F.lit("[0-9a-f]{8}")
+    return agreement(F.regexp_extract_all(a, digits, F.lit(0)), F.regexp_extract_all(b, digits, F.lit(0)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of both texts' anchors that the other text has at about the same place: 1 for equal fingerprints.
+def agreement(a: Column, b: Column) -> Column:
+    """The share of two texts' anchors, as arrays in the order of the texts, that the other has at about the same place.
 
     A place is a stretch of a ``STRETCHES``-th of the longer text, ``LEAST_STRETCH`` anchors at least, counted from the
     start; an anchor matches in the same stretch or a neighbouring one. So text that moved far, or is repeated in one of
-    the texts only, doesn't match; repeats within one stretch count once. Two empty fingerprints are alike.
+    the texts only, doesn't match; repeats within one stretch count once. Two texts without anchors are alike.
     """
 
     def of(both: Column) -> Column:
         width = F.greatest(F.lit(LEAST_STRETCH), F.ceil(F.greatest(F.size(both[0]), F.size(both[1])) / STRETCHES)).cast("int")
 
-        def placed(found: Column, w: Column, move: int = 0) -> Column:
-            return F.transform(found, lambda x, i: F.xxhash64(x, F.floor(i / w).cast("int") + move))
-
         def at(w: Column) -> Column:
-            def matched(x: Column, y: Column) -> Column:
-                # Half of each: what x has in the stretches of y and around them.
-                around = F.concat(placed(y, w, -1), placed(y, w), placed(y, w, 1))
-                return F.size(F.array_intersect(placed(x, w), around))
+            def stretch(x: Column, i: Column) -> Column:
+                return F.slice(x, i * w + 1, w)
+
+            def around(x: Column, i: Column) -> Column:
+                return F.slice(x, F.greatest(i - 1, F.lit(0)) * w + 1, F.when(i > 0, 3 * w).otherwise(2 * w))
+
+            def counted(i: Column) -> Column:
+                first, second = stretch(both[0], i), stretch(both[1], i)
+                common = F.size(F.array_intersect(first, around(both[1], i))) + F.size(F.array_intersect(second, around(both[0], i)))
+                return F.struct(common.alias("common"), (F.size(F.array_distinct(first)) + F.size(F.array_distinct(second))).alias("total"))
+
+            def share(parts: Column) -> Column:
+                def added(name: str) -> Column:
+                    return F.aggregate(parts, F.lit(0), lambda so_far, part: so_far + part[name])
+
+                return F.when(added("total") == 0, F.lit(1.0)).otherwise(added("common") / added("total"))
 
-            total = F.size(F.array_distinct(placed(both[0], w))) + F.size(F.array_distinct(placed(both[1], w)))
-            share = (matched(both[0], both[1]) + matched(both[1], both[0])) / total
-            return F.when(total == 0, F.lit(1.0)).otherwise(share)
+            return _let(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), counted), share)
 
         return _let(width, at)
 
-    return _let(F.array(anchors_of(a), anchors_of(b)), of)
+    return _let(F.array(a, b), of)
 
 
 def _bounds_below(value: Column, bounds: list[int]) -> Column:
@@ -126,7 +138,7 @@ def _bounds_below(value: Column, bounds: list[int]) -> Column:
 
 
 def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each row's id, text and fingerprint, and those of the next row in ascending id order; after the last the first.
+    """Each row's id, text and anchors, and those of the next row in ascending id order; after the last the first.
 
     Returns ``_id``, ``_own`` and ``_next`` (structs of text and print). Rows of one id follow each other in the order of
     their texts, rows without an id come first. The only row of a table is its own successor. Ids are cut into ranges by
@@ -144,7 +156,7 @@ def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ranged = rows.withColumn("_range", _bounds_below(F.col("_order"), bounds))
     starts = ranged.groupBy("_range").agg(F.min("_order").alias("_order")).orderBy("_range").collect()  # one row a range
     if not starts:
-        return rows.select("_id", *[F.struct(F.col("_text").alias("text"), F.col("_text").alias("print")).alias(c) for c in ("_own", "_next")])
+        return rows.select("_id", *[F.struct(F.col("_text").alias("text"), anchors_of(F.col("_text")).alias("print")).alias(c) for c in ("_own", "_next")])
     spark = docs.sparkSession
     first_ids = F.broadcast(spark.createDataFrame([(r["_order"],) for r in starts], "_order long"))  # MAX_RANGES at most
     places = [r["_range"] for r in starts]
@@ -156,11 +168,11 @@ def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .join(F.broadcast(before), "_range")
     )
     heads = heads.select(
-        F.col("_before").alias("_range"), F.struct(F.col("_text").alias("text"), fingerprint(F.col("_text")).alias("print")).alias("_head")
+        F.col("_before").alias("_range"), F.struct(F.col("_text").alias("text"), anchors_of(F.col("_text")).alias("print")).alias("_head")
     )
     heads = written(heads, "heads")
-    # Fingerprints are computed where the texts have been sent, so that these are all that moves.
-    own = F.explode(F.array(F.struct(F.col("_text").alias("text"), fingerprint(F.col("_text")).alias("print"))))
+    # Anchors are computed where the texts have been sent, so that these are all that moves.
+    own = F.explode(F.array(F.struct(F.col("_text").alias("text"), anchors_of(F.col("_text")).alias("print"))))
     there = ranged.repartition("_range").select("_range", "_order", "_id", own.alias("_own"))
     window = Window.partitionBy("_range").orderBy("_order", "_own.text")
     led = there.withColumn("_next", F.lead("_own").over(window))
@@ -188,11 +200,13 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
         "_id", "_following",
         F.char_length("_own.text").cast("long").alias("n_chars"),
         F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-        F.col("_own.print").alias("fingerprint"),
-        F.explode(F.array(fingerprint(F.col("_edited")))).alias("edited_fingerprint"),
+        F.col("_own.print").alias("_print"),
+        F.explode(F.array(anchors_of(F.col("_edited")))).alias("_changed"),
     )
     return prints.select(
-        F.col("_id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"),
+        F.col("_id").alias(id_column), "n_chars", "edited_sha256",
+        as_text(F.col("_print")).alias("fingerprint"),
+        as_text(F.col("_changed")).alias("edited_fingerprint"),
+        agreement(F.col("_print"), F.col("_changed")).alias("near_edited"),
+        agreement(F.col("_print"), F.col("_following")).alias("near_next"),
     )
