@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.shared import map_arrow, written
+from newsloom.llm.shared import free_name, map_arrow, written
 
 #: The template: what stands before and after a turn's text. Other roles are named in their mark.
 TURNS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
@@ -80,8 +80,14 @@ def chosen_paths(
 
     Branches are ranked by the mean score of their messages, then by the id of their leaf. A null score counts as 0; a
     message that answers none of its tree's messages is a root. Nodes must be unique and not null within a tree. Messages
-    that answer each other in a circle have no root and are left out. An empty table gives an empty result.
+    that answer each other in a circle have no root and are left out. An empty table gives an empty result. A column of the
+    messages called ``path`` or ``position`` gets an underscore behind its name.
     """
+    added = ["path", "position"]
+    names = messages.columns
+    messages = messages.select(*[F.col(f"`{c}`").alias(free_name(c, added, names)) for c in names])
+    tree, node, parent = (free_name(c, added, names) for c in (tree, node, parent))
+    score = free_name(score, added, names) if score else None
     own = messages.select(
         F.col(tree).alias("t"),
         F.col(node).alias("n"),

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import Words, batches_of, mix, words
 from newsloom.llm.blocks import BLOCKS, add_up, as_batch, blocks, merge, unpack_block
-from newsloom.llm.shared import map_arrow, mapped, new_folder, put, written
+from newsloom.llm.shared import free_name, map_arrow, mapped, new_folder, put, written
 
 #: The hash of the end that closes each text; no word's hash is known to be equal.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -344,12 +344,14 @@ SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """Score the whole texts; the other columns of ``docs`` are kept, so none may be called like one of ``SCORES``.
+    """Score the whole texts; the other columns of ``docs`` are kept, one called like one of ``SCORES`` with an underscore behind it.
 
-    A null or empty text is its end alone. Repeated rows get repeated, equal rows.
+    A null or empty text is its end alone. Repeated rows get repeated, equal rows. An empty table gives an empty result.
     """
     kept = [f.name for f in docs.schema.fields if f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_column] + [SCORES])
+    scores = [c.split()[0] for c in SCORES.split(", ")]
+    named = [free_name(c, scores, kept) for c in kept]
+    schema = ", ".join([f"`{new}` {docs.schema[c].dataType.simpleString()}" for new, c in zip(named, kept)] + [SCORES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +373,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
                         pa.array(total),
                         pa.array(10.0 ** np.minimum(-total / n, 300.0)),
                     ],
-                    [*kept, *[c.split()[0] for c in SCORES.split(", ")]],
+                    [*named, *scores],
                 )
 
     return map_arrow(docs.withColumn(text_column, F.col(text_column).cast("string")), run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.shared import map_arrow
+from newsloom.llm.shared import free_name, map_arrow
 
 #: Labelled pages used for the weights, at most.
 MAX_LABELLED = 2000
@@ -356,16 +356,18 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html")
 def extract(pages: DataFrame, weights: Weights, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """Add ``main_text`` to the id: one row per row of ``pages``.
 
-    A null page has an empty text. Repeated rows give repeated rows. Only the two columns are read.
+    A null page has an empty text; long pages are read whole. Repeated rows give repeated rows, an empty table none. Only the
+    two columns are read; an id called ``main_text`` becomes ``main_text_``.
     """
+    named = free_name(id_column, ["main_text"])
     kind = pages.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, kind), T.StructField("main_text", T.StringType())])
+    schema = T.StructType([T.StructField(named, kind), T.StructField("main_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [main_text(p, weights) for p in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [id_column, "main_text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [named, "main_text"])
 
     return map_arrow(pages.select(F.col(id_column), F.col(html_column).cast("string")), run, schema)

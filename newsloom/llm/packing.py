@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.shared import map_arrow
+from newsloom.llm.shared import free_name, map_arrow
 
 CAPACITY = 2048
 #: Windows that are dealt out together: more means less padding and more work per piece.
@@ -238,10 +238,13 @@ def pack(
     (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` within that sequence.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur. A null id stays null.
-    Other columns are left out, whatever their names. An empty table gives an empty result.
+    Other columns are left out, whatever their names; an id called like a column of the result gets an underscore behind its
+    name. Long texts are cut into pieces and packed whole. An empty table gives an empty result.
     """
     kind = docs.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, kind)] + T._parse_datatype_string(SCHEMA).fields)
+    fields = T._parse_datatype_string(SCHEMA).fields
+    named = free_name(id_column, [f.name for f in fields])
+    schema = T.StructType([T.StructField(named, kind)] + fields)
     arrow = pa.schema(
         [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     )
@@ -257,7 +260,7 @@ def pack(
             columns = list(zip(*packer.rows))
             packer.rows = []
             types = [id_type, *arrow.types]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [id_column, *arrow.names])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [named, *arrow.names])
 
         id_type = None
         for batch in batches:

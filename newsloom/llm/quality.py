@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import free_name
+
 #: White space between words: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -28,6 +30,10 @@ RULES: list[tuple[str, str]] = [
     ("shouting", "2 * n_upper > word_chars and n_upper > 50"),
     ("exclamations", "2 * n_exclaimed > n_words and n_words > 0"),
 ]
+#: Columns of the ledger and of verdicts besides the id.
+LEDGER = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaimed", "failed", "kept", "policy",
+]
 BITS = {name: 1 << at for at, (name, _) in enumerate(RULES)}
 
 
@@ -89,7 +95,8 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The measurements of every row: words, characters, symbols, repeated lines and windows.
 
-    A null text has no words. Repeated rows give repeated rows. Only the id and the text are read.
+    A null text has no words; long texts are measured whole. Repeated rows give repeated rows, an empty table none. Only
+    the id and the text are read; an id called like a column of the result or of the ledger gets an underscore behind its name.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     bare = F.trim(text, F.lit(SPACES))
@@ -109,14 +116,15 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     once = F.struct(counted.alias("w"), distinct.alias("l"))
     # A generator keeps the optimiser from copying the expressions into every use.
     return docs.select(
-        F.col(id_column),
-        F.explode(F.array(once)).alias("m"),
+        F.col(id_column).alias("_id"),
+        F.explode(F.array(once)).alias("_m"),
         (F.char_length(text) - _count(text, SPACES)).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
         _count(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÉÈÊËÎÏÑÓÔÖÙÛÜÍÚÁ").cast("long").alias("n_upper"),
         _count(text, "!").cast("long").alias("n_exclaimed"),
     ).select(
-        id_column, "m.w.n_words", "word_chars", "n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines",
+        F.col("_id").alias(free_name(id_column, LEDGER)), "_m.w.n_words", "word_chars", "n_symbols", "_m.l.n_dup_lines",
+        "_m.w.n_repeat_words", "_m.l.n_lines",
         "n_upper", "n_exclaimed",
     )
 

@@ -20,6 +20,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/newsloom-llm/{label}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, taken: list[str], others: list[str] | tuple[str, ...] = ()) -> str:
+    """A column's name; if it is ``taken`` (in any case), with as many underscores behind it as keep it apart from all."""
+    taken = {t.lower() for t in taken}
+    if name.lower() in taken:
+        everything = taken | {o.lower() for o in others}
+        while name.lower() in everything:
+            name += "_"
+    return name
+
+
 #: Rows of an Arrow batch: whole texts travel in these, on both sides of the pipe to Python.
 BATCH_ROWS = 1000
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import map_arrow
+from newsloom.llm.shared import free_name, map_arrow
 
 SPACE = "▁"
 #: Entries of a worker's caches; they are emptied when full.
@@ -325,10 +325,15 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """Add the ids of every whole text; a null text has null ids, an empty one none. The text column is given up."""
-    kept = [f for f in docs.schema.fields if f.name not in (text_column, ids_column)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{ids_column}` array<int>"])
+    """Add the ids of every whole text; a null text has null ids, an empty one none. The text column is given up.
+
+    Long texts are searched in a window. Another column called like the new one gets an underscore behind its name. An empty
+    table gives an empty result.
+    """
+    kept = [f for f in docs.schema.fields if f.name != text_column]
     names = [f.name for f in kept]
+    named = [free_name(c, [ids_column], names) for c in names]
+    schema = ", ".join([f"`{new}` {f.dataType.simpleString()}" for new, f in zip(named, kept)] + [f"`{ids_column}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -342,16 +347,20 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: st
                     pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)), mask=pa.array([t is None for t in texts])
                 )
                 columns = [part.column(i) for i in range(len(names))] + [ids]
-                yield pa.RecordBatch.from_arrays(columns, [*names, ids_column])
+                yield pa.RecordBatch.from_arrays(columns, [*named, ids_column])
 
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_column).cast("string")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
-    """Add the text of every row's ids; null for null. A text's own U+2581 reads back as a space, like any mark."""
-    kept = [f for f in encoded.schema.fields if f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{text_column}` string"])
+    """Add the text of every row's ids; null for null. A text's own U+2581 reads back as a space, like any mark.
+
+    A column called like the new one gets an underscore behind its name. An empty table gives an empty result.
+    """
+    kept = encoded.schema.fields
     names = [f.name for f in kept]
+    named = [free_name(c, [text_column], names) for c in names]
+    schema = ", ".join([f"`{new}` {f.dataType.simpleString()}" for new, f in zip(named, kept)] + [f"`{text_column}` string"])
     place = names.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +370,6 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column:
                 part = batch.slice(at, 200)
                 texts = [None if x is None else model.decode(x) for x in part.column(place).to_pylist()]
                 columns = [part.column(i) for i in range(len(names))] + [pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, text_column])
+                yield pa.RecordBatch.from_arrays(columns, [*named, text_column])
 
     return map_arrow(encoded.select(*[F.col(f"`{c}`") for c in names]), run, schema)
