@@ -32,5 +32,5 @@ METHODS: dict[str, Method] = {"yake": yake, "rake": rake, "tfidf": tfidf, "ner":
 def extract_keywords(docs: DataFrame, key: str, text: str, method: str = "combined", n: int = 10) -> DataFrame:
     """Keywords by the named method, best first: (key, rank, keyword). An unknown name means YAKE."""
     if method not in METHODS:
-        warnings.warn(f"Unknown keyword extraction method: {method}. Using YAKE.", stacklevel=2)
+        warnings.warn(f"Unknown keyword method {method!r}, so keywords come from YAKE", stacklevel=2)
     return METHODS.get(method, yake)(docs, key, text, n).select(key, "rank", "keyword")

@@ -16,7 +16,7 @@ MOST_SORTED = 10_000
 #: Characters of an id that make a range: ids are hexadecimal digests, so there are 4,096 ranges of three.
 ID_BEGINNING = 3
 
-#: Fields a search looks at.
+#: Fields a search looks at (fixed values).
 FIELDS = ["title", "content", "summary", "keywords"]
 
 
