@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-from newsloom.session import shared_dir
+from newsloom.session import BATCH_ROWS, map_arrow, shared_dir  # noqa: F401
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -30,18 +27,6 @@ def free_name(name: str, taken: list[str], others: list[str] | tuple[str, ...] =
     return name
 
 
-#: Rows of an Arrow batch: whole texts travel in these, on both sides of the pipe to Python.
-BATCH_ROWS = 1000
-
-
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``df.mapInArrow``, with the session's batches at ``BATCH_ROWS`` rows at most, as texts are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession

@@ -2,169 +2,145 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import SENTENCE_BREAK, WORD
-from newsloom.operators.terms import is_stop, spread, top_per_key
+from newsloom.functions.text import SENTENCE_BREAK
+from newsloom.operators.terms import STOP, spread
+from newsloom.session import map_arrow
 
 DEDUP_LIMIT = 0.9
 POOL = 20
+#: Bytes of text whose words are counted together.
+AT_ONCE = 1 << 20
 
 
-def _usable(word: Column) -> Column:
-    """Words that may be part of a keyword: no stop word, three characters or more, with a letter."""
-    return ~is_stop(word) & (F.length(word) >= 3) & word.rlike(r"\p{L}")
+def marked(text: Column) -> Column:
+    """A text with ``|`` for punctuation between its words and ``.`` for the ends of its sentences."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N} .!?\n]+", " | "), SENTENCE_BREAK, " . ")
 
 
-def positions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per word: (key, n_sentences, sentence, first, token, word, after).
+def _distinct(*parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct tuples of whole numbers in ascending order, and the place of every given tuple among them."""
+    sizes = [int(p.max(initial=0)) + 1 for p in parts[1:]]
+    code = parts[0].astype(np.int64)
+    for part, size in zip(parts[1:], sizes):
+        code = code * size + part
+    code, place = np.unique(code, return_inverse=True)
+    found = []
+    for size in reversed(sizes):
+        code, last = np.divmod(code, size)
+        found.append(last)
+    return code, *reversed(found), place
 
-    ``first`` marks the first word of its sentence; ``after`` is the next word if no punctuation stands between.
-    Sentences without a word are not counted. Punctuation becomes a word of its own (``|``), so that neighbours are
-    found by zipping the words with themselves one place on.
-    """
-    split = F.filter(F.split(F.col("text"), SENTENCE_BREAK), lambda s: s.rlike(WORD))
-    start = F.regexp_replace("body", r"^[^\p{L}\p{N}]+", "")
-    cut = F.split(F.regexp_replace(start, r"[^\p{L}\p{N} ]+", " | "), " +")
-    rows = (
-        spread(docs, key, text)
-        .select(key, split.alias("sentences"))
-        .select(key, F.size("sentences").alias("n_sentences"), F.posexplode("sentences").alias("sentence", "body"))
-        .select(key, "n_sentences", "sentence", cut.alias("token"))
-        .select(key, "n_sentences", "sentence", "token", F.slice("token", 2, F.size("token")).alias("after"))
-        .select(key, "n_sentences", "sentence", F.posexplode(F.arrays_zip("token", "after")).alias("at", "w"))
-        .filter(~F.col("w.token").isin("|", ""))
-    )
-    after = F.when(~F.col("w.after").isin("|", ""), F.lower("w.after"))
-    return rows.select(
-        key,
-        "n_sentences",
-        "sentence",
-        (F.col("at") == 0).alias("first"),
-        F.col("w.token").alias("token"),
-        F.lower("w.token").alias("word"),
-        after.alias("after"),
-    )
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, ...]:
+    """Words of marked texts: spellings, then per word its spelling, text, sentence and whether the next one adjoins.
 
-def pair_counts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, word, after, n): how often two words follow each other in a text."""
-    return rows.filter(F.col("after").isNotNull()).groupBy(key, "word", "after").agg(F.count(F.lit(1)).alias("n"))
-
-
-def word_stats(rows: DataFrame, key: str) -> DataFrame:
-    """One row of plain counts per word of a text. Two levels of hash aggregation take the place of sets."""
-    acronym = F.col("token").rlike(r"^\p{Lu}{2,}$")
-    capital = F.col("token").rlike(r"^\p{Lu}") & ~F.col("first")
-    in_sentence = rows.groupBy(key, "n_sentences", "word", "sentence").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.count(F.when(acronym, 1)).alias("tf_acronym"),
-        F.count(F.when(capital, 1)).alias("tf_capital"),
-    )
-    of_word = in_sentence.groupBy(key, "word").agg(
-        F.max("n_sentences").alias("n_sentences"),
-        *[F.sum(c).alias(c) for c in ("tf", "tf_acronym", "tf_capital")],
-        F.count(F.lit(1)).alias("places"),
-        F.array_sort(F.collect_list("sentence")).alias("found_in"),
-    )
-    lower, upper = ((F.col("places") + 1) / 2).cast("int"), ((F.col("places") + 2) / 2).cast("int")
-    median = (F.element_at("found_in", lower) + F.element_at("found_in", upper)) / 2
-    of_word = of_word.withColumn("median", median).drop("found_in")
-    one, none = F.lit(1), F.lit(0)
-    after_word = F.struct("word", F.col("n").alias("n_after"), one.alias("d_after"), F.lit(0).cast("long").alias("n_before"), none.alias("d_before"))
-    before_word = F.struct(F.col("after").alias("word"), F.lit(0).cast("long").alias("n_after"), none.alias("d_after"), F.col("n").alias("n_before"), one.alias("d_before"))
-    neighbours = (
-        pair_counts(rows, key)
-        .select(key, F.inline(F.array(after_word, before_word)))
-        .groupBy(key, "word")
-        .agg(*[F.sum(c).alias(c) for c in ("n_after", "d_after", "n_before", "d_before")])
-    )
-    both = of_word.unionByName(neighbours, allowMissingColumns=True)
-    return both.groupBy(key, "word").agg(*[F.max(c).alias(c) for c in both.columns if c not in (key, "word")])
-
-
-def word_scores(rows: DataFrame, key: str) -> DataFrame:
-    """(key, word, tf, word_score): casing, position, frequency, neighbourhood and spread of each word of a text."""
-    stats = word_stats(rows, key)
-    doc = Window.partitionBy(key)
-    tf = F.col("tf")
-    counted = F.when(_usable(F.col("word")), tf)
-    with_doc = (
-        stats.withColumn("max_tf", F.max("tf").over(doc))
-        .withColumn("n_words", F.count(counted).over(doc))
-        .withColumn("sum_tf", F.sum(counted).over(doc))
-        .withColumn("sum_tf2", F.sum(counted * counted).over(doc))
-    )
-    mean = F.col("sum_tf") / F.col("n_words")
-    spread_tf = F.sqrt(
-        F.greatest((F.col("sum_tf2") - F.col("sum_tf") * F.col("sum_tf") / F.col("n_words")) / F.col("n_words"), F.lit(0.0))
-    )
-    share = tf / F.col("max_tf")
-    diversity = F.coalesce(F.try_divide("d_before", "n_before"), F.lit(0.0)) + F.coalesce(
-        F.try_divide("d_after", "n_after"), F.lit(0.0)
-    )
-    return (
-        with_doc.filter(_usable(F.col("word")))
-        .withColumn("w_case", F.greatest("tf_acronym", "tf_capital") / (1 + F.log(tf)))
-        .withColumn("w_pos", F.log(F.log(3 + F.col("median"))))
-        .withColumn("w_freq", tf / (mean + spread_tf))
-        .withColumn("w_rel", 1 + diversity * share)
-        .withColumn("w_diff", F.col("places") / F.col("n_sentences"))
-        .select(
-            key,
-            "word",
-            "tf",
-            (
-                F.col("w_pos")
-                * F.col("w_rel")
-                / (F.col("w_case") + F.col("w_freq") / F.col("w_rel") + F.col("w_diff") / F.col("w_rel"))
-            ).alias("word_score"),
-        )
-    )
+    Sentences without a word are not counted; they are numbered through all texts.
+    """
+    cut = pc.ascii_split_whitespace(texts)
+    coded = cut.flatten().dictionary_encode()
+    spellings, code = coded.dictionary, coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+    is_empty, is_end, is_mark = (pc.equal(spellings, c).to_numpy(False) for c in ("", ".", "|"))
+    some = ~is_empty[code]
+    code, text = code[some], text[some]
+    starts = np.diff(text, prepend=-1) != 0
+    at = np.flatnonzero(~(is_end | is_mark)[code])
+    _, sentence = np.unique(np.cumsum(is_end[code] | starts)[at], return_inverse=True)
+    adjoins = (np.diff(at, append=-1) == 1) & (np.diff(text[at], append=-1) == 0)
+    return spellings, code[at], text[at], sentence, adjoins
+
+
+def score_texts(texts: pa.Array, key: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Candidates of marked texts as (key, keyword, tf, score), by ascending keys, which are numbers, and best first.
+
+    A word's score has its casing, position, frequency, neighbourhood and spread. Texts of one key count as one text.
+    """
+    spellings, spelling, text, sentence, adjoins = _words(texts)
+    lower = pa.array([w.lower() for w in spellings.to_pylist()], pa.string()).dictionary_encode()
+    words = lower.dictionary
+    usable = pc.and_(pc.greater_equal(pc.utf8_length(words), 3), pc.match_substring_regex(words, r"\p{L}"))
+    usable = pc.and_not(usable, pc.is_in(words, pa.array(STOP))).to_numpy(False)
+    acronym, capital = (pc.match_substring_regex(spellings, p).to_numpy(False)[spelling] for p in (r"^\p{Lu}{2,}$", r"^\p{Lu}"))
+    capital &= np.diff(sentence, prepend=-1) == 0
+    # One row per word of a key: its counts.
+    doc, word, at = _distinct(key[text], lower.indices.to_numpy()[spelling])
+    size = len(doc)
+    tf = np.bincount(at, minlength=size)
+    case = np.maximum(*(np.bincount(at[f], minlength=size) for f in (acronym, capital))) / (1 + np.log(tf))
+    # Sentences are numbered within their text, and texts of one key share those with equal numbers of equally long texts.
+    in_text = np.bincount(text, minlength=len(texts))
+    first_word = np.cumsum(in_text) - in_text
+    number = sentence - sentence[first_word[text]] if size else sentence
+    last = np.where(in_text > 0, first_word + in_text - 1, 0)
+    n_sentences = number[last[text]] + 1 if size else number
+    of_word, found_in, out_of, _ = _distinct(at, number, n_sentences)
+    places = np.bincount(of_word, minlength=size)
+    start = np.cumsum(places) - places
+    median = (found_in[start + (places - 1) // 2] + found_in[start + places // 2]) / 2
+    diff = places / np.maximum.reduceat(out_of, start) if size else median
+    left, right, pair = _distinct(at[:-1][adjoins[:-1]], at[1:][adjoins[:-1]])
+    n = np.bincount(pair, minlength=len(left))
+    diversity = sum(np.bincount(s, minlength=size) / np.maximum(np.bincount(s, n, size), 1) for s in (left, right))
+    # Figures of all words of a key.
+    n_docs, good = int(key.max(initial=-1)) + 1, usable[word]
+    most = np.zeros(n_docs, np.int64)
+    np.maximum.at(most, doc, tf)
+    count, total, squares = (np.bincount(doc[good], w, n_docs) for w in (None, tf[good], tf[good] * tf[good]))
+    count = np.maximum(count, 1)
+    usual = total / count + np.sqrt(np.maximum((squares - total * total / count) / count, 0.0))
+    rel = 1 + diversity * (tf / most[doc])
+    with np.errstate(divide="ignore"):
+        freq = tf / usual[doc]  # infinite for keys without a usable word, which have no candidates
+    score = np.log(np.log(3 + median)) * rel / (case + freq / rel + diff / rel)
+    kept = good[left] & good[right]
+    left, right, n = left[kept], right[kept], n[kept]
+    both = pc.binary_join_element_wise(words.take(pa.array(word[left])), words.take(pa.array(word[right])), " ")
+    one, a, b = score[good], score[left], score[right]
+    scores = np.concatenate([one / (tf[good] * (1 + one)), a * b / (n * (1 + a + b))])
+    doc = np.concatenate([doc[good], doc[left]])
+    keyword = pa.concat_arrays([words.take(pa.array(word[good])), both])
+    keys = pa.table({"doc": doc, "rounded": np.round(scores, 8), "keyword": keyword})
+    order = pc.sort_indices(keys, [(name, "ascending") for name in keys.column_names])
+    at = order.to_numpy()
+    return doc[at], keyword.take(order), np.concatenate([tf[good], n])[at], scores[at]
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, texts) to (key, found); so many keys at once that their texts come to about ``AT_ONCE`` bytes."""
+    for batch in batches:
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())])
+        lengths = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1).flatten()).to_numpy())])
+        _, begins = np.unique(lengths[ends[:-1]] // AT_ONCE, return_index=True)
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+            part = batch.slice(begin, end - begin)
+            row = np.repeat(np.arange(part.num_rows), np.diff(ends[begin : end + 1]))
+            doc, keyword, tf, score = score_texts(part.column(1).flatten(), row)
+            entries = pa.StructArray.from_arrays([keyword, pa.array(tf, pa.int64()), pa.array(score)], ["keyword", "tf", "score"])
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([part.column(0), found], [part.schema.names[0], "found"])
+
+
+def scored(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All candidates of each text in one array, best first: (key, found). Each text is cut into words once, and words never move.
+
+    The words of a text are some hundred rows; counted in Arrow batches they cost a fraction of what rows do.
+    """
+    texts = spread(docs, key, text).select(key, marked(F.col("text")).alias("text")).groupBy(key).agg(F.collect_list("text").alias("texts"))
+    kind = texts.schema[key].dataType.simpleString()
+    return map_arrow(texts, _score_batches, f"`{key}` {kind}, found array<struct<keyword: string, tf: bigint, score: double>>")
 
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every one- and two-word candidate of each text: (key, keyword, tf, score)."""
-    rows = positions(docs, key, text)
-    scores = word_scores(rows, key)
-    pairs = pair_counts(rows, key).filter(_usable(F.col("word")) & _usable(F.col("after")))
-    sides = pairs.select(
-        key,
-        F.col("word").alias("left"),
-        F.col("after").alias("right"),
-        F.col("n").alias("tf"),
-        F.posexplode(F.array("word", "after")).alias("side", "word"),
-    )
-    # A window over (key, word) hands each side its word's score. A join would ask for a second shuffle by both.
-    # The rows that bring the scores are the one-word candidates themselves.
-    both = sides.withColumn("word_score", F.lit(None).cast("double")).unionByName(
-        scores.select(
-            key,
-            F.col("word").alias("left"),
-            F.lit(None).cast("string").alias("right"),
-            "tf",
-            F.lit(0).alias("side"),
-            "word",
-            "word_score",
-        )
-    )
-    scored = both.withColumn("s", F.max("word_score").over(Window.partitionBy(key, "word")))
-    first, second = F.max(F.when(F.col("side") == 0, F.col("s"))), F.max(F.when(F.col("side") == 1, F.col("s")))
-    return (
-        scored.groupBy(key, "left", "right", "tf")
-        .agg(first.alias("s1"), second.alias("s2"))
-        .select(
-            key,
-            F.concat_ws(" ", "left", "right").alias("keyword"),
-            "tf",
-            (
-                F.col("s1")
-                * F.coalesce("s2", F.lit(1.0))
-                / (F.col("tf") * (1 + F.col("s1") + F.coalesce("s2", F.lit(0.0))))
-            ).alias("score"),
-        )
-    )
+    return scored(docs, key, text).select(key, F.inline("found"))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -182,24 +158,25 @@ def distinct_enough(ordered: Column, limit: float = DEDUP_LIMIT, pool: int = POO
     return F.aggregate(ordered, empty, step)
 
 
+def _rows(lists: DataFrame, key: str, entries: Column) -> DataFrame:
+    return lists.select(key, F.posexplode(entries).alias("at", "k")).select(
+        key, (F.col("at") + 1).cast("long").alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score")
+    )
+
+
 def yake(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
     """Best ``n`` keywords per text after near-duplicates are dropped: (key, rank, keyword, score).
 
     The candidates of one text meet in one array, which is never larger than the text they come from.
     """
-    entry = F.struct(F.round("score", 8).alias("rounded"), "keyword", "score")
-    pools = (
-        candidates(docs, key, text)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(entry)).alias("ordered"))
-        .select(key, distinct_enough(F.col("ordered"), pool=max(POOL, n)).alias("kept"))
-    )
-    return pools.select(key, F.posexplode(F.slice("kept", 1, n)).alias("at", "k")).select(
-        key, (F.col("at") + 1).cast("long").alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score")
-    )
+    pool = max(POOL, n)
+    # The first few candidates mostly fill the pool; the walk over all of them is for the other texts.
+    first = scored(docs, key, text).withColumn("first", distinct_enough(F.slice("found", 1, 3 * pool), pool=pool))
+    is_full = F.size("first") >= pool
+    pools = first.select(key, F.when(is_full, F.col("first")).otherwise(distinct_enough(F.col("found"), pool=pool)).alias("kept"))
+    return _rows(pools, key, F.slice("kept", 1, n))
 
 
 def best_candidates(docs: DataFrame, key: str, text: str, n: int = POOL) -> DataFrame:
     """Best ``n`` candidates per text before near-duplicates are dropped: (key, rank, keyword, score)."""
-    order = [F.round("score", 8), F.col("keyword")]
-    return top_per_key(candidates(docs, key, text), key, order, n).select(key, "rank", "keyword", "score")
+    return _rows(scored(docs, key, text), key, F.slice("found", 1, n))

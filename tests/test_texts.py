@@ -289,3 +289,26 @@ def test_model_inputs(spark):
     assert evaluate(spark, cases, text.classifier_model_input) == ["T " + "c" * 510, "c"]
     assert evaluate(spark, ["x" * 600], text.summary_model_input) == ["summarize: " + "x" * 501]
     assert evaluate(spark, ["x"], lambda c: text.summary_model_input(c, "bart-base")) == ["x"]
+
+
+def test_yake_cuts_each_text_once(docs):
+    """Words are counted where their text lies: the texts move once and are read once."""
+    for df in (yake.yake(docs, "doc_id", "text"), yake.best_candidates(docs, "doc_id", "text")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, plan
+
+
+def test_yake_with_repeated_keys_and_odd_texts(spark):
+    """Texts of one key count as one; marks of the text's own, long runs and texts without words change nothing."""
+    odd = ["| a|b . . \t\n one-two  three", "...", "İstanbul ΟΔΟΣ ÉTÉ ÉTÉ été | été.", "x" * 5000 + " " + "tail " * 3000]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(9, TEXTS[1]), (9, TEXTS[1]), (None, TEXTS[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got: dict = {}
+    for row in yake.candidates(df, "doc_id", "text").collect():
+        got.setdefault(row["doc_id"], {})[row["keyword"]] = (row["tf"], row["score"])
+    assert {k: v[1] for k, v in got[None].items()} == pytest.approx(yake_by_hand(TEXTS[2]))
+    assert {w for w in got[0] if " " in w} == {"two three"}
+    assert 1 not in got
+    assert got[2]["été"][0] == 4 and {w for w in got[2] if " " in w} == {"i̇stanbul οδος", "οδος été", "été été"}
+    assert got[3]["tail"][0] == 3000 and got[3]["tail tail"][0] == 2999
+    assert got[9]["deep learning"][0] == 2 * 3
