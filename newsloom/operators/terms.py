@@ -16,16 +16,21 @@ from newsloom.functions.text import WORD, words
 STOP = stop_tokens()
 
 
+#: Bytes of text in a partition, on average. What is cut from a partition's texts is many times their size.
+PART_BYTES = 16 << 20
+
+
 def spread(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Texts that have content, as (key, text), hash-partitioned by key.
 
-    The number of partitions is the session's shuffle width, given explicitly: adaptive execution would merge
-    partitions by the size of the texts, which says little about the many rows that are cut from them.
+    The number of partitions follows the bytes of all texts, so that a task's memory does not grow with the table; it is
+    at least the session's shuffle width. It is given explicitly: adaptive execution would merge partitions by the size
+    of the texts, which says little about the many rows that are cut from them.
     """
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text") != "").repartition(width, F.col(key))
-    )
+    texts = docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text") != "")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    return texts.repartition(width, F.col(key))
 
 
 def is_stop(word: Column) -> Column:

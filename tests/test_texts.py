@@ -10,7 +10,7 @@ from helpers import evaluate
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import classifier, keywords, language, rake, tfidf, yake
+from newsloom.operators import classifier, keywords, language, rake, terms, tfidf, yake
 from newsloom.operators.summary import summarize
 from newsloom.operators.terms import STOP, as_lists
 from newsloom.sources.pages import read_table
@@ -312,3 +312,23 @@ def test_yake_with_repeated_keys_and_odd_texts(spark):
     assert got[2]["été"][0] == 4 and {w for w in got[2] if " " in w} == {"i̇stanbul οδος", "οδος été", "été été"}
     assert got[3]["tail"][0] == 3000 and got[3]["tail tail"][0] == 2999
     assert got[9]["deep learning"][0] == 2 * 3
+
+
+def test_partitions_follow_the_bytes_of_the_texts(docs, monkeypatch):
+    """A larger table has more partitions, not larger ones; a small one has the session's."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert terms.spread(docs, "doc_id", "text").rdd.getNumPartitions() == width
+    monkeypatch.setattr(terms, "PART_BYTES", 10)
+    size = sum(len(t.encode()) for t in TEXTS.values())
+    assert terms.spread(docs, "doc_id", "text").rdd.getNumPartitions() == -(-size // 10)
+    empty = docs.filter("false")
+    assert terms.spread(empty, "doc_id", "text").rdd.getNumPartitions() == width
+
+
+def test_ngrams_are_looked_up_by_distinct_word(spark):
+    """Texts meet the scores of their words; n-grams are not cut from every use of a word."""
+    rows = [(1, "the house the house", "en"), (2, "das Haus das Haus", "de"), (3, "The 12 _ house!", None), (4, "Haus", None), (5, "…", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = language.detect(df, "doc_id", "text", language.train(df))
+    assert "(?=" not in told._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["language"] for r in told.collect()} == {1: "en", 2: "de", 3: "en", 4: "de", 5: "en", 6: "en"}
