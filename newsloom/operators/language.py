@@ -34,6 +34,11 @@ def grams(text: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)) for pattern in found])
 
 
+def _wide(rows: DataFrame, *keys: str) -> DataFrame:
+    """Short rows that become many, over the session's shuffle width; adaptive execution would merge them by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """``table`` has one row per n-gram and one column of scaled log probabilities per language."""
@@ -45,7 +50,8 @@ class LanguageModel:
 def train(docs: DataFrame, text: str = "text", language: str = "lang", per_language: int = 1000, alpha: int = 1) -> LanguageModel:
     """Fit on labelled texts, keeping the ``per_language`` most frequent n-grams of each language.
 
-    Words are counted first, so n-grams are cut once per distinct word and not once per use. The model has at most
+    Words are counted first, so n-grams are cut once per distinct word and not once per use. (``explode_outer`` cuts them
+    once; before a plain ``explode`` Spark cuts them a second time, to filter out rows without any.) The model has at most
     ``per_language`` rows per language whatever the size of the corpus.
     """
     labelled = docs.filter(F.col(language).isNotNull())
@@ -53,10 +59,12 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"More than {MAX_LANGUAGES} language labels: the model would not stay small")
     counts = (
-        labelled.select(F.col(language).alias("lang"), F.explode(letter_words(F.col(text))).alias("word"))
+        labelled.select(F.col(language).alias("lang"), F.explode_outer(letter_words(F.col(text))).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("lang", "n", F.explode(grams(F.col("word"))).alias("gram"))
+        .transform(_wide, "lang", "word")
+        .select("lang", "n", F.explode_outer(grams(F.col("word"))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -81,21 +89,33 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", per_langu
     return LanguageModel(languages, materialise(kept.select("gram", *logs), "language-model"))
 
 
+def word_scores(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
+    """(word, one scaled score per language) of the distinct words of all texts that hold a known n-gram."""
+    distinct = _wide(docs.select(F.explode_outer(letter_words(F.col(text))).alias("word")).distinct(), "word")
+    return (
+        distinct.select("word", F.explode_outer(grams(F.col("word"))).alias("gram"))
+        .join(F.broadcast(model.table), "gram")
+        .groupBy("word")
+        .agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in model.languages])
+    )
+
+
 def detect(docs: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
     """Most likely language per text: (key, language). Texts without a known n-gram get the default.
 
-    Each task sums the scores of its texts before anything is shuffled: one small row per text moves.
+    N-grams are cut and looked up once per distinct word of all texts. The words' scores are written, so that Spark
+    knows their size and moves the texts' words only if the scores of all distinct words are too many to broadcast.
     """
+    of_word = materialise(word_scores(docs, text, model), "word-scores")
+    names = {lang: f"score_{i}" for i, lang in enumerate(model.languages)}
+    of_word = of_word.select(F.col("word").alias("_word"), *[F.col(f"`{lang}`").alias(name) for lang, name in names.items()])
     scores = (
-        docs.select(key, F.explode_outer(grams(F.col(text))).alias("gram"))
-        .join(model.table, "gram", "left")
+        docs.select(key, F.explode_outer(letter_words(F.col(text))).alias("_word"))
+        .join(of_word, "_word", "left")
         .groupBy(key)
-        .agg(*[F.sum(F.col(f"`{lang}`")).alias(lang) for lang in model.languages])
+        .agg(*[F.sum(name).alias(name) for name in names.values()])
     )
-    known = [
-        F.when(F.col(f"`{lang}`").isNotNull(), F.struct((-F.col(f"`{lang}`")).alias("cost"), F.lit(lang).alias("lang")))
-        for lang in model.languages
-    ]
+    known = [F.when(F.col(name).isNotNull(), F.struct((-F.col(name)).alias("cost"), F.lit(lang).alias("lang"))) for lang, name in names.items()]
     best = F.try_element_at(F.array_sort(F.array_compact(F.array(*known))), F.lit(1))
     return scores.select(key, F.coalesce(best["lang"], F.lit(DEFAULT_LANGUAGE)).alias("language"))
 
