@@ -130,7 +130,9 @@ def process_urls(
     extracted = materialise(extracted, "extracted")
     readable = extracted.filter(F.col("content").isNotNull())
     recent = filter_recent(readable, as_of, max_age_days)
-    enriched = enrich(with_language(recent, language_model), model, method, n_keywords)
+    # Written too: summary, verdict and every keyword method read the articles, some of them more than once.
+    told = materialise(with_language(recent, language_model), "told")
+    enriched = enrich(told, model, method, n_keywords)
     stamped = enriched.withColumn("_id", urls.article_id(F.col("url"))).withColumn(
         "scraped_at", timestamp_literal(as_of)
     )

@@ -44,6 +44,11 @@ def run(spark):
     return jobs.process_urls(page_source.urls_from_list(spark, REQUESTED), pages, AS_OF)
 
 
+def test_articles_are_told_their_language_once(run):
+    """Summary and keywords read the recent articles from the shared folder; the detector does not run for each of them."""
+    assert run.articles.inputFiles() and all("/told-" in f for f in run.articles.inputFiles())
+
+
 def test_articles(run):
     rows = {r["url"]: r for r in run.articles.collect()}
     assert set(rows) == {"http://a.com/one"} | {f"http://a.com/news/story-{i}" for i in range(9)}
