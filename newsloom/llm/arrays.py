@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64 (fixed values of the hash).

@@ -139,7 +139,7 @@ def fit_text(labelled: DataFrame, text_column: str = "text", language_column: st
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in batches_of(batch.column(2), 1 << 21):
+            for a, b in batches_of(batch.column(2), 1 << 19):
                 part = batch.slice(a, b - a)
                 grams, offsets = _trigrams(part.column(2))
                 n, own, fold = _lengths(grams, offsets), np.asarray(part.column(0)), np.asarray(part.column(1))
@@ -204,7 +204,7 @@ def evidence(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names))
-            for a, b in batches_of(texts, 1 << 21):
+            for a, b in batches_of(texts, 1 << 19):
                 part = batch.slice(a, b - a)
                 grams, offsets = _trigrams(part.column(len(names)))
                 scores = _sums(shared.value, grams, offsets)

@@ -41,7 +41,7 @@ BUCKET = 0.05
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Shingle occurrences a task holds before it sends their counts.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 
 _KEY = np.uint64(0xFFFFFFFF)
 #: Upper bits of a key that pick one of 2^20 counters.
@@ -64,7 +64,7 @@ def _counted(texts: DataFrame, least: float, mask: np.uint64) -> tuple[np.ndarra
             return as_batch(list(blocks((keys * np.uint64(shards)) >> np.uint64(32), keys, counts)))
 
         for batch in batches:
-            for a, b in batches_of(batch.column(0), 1 << 21):
+            for a, b in batches_of(batch.column(0)):
                 s = shingles(words(batch.column(0).slice(a, b - a)), SIZE)
                 once = np.unique((s.rows.astype(np.uint64) << np.uint64(32)) | (s.hashes & mask))
                 held.append(once & _KEY)

@@ -327,3 +327,21 @@ def test_samples_agree_as_often_as_texts_are_alike():
     drawn = neardup.samples(hashes, weights, np.array([0, 700]), 250)
     expected = (300 * 0.8 + 300) / (300 * 0.8 + 300 + 300)
     assert abs((drawn[:, 0] == drawn[:, 1]).mean() - expected) < 0.09
+
+
+def test_a_worker_holds_little_of_a_batch():
+    """Six workers share an executor with the JVM; what each holds follows the slice, which is small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from newsloom.llm import arrays, neardup
+
+    texts = pa.array([" ".join(f"w{i * 50 + j}" for j in range(500)) for i in range(1000)])
+    tracemalloc.start()
+    for a, b in arrays.batches_of(texts):
+        arrays.shingles(arrays.words(texts.slice(a, b - a)), neardup.SIZE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert 8 * neardup.BUFFER <= 4 << 20
