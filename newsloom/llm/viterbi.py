@@ -7,24 +7,37 @@ without such a boundary, not the text.
 
 Unigram models add up the scores of their pieces. In BPE models a score is a merge's rank, and a sum of ranks means
 nothing: there a path is admissible if each piece and the one before it stay apart when merged by themselves. Exactly one
-path to each boundary is, and it is what merging the whole text gives.
+path to each boundary is, and it is what merging the whole text gives. New words of up to ``WORD`` characters are searched
+together by ``word_search``, as no piece reaches over the beginning of a word.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.arrays import batches_of
 from newsloom.llm.shared import free_name, map_arrow
+from newsloom.llm.word_search import WordSearch
 
 SPACE = "▁"
+#: Marks and what stands behind them up to the next mark.
+_MARKED = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Texts whose words aren't simply what stands between spaces.
+_UNEVEN = f"^ | $|  |{SPACE}"
 #: Entries of a worker's caches; they are emptied when full.
 CACHE = 600_000
+#: Characters of the longest words that are kept, and searched together.
+WORD = 64
+#: Bytes of text that are cut into words at a time; a longer text stands alone.
+SLICE = 1 << 22
 
 
 class _Words(dict):
@@ -38,7 +51,6 @@ class _Words(dict):
         return self._encode(word)
 
 
-
 class Pieces:
     """The vocabulary of a model file, and the search over it."""
 
@@ -67,6 +79,8 @@ class Pieces:
         self.merging = all(s == int(s) for s in found) and len(set(found)) > 1
         self._apart: dict[tuple[str, str], bool] = {}
         self._words = _Words(self._word)
+        self._search_words: WordSearch | None = None
+        self._plain: tuple[pa.Array, np.ndarray] | None = None
         self._halves: dict[str, tuple[str, str] | None] = {}
         # No merge reaches into a word's mark if no piece holds one behind another character.
         self.by_word = self.merging and not any(SPACE in t.lstrip(SPACE) for t in self.ids)
@@ -248,8 +262,8 @@ class Pieces:
         return ids
 
     def _part(self, part: str) -> bytes:
-        """Ids of a part of a word; the first one begins with the mark and is kept under the word without it."""
-        key = part[1:] if part[0] == SPACE else "\0" + part
+        """Ids of a part of a word; the first one begins with the mark and is kept under the word without it, others behind a space."""
+        key = part[1:] if part[0] == SPACE else " " + part
         ids = self._words.get(key)
         if ids is None:
             ids = self._part_ids(part)
@@ -257,7 +271,7 @@ class Pieces:
         return ids
 
     def _keep(self, key: str, ids: bytes) -> None:
-        if len(key) <= 64:
+        if len(key) <= WORD:
             if len(self._words) > CACHE:
                 self._words.clear()
             self._words[key] = ids
@@ -276,19 +290,47 @@ class Pieces:
             return b""
         if not self.by_word:
             return self._search_ids(SPACE + text.replace(" ", SPACE))
+        return b"".join(map(self._words.__getitem__, self._split(text)))
+
+    def _split(self, text: str) -> list[str]:
+        """Words of a text without the mark before each; further marks stay, and mark and word together are the text."""
         if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-            # No piece reaches over the beginning of a word, so that words can be looked up.
-            return b"".join(map(self._words.__getitem__, text.split(" ")))
-        marked, out, begin = SPACE + text.replace(" ", SPACE), [], 0
-        while begin < len(marked):
-            end = begin
-            while end < len(marked) and marked[end] == SPACE:
-                end += 1
-            stop = marked.find(SPACE, end)
-            stop = len(marked) if stop < 0 else stop
-            out.append(self._search_ids(marked[begin:stop]))
-            begin = stop
-        return b"".join(out)
+            return text.split(" ")
+        return [marked[1:] for marked in _MARKED.findall(SPACE + text.replace(" ", SPACE))]
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those not met before are searched together."""
+        made = list(map(self._words.get, words))
+        new = [i for i, ids in enumerate(made) if ids is None]
+        if self._search_words is None:
+            self._search_words = WordSearch(self.ids, self.usable, self.scores, self.halves, self._ids_of, SPACE)
+        found = self._search_words.search([words[i] for i in new if len(words[i]) <= WORD])
+        for i in new:
+            ids = found.get(words[i])
+            made[i] = self._word(words[i]) if ids is None else ids
+        if len(self._words) + len(found) > CACHE:
+            self._words.clear()
+        self._words.update(found)
+        return made
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Lists of the ids of texts; null for null."""
+        null = pa.array(texts.is_null().to_numpy(zero_copy_only=False))
+        if not self.by_word:
+            made = [self.encode_bytes(t or "") for t in texts.to_pylist()]
+            return _lists(made, null)
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        kept = texts.filter(some)
+        uneven = pc.match_substring_regex(kept, _UNEVEN)
+        if pc.any(uneven).as_py():
+            split = [" ".join(self._split(t)) for t in kept.filter(uneven).to_pylist()]
+            kept = pc.replace_with_mask(kept, uneven, pa.array(split, kept.type))
+        words = pc.split_pattern(kept, " ")
+        distinct = words.values.dictionary_encode()
+        ids = _lists(self._made(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())).take(distinct.indices)
+        n = np.zeros(len(texts), np.int64)
+        n[some.to_numpy(zero_copy_only=False)] = np.diff(ids.offsets.take(words.offsets).to_numpy())
+        return pa.ListArray.from_arrays(_offsets(n), ids.values, mask=null)
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
@@ -314,6 +356,50 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+    def _texts(self) -> tuple[pa.Array, np.ndarray]:
+        """The texts of all pieces, once more as they begin a text; and which of them can't be read alone."""
+        if self._plain is None:
+            odd = np.zeros(len(self.texts), bool)
+            odd[[*self.control, self.unknown, *(i for i, b in self.bytes.items() if b > 127)]] = True
+            texts = [(chr(self.bytes[i]) if i in self.bytes else t).replace(SPACE, " ") for i, t in enumerate(self.texts)]
+            self._plain = pa.array(texts + [t[1:] if t.startswith(" ") else t for t in texts], pa.string()), odd
+        return self._plain
+
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        """``decode`` of lists of ids; null for null."""
+        plain, odd = self._texts()
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        if not len(flat):
+            return pa.array(["" if v else None for v in valid], pa.string())
+        n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        alone = odd[flat]
+        strange = np.unique(np.searchsorted(bounds, np.flatnonzero(alone), side="right") - 1)
+        piece = np.where(alone, 0, flat).astype(np.int64)
+        piece[bounds[:-1][n > 0]] += len(odd)
+        letters = plain.take(pa.array(piece))
+        ends = np.frombuffer(letters.buffers()[1], np.int32)
+        buffers = [pa.array(valid).buffers()[1], pa.py_buffer(ends[bounds]), letters.buffers()[2]]
+        out = pa.Array.from_buffers(pa.string(), len(ids), buffers)
+        if not len(strange):
+            return out
+        texts = [self.decode(x) for x in ids.take(pa.array(strange)).to_pylist()]
+        mask = np.zeros(len(ids), bool)
+        mask[strange] = True
+        return pc.replace_with_mask(out, pa.array(mask), pa.array(texts, pa.string()))
+
+
+def _offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+
+
+def _lists(made: list[bytes], null: pa.Array | None = None) -> pa.Array:
+    """32-bit integers as an array of lists."""
+    n = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    return pa.ListArray.from_arrays(_offsets(n), pa.array(np.frombuffer(b"".join(made), np.int32)), mask=null)
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -338,15 +424,9 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = part.column(len(names)).to_pylist()
-                made = [b"" if t is None else model.encode_bytes(t) for t in texts]
-                offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)), mask=pa.array([t is None for t in texts])
-                )
-                columns = [part.column(i) for i in range(len(names))] + [ids]
+            for at, to in batches_of(batch.column(len(names)), SLICE):
+                part = batch.slice(at, to - at)
+                columns = [part.column(i) for i in range(len(names))] + [model.encode_column(part.column(len(names)))]
                 yield pa.RecordBatch.from_arrays(columns, [*named, ids_column])
 
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_column).cast("string")), run, schema)
@@ -368,8 +448,7 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [None if x is None else model.decode(x) for x in part.column(place).to_pylist()]
-                columns = [part.column(i) for i in range(len(names))] + [pa.array(texts, pa.string())]
+                columns = [part.column(i) for i in range(len(names))] + [model.decode_column(part.column(place))]
                 yield pa.RecordBatch.from_arrays(columns, [*named, text_column])
 
     return map_arrow(encoded.select(*[F.col(f"`{c}`") for c in names]), run, schema)
