@@ -306,8 +306,7 @@ class Pieces:
             self._search_words = WordSearch(self.ids, self.usable, self.scores, self.halves, self._ids_of, SPACE)
         found = self._search_words.search([words[i] for i in new if len(words[i]) <= WORD])
         for i in new:
-            ids = found.get(words[i])
-            made[i] = self._word(words[i]) if ids is None else ids
+            made[i] = found[words[i]] if words[i] in found else self._word(words[i])
         if len(self._words) + len(found) > CACHE:
             self._words.clear()
         self._words.update(found)

@@ -33,22 +33,23 @@ class WordSearch:
         mark: str,
     ) -> None:
         self._mark = mark
-        # Characters are pieces, too; those of Latin-1 even if the vocabulary lacks them, others are left to the caller.
-        letters = {c for t in ids for c in t} | {chr(i) for i in range(256)}
+        self._ids_of = ids_of
+        # The vocabulary's characters are pieces, too, even if it has them in longer pieces only.
+        letters = {c for t in ids for c in t}
         texts = [*usable, *sorted(letters - usable.keys())]
         number = {t: i for i, t in enumerate(texts)}
-        #: The piece that stands before a word; nothing merges with it.
-        self.start = len(texts)
+        #: What stands before a word, and for any character that no piece has; nothing merges with it.
+        self.other = len(texts)
         self.length = np.array([*map(len, texts), 1], np.int32)
         self.rank = np.array([*(-1.0 if len(t) == 1 else -scores[ids[t]] for t in texts), -1.0])
         split = [halves(t) for t in texts]
-        self.left = np.array([*(number[a] for a, _ in split), self.start], np.int32)
-        self.right = np.array([*(number[b] for _, b in split), self.start], np.int32)
-        self.shorter = np.array([self._shorter(t, number) for t in texts], np.int32)
+        self.left = np.array([*(number[a] for a, _ in split), self.other], np.int32)
+        self.right = np.array([*(number[b] for _, b in split), self.other], np.int32)
+        self.shorter = np.array([*(self._shorter(t, number) for t in texts), -1], np.int32)
         self._set_unions(ids, scores, number)
         self._set_trie(texts, sorted(letters))
         made = [ids_of(t) for t in texts]
-        self.n_ids = np.array([len(m) for m in made], np.int64)
+        self.n_ids = np.array([*map(len, made), 0], np.int64)
         self.first_id = np.concatenate([[0], np.cumsum(self.n_ids)[:-1]])
         self.all_ids = np.array([i for m in made for i in m], np.int32)
         self._met = np.full(1 << PAIR_BITS, -1, np.int64)
@@ -65,7 +66,7 @@ class WordSearch:
             for at in range(1, len(text)):
                 a, b = number.get(text[:at]), number.get(text[at:])
                 if a is not None and b is not None:
-                    found[a * (self.start + 1) + b] = -scores[i]
+                    found[a * (self.other + 1) + b] = -scores[i]
         keys = sorted(found)
         self._unions = np.array([*keys, np.iinfo(np.int64).max], np.int64)
         self._union_ranks = np.array([*(found[k] for k in keys), np.inf])
@@ -120,7 +121,7 @@ class WordSearch:
         known = np.ones(len(left), bool)
         limit, at_right, here = np.full(len(left), np.inf), np.zeros(len(left), bool), np.arange(len(left))
         while len(here):
-            key = left.astype(np.int64) * (self.start + 1) + right
+            key = left.astype(np.int64) * (self.other + 1) + right
             at = np.searchsorted(self._unions, key)
             rank = self._union_ranks[at]
             merged = (self._unions[at] == key) & ((rank < limit) | (at_right & (rank == limit)))
@@ -135,21 +136,21 @@ class WordSearch:
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging keeps the boundary between two pieces, remembered by pair."""
-        key = left.astype(np.int64) * (self.start + 1) + right
+        key = left.astype(np.int64) * (self.other + 1) + right
         place = (key * _MIX >> (64 - PAIR_BITS)) & ((1 << PAIR_BITS) - 1)
         met = self._met[place]
         known = (met & 1).astype(bool)
         new = np.flatnonzero(met >> 1 != key)
         if len(new):
             pairs, which = np.unique(key[new], return_inverse=True)
-            found = self._apart((pairs // (self.start + 1)).astype(np.int32), (pairs % (self.start + 1)).astype(np.int32))
+            found = self._apart((pairs // (self.other + 1)).astype(np.int32), (pairs % (self.other + 1)).astype(np.int32))
             known[new] = found[which]
             self._met[place[new]] = key[new] * 2 + known[new]
         return known
 
     def _longest(self, letters: np.ndarray) -> np.ndarray:
-        """The longest piece that ends at each letter; letters in no piece part words and have -1."""
-        out = np.full(len(letters), -1, np.int32)
+        """The longest piece that ends at each letter."""
+        out = np.full(len(letters), self.other, np.int32)
         here = np.arange(len(letters))
         node = np.zeros(len(letters), np.int32)
         for back in range(self._depth):
@@ -164,7 +165,7 @@ class WordSearch:
         return out
 
     def search(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words with the mark before each, as 32-bit integers; words with letters that no piece has are left out."""
+        """The ids of words with the mark before each, as 32-bit integers."""
         out: dict[str, bytes] = {}
         words = sorted(words, key=len, reverse=True)
         at = 0
@@ -176,18 +177,16 @@ class WordSearch:
 
     def _search(self, words: list[str], out: dict[str, bytes]) -> None:
         """Words by falling length."""
-        letters = self._letters(words)
+        end = "\n"  # behind each word, so that its letters stand apart from the next one's
+        text = f"{self._mark}{(end + self._mark).join(words)}{end}"
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
         begins = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-        strange = np.add.reduceat(letters == 0, begins, dtype=np.int64) > 1
-        if strange.any():
-            words = [w for w, s in zip(words, strange) if not s]
-            if words:
-                self._search(words, out)
-            return
+        letters = self._codes[points]
+        letters[begins + lens] = 0
         longest = self._longest(letters)
         # For each boundary of each word the piece before it.
-        last = np.full((int(lens[0]) + 1, len(words)), self.start, np.int32)
+        last = np.full((int(lens[0]) + 1, len(words)), self.other, np.int32)
         for end in range(1, len(last)):
             here = np.arange(np.searchsorted(-lens, -end, side="right"))
             piece = longest[begins[here] + end - 1]
@@ -207,16 +206,17 @@ class WordSearch:
             here, at = here[go], at[go]
         places = np.flatnonzero(noted >= 0)
         pieces = noted[places]
-        n = self.n_ids[pieces]
+        n, first, every = self.n_ids[pieces], self.first_id[pieces], self.all_ids
+        others = np.flatnonzero(pieces == self.other)
+        if len(others):
+            found, which = np.unique(points[places[others]], return_inverse=True)
+            made = [self._ids_of(chr(c)) for c in found.tolist()]
+            sizes = np.array([len(m) for m in made], np.int64)
+            n[others], first[others] = sizes[which], (len(every) + np.cumsum(sizes) - sizes)[which]
+            every = np.concatenate([every, np.array([i for m in made for i in m], np.int32)])
         stops = np.concatenate([[0], np.cumsum(n)])
-        ids = self.all_ids[np.repeat(self.first_id[pieces] - stops[:-1], n) + np.arange(stops[-1])]
+        ids = every[np.repeat(first - stops[:-1], n) + np.arange(stops[-1])]
         cuts = 4 * stops[np.searchsorted(places, np.append(begins, len(letters)))]
         data, cuts = ids.tobytes(), cuts.tolist()
         for word, a, b in zip(words, cuts, cuts[1:]):
             out[word] = data[a:b]
-
-    def _letters(self, words: list[str]) -> np.ndarray:
-        """The letters of all words with their marks, a 0 behind each word."""
-        end = "\U0010ffff"
-        text = f"{self._mark}{(end + self._mark).join(words)}{end}"
-        return self._codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]

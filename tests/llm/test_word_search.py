@@ -88,7 +88,7 @@ def test_steps_do_not_grow_with_the_words(monkeypatch):
     counts = []
     for n in (200, 8000):
         steps.clear()
-        words = ["".join(rng.choice("aeiournstlé\n%") for _ in range(10)) for _ in range(n)]
+        words = ["".join(rng.choice("aeiournstlé\n%語😀Ж") for _ in range(10)) for _ in range(n)]
         viterbi.Pieces(PIECES).encode_column(pa.array([" ".join(words)]))
         counts.append(len(steps))
     assert counts[1] < 3 * counts[0]
