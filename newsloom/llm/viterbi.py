@@ -354,7 +354,6 @@ class Pieces:
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-
     def _texts(self) -> tuple[pa.Array, np.ndarray]:
         """The texts of all pieces, once more as they begin a text; and which of them can't be read alone."""
         if self._plain is None:

@@ -92,3 +92,11 @@ def test_steps_do_not_grow_with_the_words(monkeypatch):
         viterbi.Pieces(PIECES).encode_column(pa.array([" ".join(words)]))
         counts.append(len(steps))
     assert counts[1] < 3 * counts[0]
+
+
+def test_columns_without_word_cuts():
+    mine = viterbi.Pieces(PIECES)
+    texts = [None, "", "the streaming search", "日本語 é", "a  b "]
+    want = mine.encode_column(pa.array(texts)).to_pylist()
+    mine.by_word = False
+    assert mine.encode_column(pa.array(texts)).to_pylist() == want
